@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, decontam
+from sheaf.llm import bpe, chat, decontam, langid, media, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,37 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontaminate")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def language(docs: DataFrame) -> DataFrame:
+    model = langid.train(docs.where(~langid.held_out(4, 2)))
+    return langid.predict(docs, model)
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op6_media")
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.read(media.store(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(
+        ";", F.concat(F.lit("pid="), "pid"), F.concat(F.lit("type="), "stream_type"), F.concat(F.lit("packets="), "n_packets"), F.concat(F.lit("errors="), "continuity_errors"), F.concat(F.lit("pes="), F.size("pts")),
+        F.concat(F.lit("first="), F.element_at("pts", 1)), F.concat(F.lit("last="), F.element_at("pts", -1)), F.concat(F.lit("access="), F.size("access_points")),
+    )
+    return found.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
+@query("op5_chat", chat.MAXIMAL_SQL)
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
