@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, decontam, langid, media, simhash, toxicity
+from sheaf.llm import bpe, chat, decontam, langid, licenses, media, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,3 +84,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.fit(docs, labels.where(~langid.held_out(5, 0)))
     return toxicity.score(docs, index).select("doc_id", langid.held_out(5, 0).alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
