@@ -8,8 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes that end a word of the alphanumeric word rule (ASCII only; every other byte of UTF-8 belongs to a word).
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -66,6 +67,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start, batch.num_rows - start), values
 
 
+def whole_row(df: DataFrame, wanted: bool) -> list[Column]:
+    """All columns of a row as one struct `row`, if wanted."""
+    return [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")] if wanted else []
+
+
+def with_fields(ddl: str, fields: list[StructField]) -> StructType:
+    """A schema given as text, and more fields."""
+    return StructType([*StructType.fromDDL(ddl).fields, *fields])
+
+
 def token() -> str:
     """A name under which a worker keeps what it has built from a broadcast."""
     return uuid.uuid4().hex

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import ORIGINAL_WORD, WORD_TABLE, arrow_limits, built, slices, token
+from sheaf.llm.common import ORIGINAL_WORD, WORD_TABLE, arrow_limits, built, slices, token, whole_row, with_fields
 
 
 def windows(words: list[bytes], width: int) -> list[list[bytes]]:
@@ -64,7 +64,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
     """Find benchmark windows of `width` words in every document, in one pass over the documents per benchmark block.
 
     Returns a row per input row: the id, n_words, n_hit (words inside an occurrence), n_items, items (sorted),
@@ -74,14 +74,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
 
     A null or empty text has no words and isn't contaminated; a null id stays null; repeated rows give repeated results;
     items with null or wordless text never occur; items that share an id count once; a null item id counts as the id "".
-    Empty tables are fine. Other columns are ignored, whatever their names.
+    Empty tables are fine. Other columns are ignored, whatever their names, or come along as the struct `row` if `carry`.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"))
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"), *whole_row(docs, carry))
     id_type = frame.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, text string, n_words long, ranges array<int>, items array<string>"
+    more = frame.schema.fields[5:]
+    schema = with_fields(f"id {id_type}, text string, n_words long, ranges array<int>, items array<string>", more)
 
     blocks, held, size = [], [], 0
     for row in items.toLocalIterator():
@@ -94,12 +95,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
         frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast(block), token(), width), schema)
 
     spans = "array<struct<start:int,end:int>>"
-    out = frame.mapInArrow(_digest(share), f"{_quoted(id_col)} {id_type}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans {spans}")
-    return out
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    schema = with_fields(f"id {id_type}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans {spans}", more)
+    return frame.mapInArrow(_digest(share), schema).withColumnRenamed("id", id_col)
 
 
 def _pass(block, key: str, width: int):
@@ -118,7 +115,7 @@ def _pass(block, key: str, width: int):
                 else:
                     ranges.append(old_ranges[i])
                     items.append(old_items[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "ranges", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]], names=batch.schema.names)
 
     return run
 
@@ -138,8 +135,8 @@ def _digest(share: int):
                 at = [(m.start(), m.end()) for m in ORIGINAL_WORD.finditer(texts[i].as_py())]
                 spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(flat[::2], flat[1::2], strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(hits, words, strict=True)], pa.bool_()), pa.array(spans, kind)],
-                names=["id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"],
+                [batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(hits, words, strict=True)], pa.bool_()), pa.array(spans, kind), *batch.columns[5:]],
+                names=["id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans", *batch.schema.names[5:]],
             )
 
     return run

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.bpe import Numbered, spread
-from sheaf.llm.common import arrow_limits, built, slices, token
+from sheaf.llm.common import arrow_limits, built, slices, token, whole_row, with_fields
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Starts of blocks of letters and the script from there on; code points before the first are Latin.
@@ -165,16 +165,16 @@ class Scorer:
         return out
 
 
-def predict(docs: DataFrame, model: Model, *, penalty: float = 9.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, penalty: float = 9.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The language of every whole text: the id column, lang_pred, score (0 to 1: the share of letters under that label) and
     spans (first word, last word, language) of mixed text.
 
     A row per input row and no shuffle; the broadcast model is bounded by train(). A text that is null, has no letter, or
     meets a model without languages is `und` with score 0 and no spans. Ties go to the first language by name. A null id stays
-    null; repeated rows give repeated results; other columns are ignored.
+    null; repeated rows give repeated results; other columns are ignored, or come along unchanged as the struct `row` if `carry`.
     """
     arrow_limits(docs.sparkSession)
-    frame = docs.select(F.col(id_col), F.col(text_col).cast("string")).toDF("id", "text")
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *whole_row(docs, carry))
     shared, key = docs.sparkSession.sparkContext.broadcast(model), token()
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
@@ -196,10 +196,10 @@ def predict(docs: DataFrame, model: Model, *, penalty: float = 9.0, id_col: str
                 scores.append(float(weight[best] / weight.sum()))
                 cuts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1], [True]]))
                 spans.append([{"first": int(a), "last": int(b) - 1, "lang": names[int(labels[a])]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind), *batch.columns[2:]], names=["id", "lang_pred", "score", "spans", *batch.schema.names[2:]])
 
     schema = f"id {frame.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
-    return frame.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return frame.mapInArrow(run, with_fields(schema, frame.schema.fields[2:])).withColumnRenamed("id", id_col)
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> F.Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import arrow_limits, built, slices, token
+from sheaf.llm.common import arrow_limits, built, slices, token, whole_row, with_fields
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -313,21 +313,23 @@ def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["k1", "k2", "start", "end"])
 
 
-def dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Remove from every whole text, as UTF-8 bytes, each byte covered by a `length`-byte string that also starts anywhere
     else in the documents: the id column, n_bytes, n_removed, n_spans, spans (start and end bytes of the removed runs) and kept.
 
     Strings are judged on the input, never cross documents, and may overlap themselves. What a task holds are the runs of its
     part of the grams; equal surroundings of an anchor collapse in a run before the exchange. A null text is empty; a text shorter
     than `length` loses nothing; repeated rows are copies of each other; a null id stays null; an empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored, or come along as the struct `row` if `carry`, beside the column
+    `text` with what is left of the text (whole characters only).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, name).alias("k2"), text.alias("text"))
+    others = whole_row(docs.drop(text_col), carry)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, name).alias("k2"), text.alias("text"), *others)
     ranges = duplicate_ranges(rows.select("k1", "k2", "text"), length=length, gram=gram)
     by_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = rows.join(by_doc, ["k1", "k2"], "left").select("id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"))
+    joined = rows.join(by_doc, ["k1", "k2"], "left").select("id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"), *["row"] * carry)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -344,12 +346,13 @@ def dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, id_col: str =
                 kept.append(b"".join(t[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
                 spans.append([{"start": x, "end": y} for x, y in found])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"],
+                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *[pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * carry, *batch.columns[4:]],
+                names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *["text"] * carry, *batch.schema.names[4:]],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary" + ", text string" * carry
+    return joined.mapInArrow(cut, with_fields(schema, joined.schema.fields[4:])).withColumnRenamed("id", id_col)
 
 
 def brute(texts: list[bytes], length: int) -> list[list[bool]]:
