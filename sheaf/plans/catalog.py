@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheaf.plans import tables  # noqa: F401
 from sheaf.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
