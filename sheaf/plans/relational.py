@@ -80,11 +80,11 @@ def trailing_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.attempts(table(spark, sf_dir, "events").where("event_type in ('error', 'click')"), "user_id", "ts", 86400, 3).select("event_id", "failures", "locked")
 
 
-@query("escaped_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || '_50%'), '7_50%') ORDER BY p_partkey LIMIT 20 OFFSET 10")
+@query("escaped_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || '_50%'), '_50%') ORDER BY p_partkey LIMIT 20 OFFSET 10")
 def escaped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.functions.text import like_escape
 
-    needle = spark.range(1).select(F.concat(F.lit("%"), like_escape(F.lit("7_50%")), F.lit("%"))).first()[0]
+    needle = spark.range(1).select(F.concat(F.lit("%"), like_escape(F.lit("_50%")), F.lit("%"))).first()[0]
     return table(spark, sf_dir, "part").where(F.lower(F.concat("p_name", F.lit("_50%"))).like(needle)).orderBy("p_partkey").offset(10).limit(20).select("p_partkey", "p_name")
 
 
