@@ -27,7 +27,7 @@ def parse_number(c: Column) -> Column:
     percent = inner.endswith("%")
     body = strip(F.regexp_replace(inner, "%$", ""))
     shape = rf"(?Us)^([+-]?)\s*[{CURRENCY}\s]*([+-]?)\s*(.*)$"
-    digits = F.regexp_replace(F.regexp_extract(body, shape, 3), "[   ,]", "")
+    digits = F.regexp_replace(F.regexp_extract(body, shape, 3), "[ \u00a0\u202f,]", "")
     value = F.regexp_replace(digits, r"(?<=\d)_(?=\d)", "").try_cast(DECIMAL)
     scaled = F.when(percent, (value / 100).cast(DECIMAL)).otherwise(value)
     negative = paren | (F.regexp_extract(body, shape, 1) == "-") | (F.regexp_extract(body, shape, 2) == "-")

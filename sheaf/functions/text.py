@@ -64,5 +64,5 @@ def storage_key(sha256: Column, extension: Column) -> Column:
 def split_lines(c: Column) -> Column:
     """Lines as text editors count them: also at vertical tabs, form feeds, separators 1C to 1E, NEL, LS and PS; no line
     after a final break."""
-    parts = F.split(F.regexp_replace(c, "\r\n", "\n"), "[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
+    parts = F.split(F.regexp_replace(c, "\r\n", "\n"), "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)

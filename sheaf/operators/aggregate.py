@@ -78,7 +78,7 @@ def _scanned(rows: DataFrame, headers: list[str], ordinal: str, max_rows: int |
     return full if max_rows is None else full.orderBy(ordinal).limit(max_rows)
 
 
-def aggregate(rows: DataFrame, *, ordinal: str, metrics: list[Metric], group_by: str | None = None, filters: list[Filter] = [], max_scan_rows: int | None = None, max_groups: int | None = 50) -> DataFrame:  # noqa: B006
+def aggregate(rows: DataFrame, *, ordinal: str, metrics: list[Metric] = [], group_by: str | None = None, filters: list[Filter] = [], max_scan_rows: int | None = None, max_groups: int | None = 50) -> DataFrame:  # noqa: B006
     """Filter, group and measure a table of text cells: columns group, rows, and one per metric (count: long, others decimal).
 
     Groups are told apart by trimmed lower case and shown in the spelling seen first by `ordinal`; blank is `(blank)`. Cells

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Where a chunk is best cut, in order of preference.
 BREAKS = ("\n\n", ". ", "\n", " ")
@@ -90,14 +91,14 @@ def heading_paths(items: DataFrame) -> DataFrame:
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         stack: list[tuple[int, str]] = []
         paths = []
-        group = group.sort_values("ord")
+        group = group.sort_values("ord").drop(columns="section", errors="ignore")
         for level, text in zip(group["level"], group["text"], strict=True):
             if pd.notna(level):
                 stack = [s for s in stack if s[0] < level] + [(int(level), text)]
             paths.append(" > ".join(t for _, t in stack))
         return group.assign(section=paths)
 
-    return items.groupBy("doc_id").applyInPandas(walk, items.schema.add("section", "string") if "section" not in items.columns else items.schema)
+    return items.groupBy("doc_id").applyInPandas(walk, StructType([*items.drop("section").schema.fields, StructField("section", StringType())]))
 
 
 def box_lines(boxes: DataFrame, *, min_score: float = 0.5) -> DataFrame:

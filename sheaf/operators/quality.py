@@ -16,8 +16,8 @@ MAX_REPLACEMENT, MAX_CONTROL, MIN_PRINTABLE = 0.005, 0.01, 0.95
 COVERAGE_NEEDS_OCR, COVERAGE_SUSPICIOUS, COVERAGE_WARN, MIN_CHARS_PER_PAGE = 0.10, 0.60, 0.90, 50
 UNSUPPORTED = ["office_legacy", "archive", "web", "unknown"]
 _EDGES = r""".,;:!?()\[\]{}"'`—–-"""
-_SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
-_DEVANAGARI = r"[ऀ-ॿ꣠-ꣿ]"
+_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_DEVANAGARI = r"[\u0900-\u097f\ua8e0-\ua8ff]"
 _SWITCH = r"\p{Ll}\p{Lu}"
 
 
