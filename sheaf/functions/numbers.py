@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 DECIMAL, CURRENCY = "decimal(38,10)", "$€£₹¥"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times but computes it once, also within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, by Unicode's notion of it."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

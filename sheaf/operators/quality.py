@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.numbers import ratio
+from sheaf.functions.numbers import let, ratio
 from sheaf.functions.text import split_lines
 
 #: Words and thresholds of the verdicts.
@@ -28,17 +28,24 @@ def tokens(c: Column) -> Column:
 
 def has_inner_symbol(token: Column) -> Column:
     """Whether a character that belongs to no word stands inside the token, its outer punctuation aside."""
-    core = F.regexp_replace(token, rf"^[{_EDGES}]+|[{_EDGES}]+$", "")
-    return (F.length(core) >= 3) & core.rlike(r"(?s)^.+[^\p{L}\p{N}\p{Mn}\p{Mc}].+$")
+    # plain words, which are most, are told by one test
+    return ~token.rlike(r"^[\p{L}\p{N}\p{Mn}\p{Mc}]*$") & F.regexp_replace(token, rf"^[{_EDGES}]+|[{_EDGES}]+$", "").rlike(r"(?s)^.+[^\p{L}\p{N}\p{Mn}\p{Mc}].+$")
 
 
-def _shares(words: Column) -> dict[str, Column]:
-    alpha = F.filter(words, lambda t: t.rlike("^[A-Za-z]{3,}$"))
-    return {
-        "vowelless": ratio(F.size(F.filter(alpha, lambda t: ~t.rlike("[aeiouAEIOU]"))), F.size(alpha), 9),
-        "symbols": ratio(F.size(F.filter(words, has_inner_symbol)), F.size(words), 9),
-        "switches": ratio(F.size(F.filter(words, lambda t: t.rlike(_SWITCH))), F.size(words), 9),
-    }
+def alphabetic(words: Column) -> Column:
+    return F.filter(words, lambda t: t.rlike("^[A-Za-z]{3,}$"))
+
+
+def _shares(words: Column) -> Column:
+    """Struct of the three shape signals of some tokens."""
+    return let(
+        alphabetic(words),
+        lambda alpha: F.struct(
+            ratio(F.size(F.filter(alpha, lambda t: ~t.rlike("[aeiouAEIOU]"))), F.size(alpha), 9).alias("vowelless"),
+            ratio(F.size(F.filter(words, has_inner_symbol)), F.size(words), 9).alias("symbols"),
+            ratio(F.size(F.filter(words, lambda t: t.rlike(_SWITCH))), F.size(words), 9).alias("switches"),
+        ),
+    )
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -47,15 +54,13 @@ def count(c: Column, pattern: str) -> Column:
 
 def glyph_mapped(line: Column) -> Column:
     """Whether a line looks like glyphs typed as Latin letters; null if it is too short to tell."""
-    words = tokens(line)
-    total = count(line, f"[^{_SPACE}]")
-    shares = _shares(words)
-    return (
-        F.when(F.size(words) < LINE_MIN_TOKENS, None)
-        .when(ratio(count(line, _DEVANAGARI), total, 9) > MAX_DEVANAGARI, False)
-        .when(ratio(count(line, "[A-Za-z]"), total, 9) < MIN_LATIN, False)
-        .otherwise((shares["vowelless"] > MIN_VOWELLESS) | (shares["symbols"] > MIN_SYMBOL) | (shares["switches"] > MIN_CASE_SWITCH))
-    )
+
+    def judge(words: Column) -> Column:
+        total = count(line, f"[^{_SPACE}]")
+        shape = let(_shares(words), lambda s: (s["vowelless"] > MIN_VOWELLESS) | (s["symbols"] > MIN_SYMBOL) | (s["switches"] > MIN_CASE_SWITCH))
+        return F.when(F.size(words) < LINE_MIN_TOKENS, None).when(count(line, _DEVANAGARI) > MAX_DEVANAGARI * total, False).when(count(line, "[A-Za-z]") < MIN_LATIN * total, False).otherwise(shape)
+
+    return let(tokens(line), judge)
 
 
 def text_metrics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -64,7 +69,8 @@ def text_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     base = df.withColumn("_t", c).withColumn("_words", tokens(F.col("_t"))).withColumn("_lines", split_lines(F.col("_t"))).withColumn("_total", count(F.col("_t"), f"[^{_SPACE}]"))
     base = base.withColumn("_judged", F.filter(F.transform("_lines", glyph_mapped), lambda x: x.isNotNull()))
     t, words, total = F.col("_t"), F.col("_words"), F.col("_total")
-    alpha = F.filter(words, lambda w: w.rlike("^[A-Za-z]{3,}$"))
+    base = base.withColumn("_alpha", alphabetic(words))
+    alpha = F.col("_alpha")
     legacy = F.size(F.filter("_judged", lambda x: x))
     share = lambda pattern: ratio(count(t, pattern), total)
     fields = {
@@ -75,7 +81,7 @@ def text_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         "intraword_symbol_ratio": ratio(F.size(F.filter(words, has_inner_symbol)), F.size(words)), "intraword_case_switch_ratio": ratio(F.size(F.filter(words, lambda w: w.rlike(_SWITCH))), F.size(words)),
         "legacy_line_ratio": ratio(legacy, F.size("_judged")), "legacy_lines": legacy, "judged_lines": F.size("_judged"),
     }
-    return base.withColumn("metrics", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("_t", "_words", "_lines", "_total", "_judged")
+    return base.withColumn("metrics", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("_t", "_words", "_alpha", "_lines", "_total", "_judged")
 
 
 def classify(df: DataFrame, *, family: Column, error: Column, parsed: Column, cells: Column, coverage: Column, page_chars: Column) -> DataFrame:
