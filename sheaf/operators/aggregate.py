@@ -110,8 +110,8 @@ def aggregate(rows: DataFrame, *, ordinal: str, metrics: list[Metric] = [], grou
     key, shown = normal(own), F.when(strip(own) == "", "(blank)").otherwise(strip(own))
     groups = kept.groupBy(key.alias("_key")).agg(F.min_by(shown, F.col(ordinal)).alias("group"), *measures).drop("_key")
     order = [F.col(f"`{metrics[0].label}`").desc_nulls_last() if metrics else F.col("rows").desc(), F.col("group")]
-    total = F.count("*").over(Window.partitionBy()).alias("total_groups")
-    out = groups.select("*", total)
+    total = groups.agg(F.count("*").alias("total_groups"))  # one row; the grouping's exchange is reused
+    out = groups.crossJoin(F.broadcast(total))
     return out if max_groups is None else out.orderBy(*order).limit(max_groups)
 
 
