@@ -135,8 +135,23 @@ def _digest(share: int):
                 at = [(m.start(), m.end()) for m in ORIGINAL_WORD.finditer(texts[i].as_py())]
                 spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(flat[::2], flat[1::2], strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(hits, words, strict=True)], pa.bool_()), pa.array(spans, kind), *batch.columns[5:]],
-                names=["id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans", *batch.schema.names[5:]],
+                [batch.column(0), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(hits, words, strict=True)], pa.bool_()), pa.array(spans, kind), *[batch.column(1)] * carry, *batch.columns[5:]],
+                names=["id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans", *["text"] * carry, *batch.schema.names[5:]],
             )
 
     return run
+
+
+#: The operator's figures per document from lists of words, for documents with distinct ids.
+DECONTAMINATE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS words FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (SELECT doc_id, k, size, array_to_string(w[k : k + size - 1], ' ') AS words FROM (SELECT d.doc_id, d.w, s.size, unnest(range(1, greatest(0, len(d.w) - s.size + 1) + 1)) AS k FROM d, sizes s)),
+found AS (SELECT r.doc_id, r.k, r.size, x.item FROM runs r JOIN windows x ON x.size = r.size AND x.words = r.words),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM (SELECT DISTINCT doc_id, k, size FROM found)) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN names n USING (doc_id)
+"""

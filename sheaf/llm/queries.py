@@ -40,9 +40,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-@query("op9_decontaminate")
+@query("op9_decontaminate", decontam.DECONTAMINATE_SQL)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
 @query("op10_simhash")
