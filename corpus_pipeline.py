@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, or in which no language holds half of the letters, go; `lang` becomes the language found."""
     model = langid.train(docs.where(~langid.held_out(4, 2)))
     found = langid.predict(docs, model, carry=True).where("lang_pred <> 'und' and score >= 0.5")
-    return found.select([F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    return found.select([F.col("lang_pred").alias("lang") if c == "lang" else F.col("text" if c == "text" else f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True).where("not contaminated")
-    return found.select([F.col(f"row.`{c}`") for c in docs.columns])
+    return found.select([F.col("text" if c == "text" else f"row.`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import arrow_limits, built, slices
 
 NONE = np.int32(0x7FFFFFFF)
-#: A worker forgets the words it has encoded beyond this count (about 100 MB).
-KEPT_WORDS = 400_000
+#: A worker forgets the words it has encoded beyond this count (about 70 MB).
+KEPT_WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

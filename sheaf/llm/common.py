@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,7 +23,7 @@ LOWER_TABLE = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 #: The same word rule on a text that is not yet lower-cased, for offsets into the original.
 ORIGINAL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A batch of rows sent to Python holds about this many bytes of text at most (one longer text still goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -40,16 +42,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     except Exception as error:  # an older Spark doesn't know the setting; the record limit still holds
         if "maxBytesPerBatch" not in str(error):
             raise
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch cut into runs of about SLICE_BYTES of text, with the texts as bytes (null: empty)."""
+    try:
+        yield from _slices(batches, column)
+    finally:
+        give_back()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 
 
 def whole_row(df: DataFrame, wanted: bool) -> list[Column]:
-    """All columns of a row as one struct `row`, if wanted."""
+    """All columns of a row as one struct `row`, if wanted. The text isn't among them: it comes along once, as `text`."""
     return [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")] if wanted else []
 
 
@@ -85,7 +101,7 @@ def token() -> str:
 _BUILT: dict[str, object] = {}
 
 
-def built(key: str, make: Callable[[], object], keep: int = 2) -> object:
+def built(key: str, make: Callable[[], object], keep: int = 1) -> object:
     """What `make` returned in this Python worker before under `key`; a worker keeps the last few only."""
     if key not in _BUILT:
         while len(_BUILT) >= keep:

@@ -74,12 +74,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
 
     A null or empty text has no words and isn't contaminated; a null id stays null; repeated rows give repeated results;
     items with null or wordless text never occur; items that share an id count once; a null item id counts as the id "".
-    Empty tables are fine. Other columns are ignored, whatever their names, or come along as the struct `row` if `carry`.
+    Empty tables are fine. Other columns are ignored, whatever their names, or come along, as `text` and the struct `row`, if `carry`.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"), *whole_row(docs, carry))
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"), *whole_row(docs.drop(text_col), carry))
     id_type = frame.schema["id"].dataType.simpleString()
     more = frame.schema.fields[5:]
     schema = with_fields(f"id {id_type}, text string, n_words long, ranges array<int>, items array<string>", more)
@@ -95,8 +95,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
         frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast(block), token(), width), schema)
 
     spans = "array<struct<start:int,end:int>>"
-    schema = with_fields(f"id {id_type}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans {spans}", more)
-    return frame.mapInArrow(_digest(share), schema).withColumnRenamed("id", id_col)
+    schema = with_fields(f"id {id_type}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans {spans}", [frame.schema["text"], *more] if carry else more)
+    return frame.mapInArrow(_digest(share, carry), schema).withColumnRenamed("id", id_col)
 
 
 def _pass(block, key: str, width: int):
@@ -120,7 +120,7 @@ def _pass(block, key: str, width: int):
     return run
 
 
-def _digest(share: int):
+def _digest(share: int, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:

@@ -121,7 +121,7 @@ class Scorer:
 
     def label(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language of each word of each text: Viterbi in step over all texts at once, longest first."""
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self._forget()
         before = len(self.known)
         codes = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in texts]
@@ -171,10 +171,10 @@ def predict(docs: DataFrame, model: Model, *, penalty: float = 9.0, id_col: str
 
     A row per input row and no shuffle; the broadcast model is bounded by train(). A text that is null, has no letter, or
     meets a model without languages is `und` with score 0 and no spans. Ties go to the first language by name. A null id stays
-    null; repeated rows give repeated results; other columns are ignored, or come along unchanged as the struct `row` if `carry`.
+    null; repeated rows give repeated results; other columns are ignored, or come along unchanged, as `text` and the struct `row`, if `carry`.
     """
     arrow_limits(docs.sparkSession)
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *whole_row(docs, carry))
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *whole_row(docs.drop(text_col), carry))
     shared, key = docs.sparkSession.sparkContext.broadcast(model), token()
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
@@ -196,10 +196,10 @@ def predict(docs: DataFrame, model: Model, *, penalty: float = 9.0, id_col: str
                 scores.append(float(weight[best] / weight.sum()))
                 cuts = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1], [True]]))
                 spans.append([{"first": int(a), "last": int(b) - 1, "lang": names[int(labels[a])]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind), *batch.columns[2:]], names=["id", "lang_pred", "score", "spans", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind), *batch.columns[1 if carry else 2 :]], names=["id", "lang_pred", "score", "spans", *batch.schema.names[1 if carry else 2 :]])
 
     schema = f"id {frame.schema['id'].dataType.simpleString()}, lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
-    return frame.mapInArrow(run, with_fields(schema, frame.schema.fields[2:])).withColumnRenamed("id", id_col)
+    return frame.mapInArrow(run, with_fields(schema, frame.schema.fields[1 if carry else 2 :])).withColumnRenamed("id", id_col)
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id") -> F.Column:

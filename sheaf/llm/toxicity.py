@@ -201,7 +201,7 @@ class Reader:
         self.index, self.known = index, {}
 
     def score(self, text: str) -> tuple[float, list[dict]]:
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known = {}
         known, terms, counts = self.known, self.index.terms, {}
         for word in WORDS.findall(text.lower()):
