@@ -18,16 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sheaf.llm.common import arrow_limits, built, slices, token, whole_row, with_fields
+from sheaf.llm.common import arrow_limits, built, checkpointed, give_back, slices, token, whole_row, with_fields
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in pieces of this size; a place within a piece fits in PLACE_BITS.
-PIECE, PLACE_BITS = 1 << 19, 20
-RUN_BYTES = 24 << 20
+PIECE, PLACE_BITS = 1 << 18, 20
+RUN_BYTES = 12 << 20
+#: What the runs of one part may hold when unpacked, about.
+PART_BYTES = 64 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -85,22 +90,35 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def pack_run(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
+def pack_run(entries: list[tuple[bytes, bytes, bytes]], copies: dict[bytes, bytes] | None = None) -> bytes:
     """A sorted run of (suffix, bytes before it, occurrences), front-coded: each suffix as the length of the prefix that it
-    shares with the one before, and the rest."""
+    shares with the one before, and the rest. `copies` has occurrences of surroundings that another run brings, by digest."""
     parts, before = [], b""
     for suffix, left, places in entries:
         lcp = common(before, suffix)
         parts.append(struct.pack("<HHHI", lcp, len(suffix) - lcp, len(left), len(places)))
         parts += [suffix[lcp:], left, places]
         before = suffix
-    return zlib.compress(b"".join(parts), 1)
+    own = b"".join(parts)
+    others = b"".join(d + struct.pack("<I", len(p)) + p for d, p in (copies or {}).items())
+    return zstandard.compress(struct.pack("<I", len(own)) + own + others, 10)
+
+
+def read_copies(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(digest, occurrences) of the copies of a run."""
+    data = zstandard.decompress(data)
+    at = 4 + struct.unpack_from("<I", data)[0]
+    while at < len(data):
+        size = struct.unpack_from("<I", data, at + 16)[0]
+        yield data[at : at + 16], data[at + 20 : at + 20 + size]
+        at += 20 + size
 
 
 def read_run(data: bytes) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """(common prefix with the one before, suffix, bytes before it, occurrences)."""
-    data, at, before = zlib.decompress(data), 0, b""
-    while at < len(data):
+    data, at, before = zstandard.decompress(data), 4, b""
+    end = 4 + struct.unpack_from("<I", data)[0]
+    while at < end:
         lcp, rest, left, places = struct.unpack_from("<HHHI", data, at)
         at += 10
         before = before[:lcp] + data[at : at + rest]
@@ -200,64 +218,100 @@ def repeated(group: list[tuple[int, bytes, bytes, bytes]], length: int) -> Itera
                 yield group[j][3], a + x, a + y - 1
 
 
+def digest(left: bytes, suffix: bytes) -> bytes:
+    """Of an anchor's surroundings: the reversed bytes before it and the suffix from it."""
+    return xxhash.xxh3_128_digest(len(left).to_bytes(4, "little") + left + suffix)
+
+
 #: An occurrence: the two keys of the document and the anchor's place in it.
 _PLACE = "<qqq"
 OCCURRENCE = struct.calcsize(_PLACE)
 
 
-def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 100, bits: int = 27) -> DataFrame:
+def slot_map(rows: DataFrame, column: str, bits: int) -> bytes:
+    """A packed bitmap of the top `bits` bits of a column's values; collected as at most 2**bits bits."""
+    slots = rows.select(F.shiftrightunsigned(column, 64 - bits).alias("slot"))
+    maps = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    out = np.zeros(((1 << bits) // 32768 + 2) * 4096, np.uint8)
+    for row in maps.collect():
+        at = (row["bucket"] - 1) * 4096  # buckets count from 1; slot 0 alone is in bucket 0, kept at the end
+        piece = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[at if at >= 0 else len(out) - 4096 :][: len(piece)] = piece
+    return zlib.compress(out.tobytes(), 1)
+
+
+def in_slot_map(known: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    slot = (values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    bit = np.where(slot > 0, slot - 1, (len(known) - 4096) * 8)
+    return (known[bit >> 3] >> (bit & 7) & 1).astype(bool)
+
+
+def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 48, bits: int = 27) -> DataFrame:
     """Byte ranges (k1, k2, start, end) covered by strings of `length` bytes that also start elsewhere, from documents given as
     (k1, k2, text). Ranges may overlap; a document's ranges together are exact."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchors(t, length, gram)[3] for t in texts]), pa.int64())], names=["g"])
 
-    slot = F.shiftrightunsigned("g", 64 - bits)
-    twice = docs.select("text").mapInArrow(grams, "g long").groupBy("g").count().where("count > 1").select(slot.alias("slot"))
+    twice = docs.select("text").mapInArrow(grams, "g long").groupBy("g").count().where("count > 1")
     # a bitmap of fixed size, whatever the input: where it is full, more suffixes are sorted, and the result is the same
-    maps = twice.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-    bitmap = np.zeros(((1 << bits) // 32768 + 2) * 4096, np.uint8)
-    for row in maps:
-        at = (row["bucket"] - 1) * 4096  # buckets count from 1: slot 0 is alone in bucket 0 and shown at the end
-        piece = np.frombuffer(bytes(row["bits"]), np.uint8)
-        if at >= 0:
-            bitmap[at : at + len(piece)] = piece
-        else:
-            bitmap[-4096:] = piece
-    shared, key = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1)), token()
+    shared, key = spark.sparkContext.broadcast(slot_map(twice, "g", bits)), token()
+
+    def surroundings(k1: int, text: bytes, known: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(gram, place, suffix, bytes before it) of the anchors whose gram may occur again."""
+        at, first, last, g = anchors(text, length, gram)
+        if len(at):
+            for j in np.flatnonzero(in_slot_map(known, g, bits)).tolist():
+                p, a, b = int(at[j]), int(first[j]), int(last[j])
+                yield int(g[j]), p, text[p : b + length], text[a:p][::-1]
+
+    def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8), 3)  # type: ignore[assignment]
+        for batch, texts in slices(batches):
+            found, owners = [], []
+            for k1, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                own = {digest(left, suffix) for _, _, suffix, left in surroundings(k1, text, known)}
+                found += own
+                owners += [k1 >> 32] * len(own)
+            halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(owners, pa.int32())], names=["c1", "c2", "k"])
+
+    # of equal surroundings only an elected document's (the smallest key's) send their bytes; where this bitmap is full, more do
+    elected = docs.select("k1", "text").mapInArrow(ballots, "c1 long, c2 long, k int").groupBy("c1", "c2").agg(F.min("k").alias("k")).select(F.xxhash64("c1", "c2", "k").alias("vote"))
+    ballot = slot_map(elected, "vote", bits)
+    chosen, chosen_key = spark.sparkContext.broadcast(ballot), token()
+    # as many parts as keep what one of them sorts within PART_BYTES: larger runs share longer prefixes
+    senders = int(np.bitwise_count(np.frombuffer(zlib.decompress(ballot), np.uint8)).sum(dtype=np.int64))
+    parts = max(8, -(-senders * 2 * length // PART_BYTES))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8))  # type: ignore[assignment]
-        held: dict[int, dict[tuple[bytes, bytes], list[bytes]]] = {}
+        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8), 3)  # type: ignore[assignment]
+        votes: np.ndarray = built(chosen_key, lambda: np.frombuffer(zlib.decompress(chosen.value), np.uint8), 3)  # type: ignore[assignment]
+        held: dict[int, tuple[dict[tuple[bytes, bytes], list[bytes]], dict[bytes, list[bytes]]]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(part, pack_run([(s, left, b"".join(o)) for (s, left), o in sorted(entries.items())])) for part, entries in held.items()]
+            rows = [(part, pack_run([(s, left, b"".join(o)) for (s, left), o in sorted(entries.items())], {d: b"".join(o) for d, o in copies.items()})) for part, (entries, copies) in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "run"])
 
         for batch, texts in slices(batches):
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                at, first, last, g = anchors(text, length, gram)
-                if not len(at):
-                    continue
-                s = (g.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-                # bit_position(n) is (n - 1) % 32768 within bucket 1 + (n - 1) // 32768, for n above 0
-                bit = np.where(s > 0, s - 1, (len(known) - 4096) * 8)
-                for j in np.flatnonzero(known[bit >> 3] >> (bit & 7) & 1).tolist():
-                    p, a, b = int(at[j]), int(first[j]), int(last[j])
-                    entries = held.setdefault(int(g[j]) % parts, {})
-                    entry = (text[p : b + length], text[a:p][::-1])
-                    places = entries.get(entry)
-                    if places is None:
-                        places = entries[entry] = []
-                        size += b + length - a + 100
-                    places.append(struct.pack(_PLACE, k1, k2, p))
-                    size += 60
+                found = list(surroundings(k1, text, known))
+                digests = [digest(left, suffix) for _, _, suffix, left in found]
+                own = in_slot_map(votes, spark_hash(digests, k1 >> 32), bits).tolist() if found else []
+                for (g, p, suffix, left), d, mine in zip(found, digests, own, strict=True):
+                    entries, copies = held.setdefault(g % parts, ({}, {}))
+                    if mine:
+                        if (suffix, left) not in entries:
+                            size += len(suffix) + len(left) + 200
+                        entries.setdefault((suffix, left), []).append(struct.pack(_PLACE, k1, k2, p))
+                    else:
+                        copies.setdefault(d, []).append(struct.pack(_PLACE, k1, k2, p))
+                    size += 100
                 if size > RUN_BYTES:
                     yield flush()
                     size = 0
@@ -266,10 +320,17 @@ def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 100, bit
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _by_part(batches):
+            copies: dict[bytes, list[bytes]] = {}
+            for run in own:
+                for d, places in read_copies(run):
+                    copies.setdefault(d, []).append(places)
             group: list[tuple[int, bytes, bytes, bytes]] = []
             out: list[tuple[int, int, int, int]] = []
 
             def done() -> None:
+                for i, (lcp, suffix, left, places) in enumerate(group):
+                    if more := copies.pop(digest(left, suffix), None):
+                        group[i] = (lcp, suffix, left, places + b"".join(more))
                 if len(group) == 1 and len(group[0][3]) == OCCURRENCE:
                     return
                 for places, d0, d1 in repeated(group, length):
@@ -288,6 +349,9 @@ def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 100, bit
                     continue
                 group.append(entry)
             done()
+            group = []
+            if copies:
+                raise RuntimeError("copies without their surroundings")
             if out:
                 yield _ranges(out)
 
@@ -295,6 +359,16 @@ def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 100, bit
     return exchanged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "k1 long, k2 long, start long, end long")
 
 
+def spark_hash(digests: list[bytes], k: int) -> np.ndarray:
+    """Spark's xxhash64(c1, c2, k) of the two halves of each digest and an int: XXH64 of each value, seeded by the one before."""
+    out = np.empty(len(digests), np.int64)
+    tail = (k & 0xFFFFFFFF).to_bytes(4, "little")
+    for i, d in enumerate(digests):
+        h = xxhash.xxh64_intdigest(tail, xxhash.xxh64_intdigest(d[8:], xxhash.xxh64_intdigest(d[:8], 42)))
+        out[i] = h - (1 << 64) if h >> 63 else h
+    return out
+
+
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The runs of each part, from rows sorted by part."""
     now, own = None, []
@@ -313,12 +387,12 @@ def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["k1", "k2", "start", "end"])
 
 
-def dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 400, gram: int = 48, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Remove from every whole text, as UTF-8 bytes, each byte covered by a `length`-byte string that also starts anywhere
     else in the documents: the id column, n_bytes, n_removed, n_spans, spans (start and end bytes of the removed runs) and kept.
 
     Strings are judged on the input, never cross documents, and may overlap themselves. What a task holds are the runs of its
-    part of the grams; equal surroundings of an anchor collapse in a run before the exchange. A null text is empty; a text shorter
+    part of the grams; of equal surroundings of anchors one document sends the bytes and the others a digest. A null text is empty; a text shorter
     than `length` loses nothing; repeated rows are copies of each other; a null id stays null; an empty table gives no rows;
     other columns are ignored, or come along as the struct `row` if `carry`, beside the column
     `text` with what is left of the text (whole characters only).
@@ -327,32 +401,59 @@ def dedup(docs: DataFrame, *, length: int = 400, gram: int = 100, id_col: str =
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     others = whole_row(docs.drop(text_col), carry)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, name).alias("k2"), text.alias("text"), *others)
-    ranges = duplicate_ranges(rows.select("k1", "k2", "text"), length=length, gram=gram)
+    ranges = checkpointed(duplicate_ranges(rows.select("k1", "k2", "text"), length=length, gram=gram))
     by_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = rows.join(by_doc, ["k1", "k2"], "left").select("id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"), *["row"] * carry)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch, texts in slices(batches):
-            spans, kept = [], []
-            for t, a, b in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found: list[list[int]] = []
-                for x, y in sorted(zip(a or [], b or [], strict=True)):
-                    if found and x <= found[-1][1]:
-                        found[-1][1] = max(found[-1][1], y)
-                    else:
-                        found.append([x, y])
-                cuts = [0, *(x for r in found for x in r), len(t)]
-                kept.append(b"".join(t[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
-                spans.append([{"start": x, "end": y} for x, y in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *[pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * carry, *batch.columns[4:]],
-                names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *["text"] * carry, *batch.schema.names[4:]],
-            )
+    # only texts that may have ranges go through the join; the bitmap that tells them has a fixed size
+    shared, key = docs.sparkSession.sparkContext.broadcast(slot_map(ranges, "k1", 26)), token()
+
+    def kept_back(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8), 3)  # type: ignore[assignment]
+        for batch in batches:
+            yield batch.filter(pa.array(in_slot_map(known, batch.column(1).to_numpy(), 26) == wanted))
+
+    def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for batch in kept_back(batches, True):
+            texts = batch.column(3).cast(pa.binary())
+            yield batch.set_column(3, "text", pa.array([packer.compress(t.as_py()) for t in texts], pa.binary()))
+        give_back()
+
+    def unshuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.list_(pa.int64())
+        for batch in kept_back(batches, False):
+            no = pa.nulls(batch.num_rows, none)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), no, no, *batch.columns[4:]], names=["id", "text", "starts", "ends", *batch.schema.names[4:]])
+
+    def cut(packed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batches = batches if packed else unshuffled(batches)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            for batch, texts in slices(batches):
+                texts = [zstandard.decompress(t) for t in texts] if packed else texts
+                spans, kept = [], []
+                for t, a, b in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    found: list[list[int]] = []
+                    for x, y in sorted(zip(a or [], b or [], strict=True)):
+                        if found and x <= found[-1][1]:
+                            found[-1][1] = max(found[-1][1], y)
+                        else:
+                            found.append([x, y])
+                    cuts = [0, *(x for r in found for x in r), len(t)]
+                    kept.append(b"".join(t[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
+                    spans.append([{"start": x, "end": y} for x, y in found])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([len(t) - len(k) for t, k in zip(texts, kept, strict=True)], pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *[pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())] * carry, *batch.columns[4:]],
+                    names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *["text"] * carry, *batch.schema.names[4:]],
+                )
+
+        return run
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary" + ", text string" * carry
-    return joined.mapInArrow(cut, with_fields(schema, joined.schema.fields[4:])).withColumnRenamed("id", id_col)
+    sent = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
+    hit = rows.mapInArrow(shuffled, sent).join(by_doc, ["k1", "k2"], "left").select("id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"), *["row"] * carry)
+    schema = with_fields(schema, hit.schema.fields[4:])
+    return hit.mapInArrow(cut(True), schema).unionByName(rows.mapInArrow(cut(False), schema)).withColumnRenamed("id", id_col)
 
 
 def brute(texts: list[bytes], length: int) -> list[list[bool]]:
