@@ -29,8 +29,8 @@ FAMILIES = [
 NOTICES = [("", 1, 0.8), ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?", 2, 1.0), ("(?:released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?", 2, 0.95), ("spdx licen[cs]e identifier ", 3, 1.0)]
 #: Several hundred rules: each name on its own and behind each notice.
 RULES = [(label, keyword, priority, confidence, f"(?<= ){notice}{name}(?= )") for label, keyword, name in FAMILIES for notice, priority, confidence in NOTICES]
-#: Keywords that no rule's text can do without, as one pattern over the raw text.
-GATE = r"(?i)licen[cs]e|\bcc|gpl|gnu|copyright|creative|permission|redistribution|public|reserved|0bsd|bsd|apache|mpl|cddl|eupl|perl|wtfpl|proprietary|illinois|evil"
+#: Keywords that no rule's text can do without, as one pattern over the raw text; `cc` starts a word by the separators above (a `_` is one).
+GATE = rf"(?i)licen[cs]e|(?:^|{_SEPARATOR})cc|gpl|gnu|copyright|creative|permission|redistribution|public|reserved|0bsd|bsd|apache|mpl|cddl|eupl|perl|wtfpl|proprietary|illinois|evil"
 
 
 def _flat(text: Column) -> Column:

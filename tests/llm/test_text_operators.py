@@ -159,6 +159,15 @@ def test_licenses(spark, docs, awkward):
     assert [d["label"] for d in inner] == ["cc-by", "cc-by", "mit", "mit", "gpl-3.0"] and len(licenses.RULES) > 300
 
 
+def test_licenses_behind_any_separator(spark):
+    texts = [f"{a}{name}{b}" for name in ("CC BY", "cc_by_4.0", "CC0") for a in ("", "_", "a_", "photo_", "\x7f", "`", "x-", "9", "\u00e9") for b in ("", "_", ".jpg", "_b")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        assert (out[i]["n_words"], out[i]["n_base"], out[i]["first_word"], out[i]["last_word"], out[i]["base_labels"]) == base_places(text), text
+        assert ("cc0-1.0" in out[i]["labels"]) == ("cc0" in WORD.findall(text.translate(LOWER))), text
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.language(docs).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out(4, 2))
