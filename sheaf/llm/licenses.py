@@ -23,11 +23,11 @@ FAMILIES = [
     ("bsd", "bsd", "bsd licen[cs]e"), ("bsd-2-clause", "bsd", "bsd 2 clause"), ("bsd-2-clause", "simplified", "simplified bsd licen[cs]e"), ("bsd-3-clause", "bsd", "bsd 3 clause"), ("bsd-3-clause", "new bsd", "new bsd licen[cs]e"), ("bsd-3-clause", "modified", "modified bsd licen[cs]e"), ("bsd-4-clause", "bsd", "bsd 4 clause"), ("0bsd", "bsd", "0bsd"), ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
     ("mpl", "mozilla", "mozilla public licen[cs]e"), ("mpl-1.1", "mozilla", "mozilla public licen[cs]e (?:version |v )?1 1"), ("mpl-2.0", "mozilla", "mozilla public licen[cs]e (?:version |v )?2 0"), ("mpl-2.0", "mpl", "mpl 2 0"), ("epl", "eclipse", "eclipse public licen[cs]e"), ("epl-1.0", "eclipse", "eclipse public licen[cs]e (?:version |v )?1 0"), ("epl-2.0", "eclipse", "eclipse public licen[cs]e (?:version |v )?2 0"), ("cddl", "cddl", "cddl(?: 1 [01])?"), ("cddl", "common development", "common development and distribution licen[cs]e"), ("cpl-1.0", "common public", "common public licen[cs]e"), ("eupl", "eupl", "eupl(?: 1 [12])?"), ("eupl", "european", "european union public licen[cs]e"),
     ("cc-by", "cc", "cc by"), ("cc-by-4.0", "cc", "cc by 4 0"), ("cc-by-3.0", "cc", "cc by 3 0"), ("cc-by-sa", "cc", "cc by sa"), ("cc-by-sa-4.0", "cc", "cc by sa 4 0"), ("cc-by-sa-3.0", "cc", "cc by sa 3 0"), ("cc-by-nc", "cc", "cc by nc"), ("cc-by-nc-4.0", "cc", "cc by nc 4 0"), ("cc-by-nc-3.0", "cc", "cc by nc 3 0"), ("cc-by-nd", "cc", "cc by nd"), ("cc-by-nd-4.0", "cc", "cc by nd 4 0"), ("cc-by-nc-sa", "cc", "cc by nc sa"), ("cc-by-nc-sa-4.0", "cc", "cc by nc sa 4 0"), ("cc-by-nc-nd", "cc", "cc by nc nd"), ("cc-by-nc-nd-4.0", "cc", "cc by nc nd 4 0"), ("cc0-1.0", "cc0", "cc0(?: 1 0)?"), ("cc0-1.0", "universal", "cc0 1 0 universal"), ("cc", "creative", "creative commons"), ("cc-by", "creative", "creative commons attribution"), ("cc-by-sa", "creative", "creative commons attribution share ?alike"), ("cc-by-nc", "creative", "creative commons attribution non ?commercial"), ("cc-by-nd", "creative", "creative commons attribution no ?derivatives"), ("cc-by-nc-sa", "creative", "creative commons attribution non ?commercial share ?alike"), ("cc-by-4.0", "creative", "creative commons attribution 4 0(?: international)?"),
-    ("unlicense", "unlicense", "unlicense"), ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"), ("public-domain", "public domain", "public domain"), ("wtfpl", "wtfpl", "wtfpl"), ("zlib", "zlib", "zlib licen[cs]e"), ("bsl-1.0", "boost", "boost software licen[cs]e(?: version 1 0| 1 0)?"), ("artistic", "artistic", "artistic licen[cs]e"), ("artistic-2.0", "artistic", "artistic licen[cs]e 2 0"), ("perl", "perl", "same terms as perl itself"), ("python-2.0", "python", "python software foundation licen[cs]e"), ("php-3.01", "php", "php licen[cs]e(?: version 3 01)?"), ("ofl-1.1", "ofl", "sil open font licen[cs]e(?: version 1 1)?"), ("ofl-1.1", "open font", "open font licen[cs]e(?: version 1 1)?"), ("openssl", "openssl", "openssl licen[cs]e"), ("postgresql", "postgresql", "postgresql licen[cs]e"), ("ms-pl", "microsoft", "microsoft public licen[cs]e"), ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"), ("upl-1.0", "universal permissive", "universal permissive licen[cs]e"), ("odbl-1.0", "open database", "open database licen[cs]e"), ("ncsa", "ncsa", "ncsa open source licen[cs]e"), ("ncsa", "illinois", "university of illinois ncsa"), ("afl-3.0", "academic", "academic free licen[cs]e"), ("osl-3.0", "open software", "open software licen[cs]e"), ("vim", "vim", "vim licen[cs]e"), ("qpl-1.0", "qpl", "q public licen[cs]e"), ("sspl-1.0", "server side", "server side public licen[cs]e"), ("busl-1.1", "business source", "business source licen[cs]e"), ("elastic-2.0", "elastic", "elastic licen[cs]e(?: 2 0)?"), ("json", "good not evil", "shall be used for good not evil"), ("proprietary", "proprietary", "proprietary and confidential"), ("all-rights-reserved", "reserved", "all rights reserved"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
+    ("unlicense", "unlicense", "unlicense"), ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"), ("public-domain", "public domain", "public domain"), ("wtfpl", "wtfpl", "wtfpl"), ("zlib", "zlib", "zlib licen[cs]e"), ("bsl-1.0", "boost", "boost software licen[cs]e(?: version 1 0| 1 0)?"), ("artistic", "artistic", "artistic licen[cs]e"), ("artistic-2.0", "artistic", "artistic licen[cs]e 2 0"), ("perl", "perl", "same terms as perl itself"), ("python-2.0", "python", "python software foundation licen[cs]e"), ("php-3.01", "php", "php licen[cs]e(?: version 3 01)?"), ("ofl-1.1", "open font", "sil open font licen[cs]e(?: version 1 1)?"), ("ofl-1.1", "open font", "open font licen[cs]e(?: version 1 1)?"), ("openssl", "openssl", "openssl licen[cs]e"), ("postgresql", "postgresql", "postgresql licen[cs]e"), ("ms-pl", "microsoft", "microsoft public licen[cs]e"), ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"), ("upl-1.0", "universal permissive", "universal permissive licen[cs]e"), ("odbl-1.0", "open database", "open database licen[cs]e"), ("ncsa", "ncsa", "ncsa open source licen[cs]e"), ("ncsa", "illinois", "university of illinois ncsa"), ("afl-3.0", "academic", "academic free licen[cs]e"), ("osl-3.0", "open software", "open software licen[cs]e"), ("vim", "vim", "vim licen[cs]e"), ("qpl-1.0", "q public", "q public licen[cs]e"), ("sspl-1.0", "server side", "server side public licen[cs]e"), ("busl-1.1", "business source", "business source licen[cs]e"), ("elastic-2.0", "elastic", "elastic licen[cs]e(?: 2 0)?"), ("json", "good not evil", "shall be used for good not evil"), ("proprietary", "proprietary", "proprietary and confidential"), ("all-rights-reserved", "reserved", "all rights reserved"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
 ]
 #: Notices that raise a name to a license statement: words before it, and the priority and confidence that they give.
 NOTICES = [("", 1, 0.8), ("licen[cs]ed under (?:the )?(?:terms of (?:the )?)?", 2, 1.0), ("(?:released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?", 2, 0.95), ("spdx licen[cs]e identifier ", 3, 1.0)]
-#: Several hundred rules: each name on its own and behind each notice.
+#: Each signature on its own and behind each notice.
 RULES = [(label, keyword, priority, confidence, f"(?<= ){notice}{name}(?= )") for label, keyword, name in FAMILIES for notice, priority, confidence in NOTICES]
 #: Keywords that no rule's text can do without, as one pattern over the raw text; `cc` starts a word by the separators above (a `_` is one).
 GATE = rf"(?i)licen[cs]e|(?:^|{_SEPARATOR})cc|gpl|gnu|copyright|creative|permission|redistribution|public|reserved|0bsd|bsd|apache|mpl|cddl|eupl|perl|wtfpl|proprietary|illinois|evil"

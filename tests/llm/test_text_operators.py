@@ -168,6 +168,13 @@ def test_licenses_behind_any_separator(spark):
         assert ("cc0-1.0" in out[i]["labels"]) == ("cc0" in WORD.findall(text.translate(LOWER))), text
 
 
+def test_license_keywords_are_in_their_signatures(spark):
+    for _, keyword, signature in licenses.FAMILIES:
+        assert keyword in re.sub(r"\(\?:[^()]*\)\?", "", signature), signature
+    docs = spark.createDataFrame([(1, "under the Q Public License"), (2, "SIL Open Font Licence version 1.1")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()} == {1: "qpl-1.0", 2: "ofl-1.1"}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = queries.language(docs).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out(4, 2))
