@@ -1,8 +1,9 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index; weighted votes, calibrated."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over an inverted index of all terms; weighted votes, calibrated."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,6 @@ from sheaf.llm.bpe import Numbered
 from sheaf.llm.common import arrow_limits, built, slices, token
 
 WORDS = re.compile(r"[^\W\d_]+")
-BLOCK = 64
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -34,17 +34,16 @@ def term_counts(text: str) -> dict[str, int]:
 
 @dataclass
 class Index:
-    """Postings of the examples by term, cut into blocks of BLOCK examples with the largest weight in each."""
+    """Postings of the examples by term: every term of every example, none left out."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the strength of the term, if strengths are given
     ids: list[str]
     labels: np.ndarray
     weights: np.ndarray  # of a vote, by the share of the class that was sampled
     examples: np.ndarray  # postings, by term and example
     values: np.ndarray
-    starts: np.ndarray  # term x (blocks + 1)
-    best: np.ndarray  # term x blocks
+    starts: np.ndarray  # by term, and the end
     k: int
     prior: float
     steps: tuple[np.ndarray, np.ndarray]  # raw vote to calibrated score
@@ -53,60 +52,66 @@ class Index:
     def build(cls, ids: list[str], labels: np.ndarray, weights: np.ndarray, vectors: list[dict[str, int]], document_counts: dict[str, int], k: int) -> Index:
         terms = {t: i for i, t in enumerate(sorted(document_counts))}
         idf = np.log((1 + len(ids)) / np.array([document_counts[t] for t in terms], float)) if terms else np.zeros(0)
-        blocks = -(-len(ids) // BLOCK)
-        rows = []
-        for j, counts in enumerate(vectors):
-            at, q = cls.unit(terms, idf, counts)
-            rows += [(t, j, w) for t, w in zip(at.tolist(), q.tolist(), strict=True)]
-        rows.sort()
-        term, example, value = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        starts = np.searchsorted(term * (blocks + 1) + example // BLOCK, np.arange(len(terms))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :])
-        best = np.zeros((len(terms), blocks))
-        np.maximum.at(best, (term, example // BLOCK), value)
+        found = [(terms[t], j, n) for j, v in enumerate(vectors) for t, n in v.items() if t in terms]
+        term, example, n = np.array(found, np.int64).reshape(-1, 3).T
+        return cls.of(ids, labels, weights, terms, idf, term, example, n, k)
+
+    @classmethod
+    def of(cls, ids: list[str], labels: np.ndarray, weights: np.ndarray, terms: dict[str, int], idf: np.ndarray, term: np.ndarray, example: np.ndarray, n: np.ndarray, k: int) -> Index:
+        """From the counts `n` of each term in each example, a pair at most once."""
+        order = np.lexsort((term, example))
+        term, example, n = term[order], example[order], n[order]
+        cuts = np.searchsorted(example, np.arange(len(ids) + 1))
+        vectors = [(term[x:y], cls.scaled(idf, term[x:y], n[x:y])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        value = np.concatenate([np.zeros(0), *(q for _, q in vectors)])
+        order = np.lexsort((example, term))
+        term, example, value = term[order], example[order], value[order]
+        starts = np.searchsorted(term, np.arange(len(terms) + 1))
         prior = float((weights * labels).sum() / max(weights.sum(), 1e-9))
-        index = cls(terms, idf, ids, labels, weights, example, value, starts, best, k, prior, (np.zeros(1), np.zeros(1)))
+        index = cls(terms, idf, ids, labels, weights, example, value, starts, k, prior, (np.zeros(1), np.zeros(1)))
         index._calibrate(vectors)
         return index
 
     @staticmethod
-    def unit(terms: dict[str, int], idf: np.ndarray, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def scaled(idf: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of the terms that a text holds so often, of unit length."""
+        q = (1 + np.log(n)) * idf[at]
+        norm = np.sqrt((q * q).sum())
+        return q / norm if norm > 0 else q
+
+    @classmethod
+    def unit(cls, terms: dict[str, int], idf: np.ndarray, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and their weights, of unit length."""
         found = [(terms[t], n) for t, n in counts.items() if t in terms]
         at = np.array([t for t, _ in found], np.int64)
-        q = (1 + np.log(np.array([n for _, n in found], float))) * idf[at] if found else np.zeros(0)
-        norm = np.sqrt((q * q).sum())
-        return at, q / norm if norm > 0 else q
+        return at, cls.scaled(idf, at, np.array([n for _, n in found], float))
 
     def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above zero, exactly (ties: the earlier example): blocks in order of their
-        bound, until no bound can reach the k-th cosine found."""
-        if not len(at):
+        """The k examples of the largest cosine above zero, exactly (ties: the earlier example): all postings of all terms
+        are summed."""
+        first = self.starts[at]
+        sizes = self.starts[at + 1] - first
+        end = np.cumsum(sizes)
+        if not len(at) or not end[-1]:
             return np.zeros(0, np.int64), np.zeros(0)
-        bounds = q @ self.best[at]
-        found, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(found) >= self.k and bounds[b] < cosines[self.k - 1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), q.tolist(), strict=True):
-                a, z = self.starts[t, b], self.starts[t, b + 1]
-                scores[self.examples[a:z] - b * BLOCK] += w * self.values[a:z]
-            if 0 <= without - b * BLOCK < BLOCK:
-                scores[without - b * BLOCK] = 0
-            here = np.flatnonzero(scores > 0)
-            found, cosines = np.concatenate([found, here + b * BLOCK]), np.concatenate([cosines, scores[here]])
-            order = np.lexsort((found, -np.round(cosines, 12)))[: self.k]
-            found, cosines = found[order], cosines[order]
-        return found, cosines
+        place = np.repeat(first - end + sizes, sizes) + np.arange(end[-1])
+        cosines = np.bincount(self.examples[place], self.values[place] * np.repeat(q, sizes), len(self.ids))
+        if without >= 0:
+            cosines[without] = 0
+        ranks = np.round(cosines, 12)
+        least = np.partition(ranks, -self.k)[-self.k] if len(ranks) > self.k else 0
+        found = np.flatnonzero((ranks >= least) & (cosines > 0))
+        found = found[np.lexsort((found, -ranks[found]))[: self.k]]
+        return found, cosines[found]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Votes weighted by squared cosine, pulled a little towards the prior."""
         w = cosines**2 * self.weights[found]
         return float(((w * self.labels[found]).sum() + 0.1 * self.prior) / (w.sum() + 0.1))
 
-    def _calibrate(self, vectors: list[dict[str, int]]) -> None:
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Isotonic regression of the label on the vote that each example gets from the others."""
-        votes = np.array([self.vote(*self.nearest(*self.unit(self.terms, self.idf, v), without=j)) for j, v in enumerate(vectors)])
+        votes = np.array([self.vote(*self.nearest(*v, without=j)) for j, v in enumerate(vectors)])
         levels: list[list[float]] = []  # weight, weighted label, lowest and highest vote
         for j in np.argsort(votes, kind="stable").tolist():
             levels.append([self.weights[j], self.weights[j] * self.labels[j], votes[j], votes[j]])
@@ -118,65 +123,75 @@ class Index:
             to = [(y + 0.5 * self.prior) / (w + 0.5) for w, y, _, _ in levels for _ in "ab"]
             self.steps = np.array(at), np.array(to)
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[dict]]:
+    def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
+        """From how often the text holds each known term, given by number."""
         if not self.ids:
             return 0.0, []
-        found, cosines = self.nearest(*self.unit(self.terms, self.idf, counts))
+        at = np.fromiter(counts, np.int64, len(counts))
+        found, cosines = self.nearest(at, self.scaled(self.idf, at, np.fromiter(counts.values(), float, len(counts))))
         evidence = [{"id": self.ids[j], "cosine": float(c), "toxic": int(self.labels[j])} for j, c in zip(found[:3].tolist(), cosines[:3].tolist(), strict=True)]
         return float(np.clip(np.interp(self.vote(found, cosines), *self.steps), 0, 1)), evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_terms: int = 4000, least_chi2: float = 20.0, least_effect: float = 0.02, least_terms: int = 20, least_count: int = 5, k: int = 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """An index of about `per_class` labelled texts of each class, over the terms whose presence depends on the label.
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, least_strength: float = 0.001, k: int = 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """An index of about `per_class` labelled texts of each class, over all their terms.
 
-    The sample is by hash of the id, so it doesn't depend on the layout. Document counts are summed on the executors; at
-    most `max_terms` terms (by chi-squared, then by name) and, of each example, only these reach the driver; beyond the
-    first `least_terms`, a term needs an effect (squared phi) of `least_effect`. An id with
-    several labels takes the largest; rows with a null id, label or text teach nothing; no labels give an empty index.
+    The sample is by hash of the id, so it doesn't depend on the layout. Terms are counted on the executors, and the counts of
+    the sample reach the driver, packed by text. No term is dropped: its idf is multiplied by its strength, the association
+    (phi) of its presence with the label, at least `least_strength`, so that words that say nothing of the label hardly count
+    and yet every known word finds neighbours. An id with several labels takes the largest, one with several texts the largest
+    counts; rows with a null id, label or text teach nothing; no labels give an empty index.
     """
     arrow_limits(docs.sparkSession)
+    none = Index.build([], np.zeros(0), np.zeros(0), [], {}, k)
     given = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
     if not sizes:
-        return Index.build([], np.zeros(0), np.zeros(0), [], {}, k)
+        return none
     share = F.create_map([F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, per_class / n))])
     sample = given.where(F.col("toxic").isin(*sizes)).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("toxic")] * (1 << 20))
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in slices(batches):
-            for (i, toxic), text in zip(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True), values, strict=True):
-                counts = term_counts(text.decode("utf-8", "replace"))
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.string()), pa.array([toxic] * n, pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["id", "toxic", "term", "n"])
-
-    rows = texts.mapInArrow(explode, "id string, toxic int, term string, n long")
-    examples = {(r["id"], r["toxic"]): {} for r in texts.select("id", "toxic").distinct().collect()}  # about 2 * per_class ids
-    n1 = sum(toxic for _, toxic in examples)
-    n0 = len(examples) - n1
-    if not n1 or not n0:
-        return Index.build([], np.zeros(0), np.zeros(0), [], {}, k)
-    a, b, n = F.col("a"), F.col("b"), float(n1 + n0)
-    chi2 = n * F.pow(a * n0 - b * n1, 2) / (F.lit(float(n1)) * n0 * (a + b) * F.greatest(n - a - b, F.lit(0.5)))
-    counts = rows.groupBy("term").agg(F.expr("count_if(toxic = 1)").cast("double").alias("a"), F.expr("count_if(toxic = 0)").cast("double").alias("b"))
-    chosen = counts.where((a + b >= least_count) & (chi2 >= least_chi2)).orderBy(F.desc(chi2), "term").limit(max_terms).select("term", "a", "b", chi2.alias("chi2")).collect()
-    chosen = [r for i, r in enumerate(chosen) if i < least_terms or r["chi2"] >= least_effect * n]
-    document_counts = {r["term"]: int(r["a"] + r["b"]) for r in chosen}
-    chosen_frame = docs.sparkSession.createDataFrame([(t,) for t in document_counts], "term string")
-    kept = rows.join(F.broadcast(chosen_frame), "term").groupBy("id", "toxic", "term").agg(F.max("n").alias("n")).groupBy("id", "toxic").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("terms")) if document_counts else None
-    if kept is not None:
-        examples |= {(r["id"], r["toxic"]): r["terms"] for r in kept.collect()}
-    ids = sorted(examples)
+            found = [term_counts(text.decode("utf-8", "replace")) for text in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["id", "toxic", "terms", "n"])
+
+    rows = texts.mapInArrow(count, "id string, toxic int, terms array<string>, n array<long>").toArrow().combine_chunks()  # about 2 * per_class texts
+    keys = list(zip(rows["id"].to_pylist(), rows["toxic"].to_pylist(), strict=True))
+    ids = sorted(set(keys))
     toxic = np.array([t for _, t in ids], float)
+    n1 = float(toxic.sum())
+    n0 = len(ids) - n1
+    if not n1 or not n0:
+        return none
+    number = {x: j for j, x in enumerate(ids)}
+    of_row = np.array([number[x] for x in keys], np.int64)
+    names, example, n = [], [], []
+    terms: dict[str, int] = Numbered()
+    for j, own, counts in zip(of_row.tolist(), rows["terms"], rows["n"], strict=True):
+        codes = np.fromiter(map(terms.__getitem__, own.as_py()), np.int64)
+        names.append(codes)
+        example.append(np.full(len(codes), j))
+        n.append(np.array(counts.as_py(), np.int64))
+    term, example, n = (np.concatenate(x) for x in (names, example, n))
+    order = np.lexsort((-n, example, term))  # texts of one id: the largest count
+    term, example, n = term[order], example[order], n[order]
+    first = np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] != example[:-1])])[: len(term)]
+    term, example, n = term[first], example[first], n[first]
+    df = np.bincount(term, minlength=len(terms)).astype(float)
+    a = np.bincount(term, toxic[example], len(terms))
+    phi = np.abs(a * n0 - (df - a) * n1) / np.sqrt(n1 * n0 * df * np.maximum(n1 + n0 - df, 0.5))
     weights = np.where(toxic == 1, sizes.get(1, 0) / n1, sizes.get(0, 0) / n0)
-    return Index.build([i for i, _ in ids], toxic, weights, [examples[x] for x in ids], document_counts, k)
+    idf = np.log((1 + len(ids)) / df) * np.maximum(phi, least_strength)
+    return Index.of([i for i, _ in ids], toxic, weights, dict(terms), idf, term, example, n, k)
 
 
 def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, score (0 to 1), predicted (1 if score >= 0.5) and evidence (the nearest examples) of every whole text.
 
     A row per input row and no shuffle; the broadcast index is bounded by fit(). A null, empty or wordless text, or one
-    without any known term, gets the score that such examples have; an empty index scores 0. A null id stays null; repeated
+    without any known term, gets the calibrated score of the prior; an empty index scores 0. A null id stays null; repeated
     rows give repeated results; other columns are ignored.
     """
     arrow_limits(docs.sparkSession)
@@ -195,7 +210,7 @@ def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: st
 
 
 class Reader:
-    """Scores texts, keeping which words have known terms (up to a bound)."""
+    """Scores texts, keeping the known terms of words (up to a bound)."""
 
     def __init__(self, index: Index):
         self.index, self.known = index, {}
@@ -204,10 +219,10 @@ class Reader:
         if len(self.known) > 200_000:
             self.known = {}
         known, terms, counts = self.known, self.index.terms, {}
-        for word in WORDS.findall(text.lower()):
+        for word, n in Counter(WORDS.findall(text.lower())).items():
             found = known.get(word)
             if found is None:
-                found = known[word] = tuple(t for t in terms_of(word) if t in terms)
+                found = known[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
             for t in found:
-                counts[t] = counts.get(t, 0) + 1
+                counts[t] = counts.get(t, 0) + n
         return self.index.score(counts)

@@ -250,6 +250,17 @@ def test_nearest_is_exact():
         assert found.tolist() == order.tolist() and np.allclose(cosines, every[order])
 
 
+def test_toxicity_finds_neighbours_by_any_known_word(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("plain", "quiet", "common", "words")) for _ in range(9)) + (f" rare{'abcdefghij'[i % 10]}" if i < 60 else "")) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (500, "raree"), (501, "unheard")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 60 and i % 10 == 4)) for i in range(120)], "doc_id long, toxic int"))
+    assert {t for _, text in rows for word in text.split() for t in toxicity.terms_of(word)} == set(index.terms)
+    out = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+    assert all(out[i]["evidence"] for i in range(120)) and not out[501]["evidence"]
+    assert out[500]["predicted"] == 1 and {e["toxic"] for e in out[500]["evidence"]} == {1}
+
+
 def test_toxicity_awkward(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (None, 1), (7, 0), (7, 1), (4, None)], "doc_id long, toxic int")
     out = toxicity.score(awkward, toxicity.fit(awkward, labels))
