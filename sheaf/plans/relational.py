@@ -38,6 +38,11 @@ def join_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("doc_id % 3 = 0").select("doc_id", "quality").join(table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "n_chars"), "doc_id", "full")
 
 
+@query("join_full_outer_whole", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.n_chars FROM labels a FULL JOIN documents b ON a.doc_id = b.doc_id")
+def join_full_outer_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "full")
+
+
 @query("join_two_keys", "SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey) AS matched, CASE WHEN a.c_custkey IS NOT NULL THEN 'id' WHEN b.c_custkey IS NOT NULL THEN 'key' END AS how FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS k1, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS k2 FROM orders) o LEFT JOIN customer a ON a.c_custkey = o.k1 LEFT JOIN customer b ON b.c_name = o.k2")
 def join_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("k1"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("k2"))

@@ -50,6 +50,13 @@ def test_query_matches_sql(spark, duck, sf, name):
     compare(spark, duck, sf, catalog.QUERIES[name], catalog.SQL[name])
 
 
+def test_full_join_keeps_every_document_and_label(spark, sf):
+    docs, labels = ({r["doc_id"] for r in spark.read.parquet(f"{sf}/{t}.parquet").select("doc_id").collect()} for t in ("documents", "labels"))
+    rows = catalog.QUERIES["join_full_outer_whole"](spark, sf).collect()
+    assert {r["doc_id"] for r in rows} == docs | labels
+    assert {r["doc_id"] for r in rows if r["n_chars"] is not None} == docs and {r["doc_id"] for r in rows if r["quality"] is not None} == labels
+
+
 @pytest.mark.parametrize("name", ["dirty_cells", "dirty_accounting", "distribution", "reconcile", "stratified_sample", "hybrid_search"])
 def test_result_does_not_depend_on_partitions(spark, sf, name):
     found = []
