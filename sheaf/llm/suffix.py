@@ -2,19 +2,26 @@
 
 A full suffix array has an entry of hundreds of bytes for each byte of the corpus. Here the suffixes are sampled, without
 loss: every string of `length` bytes holds a `gram`-byte substring of the smallest hash (the leftmost of equals), its anchor,
-and equal strings have their anchors at the same place. So two occurrences of a string are two anchors with equal grams, and
-only suffixes that start at anchors whose gram occurs again are sorted. In the sorted order, neighbours' common prefixes say
-how far suffixes agree to the right of their anchors; the same order of the reversed bytes before the anchors says how far they
-agree to the left; a string at distance d before its anchor occurs again where another anchor agrees on d bytes to the
-left and on length - d bytes to the right.
+and equal strings have their anchors at the same place. A string that starts near its anchor agrees with its copies on a long
+stretch to the right of the anchor, any other one on a long stretch to the left; so each anchor counts as two halves, the
+right one for the near strings and the left one, read backwards, for the others, and each half has a key: the hash of the stretch
+that all its strings share. Copies of a string are halves with equal keys.
+
+A half's surroundings are all bytes of its strings. Keys and digests of surroundings are counted first, so no bytes move for
+halves whose surroundings occur again as a whole (all their strings are repeated) or whose key doesn't. Only where a key has
+different surroundings, some of them alone, suffixes are sorted and merged: neighbours' common prefixes say how far suffixes
+agree to the right, the order of the reversed bytes before the anchors how far they agree to the left; a string at distance d before its
+anchor occurs again where another half of the key agrees on d bytes to the left and on length - d bytes to the right.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,9 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 PIECE, PLACE_BITS = 1 << 18, 20
 RUN_BYTES = 12 << 20
 #: What the runs of one part may hold when unpacked, about.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
+#: Bitmaps have 2**20 to 2**28 bits (32 MB), about eight to an anchor of the input; fuller ones let more bytes through, with the same result.
+LEAST_BITS, MOST_BITS = 20, 28
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -90,35 +99,22 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def pack_run(entries: list[tuple[bytes, bytes, bytes]], copies: dict[bytes, bytes] | None = None) -> bytes:
+def pack_run(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
     """A sorted run of (suffix, bytes before it, occurrences), front-coded: each suffix as the length of the prefix that it
-    shares with the one before, and the rest. `copies` has occurrences of surroundings that another run brings, by digest."""
+    shares with the one before, and the rest."""
     parts, before = [], b""
     for suffix, left, places in entries:
         lcp = common(before, suffix)
         parts.append(struct.pack("<HHHI", lcp, len(suffix) - lcp, len(left), len(places)))
         parts += [suffix[lcp:], left, places]
         before = suffix
-    own = b"".join(parts)
-    others = b"".join(d + struct.pack("<I", len(p)) + p for d, p in (copies or {}).items())
-    return zstandard.compress(struct.pack("<I", len(own)) + own + others, 10)
-
-
-def read_copies(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(digest, occurrences) of the copies of a run."""
-    data = zstandard.decompress(data)
-    at = 4 + struct.unpack_from("<I", data)[0]
-    while at < len(data):
-        size = struct.unpack_from("<I", data, at + 16)[0]
-        yield data[at : at + 16], data[at + 20 : at + 20 + size]
-        at += 20 + size
+    return zstandard.compress(b"".join(parts), 10)
 
 
 def read_run(data: bytes) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """(common prefix with the one before, suffix, bytes before it, occurrences)."""
-    data, at, before = zstandard.decompress(data), 4, b""
-    end = 4 + struct.unpack_from("<I", data)[0]
-    while at < end:
+    data, at, before = zstandard.decompress(data), 0, b""
+    while at < len(data):
         lcp, rest, left, places = struct.unpack_from("<HHHI", data, at)
         at += 10
         before = before[:lcp] + data[at : at + rest]
@@ -218,26 +214,58 @@ def repeated(group: list[tuple[int, bytes, bytes, bytes]], length: int) -> Itera
                 yield group[j][3], a + x, a + y - 1
 
 
-def digest(left: bytes, suffix: bytes) -> bytes:
-    """Of an anchor's surroundings: the reversed bytes before it and the suffix from it."""
-    return xxhash.xxh3_128_digest(len(left).to_bytes(4, "little") + left + suffix)
-
-
-#: An occurrence: the two keys of the document and the anchor's place in it.
+#: An occurrence: the two keys of the document and the anchor's place in it (a left half's end, negative).
 _PLACE = "<qqq"
 OCCURRENCE = struct.calcsize(_PLACE)
-
-
-def slot_map(rows: DataFrame, column: str, bits: int) -> bytes:
-    """A packed bitmap of the top `bits` bits of a column's values; collected as at most 2**bits bits."""
-    slots = rows.select(F.shiftrightunsigned(column, 64 - bits).alias("slot"))
-    maps = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    out = np.zeros(((1 << bits) // 32768 + 2) * 4096, np.uint8)
-    for row in maps.collect():
+#: What an elected document sends for surroundings that occur more than once, whose documents all know it: never one occurrence.
+SEVERAL = struct.pack(_PLACE, 0, 0, 1 << 62) * 2
+
+
+@dataclass(frozen=True)
+class Half:
+    key: int
+    digest: int
+    side: int  # 0: right, 1: left
+    place: int
+    start: int  # all bytes of its strings
+    end: int
+    suffix: bytes
+    left: bytes
+
+
+def halves(text: bytes, at: list[int], first: list[int], last: list[int], length: int, gram: int) -> Iterator[Half]:
+    """The halves of anchors: strings that start at most (length - gram) / 2 bytes before it, and the mirror image of the others."""
+    near = (length - gram) // 2
+    for p, a, b in zip(at, first, last, strict=True):
+        if b >= p - near:
+            yield _half(0, p, max(a, p - near), b + length, text[p : b + length], text[max(a, p - near) : p][::-1], length - near)
+        if a < p - near:
+            end, e = min(b, p - near - 1) + length, p + gram
+            yield _half(1, -e, a, end, text[a:e][::-1], text[e:end], length - near)
+
+
+def _half(side: int, place: int, start: int, end: int, suffix: bytes, left: bytes, shared: int) -> Half:
+    digest = xxhash.xxh3_64_intdigest(len(left).to_bytes(4, "little") + left + suffix, side)
+    return Half(xxhash.xxh3_64_intdigest(suffix[:shared], side), digest, side, place, start, end, suffix, left)
+
+
+def slot_maps(rows: DataFrame, bits: int) -> tuple[dict[str, bytes], int]:
+    """Packed bitmaps, by `name`, of the top `bits` bits of the column `value`, collected as at most 2**bits bits each; the sum of `sent`."""
+    slots = rows.select("name", "sent", F.shiftrightunsigned("value", 64 - bits).alias("slot"))
+    found = slots.groupBy("name", F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"), F.sum("sent").alias("sent"))
+    maps: dict[str, np.ndarray] = {}
+    sent = 0
+    for row in found.toLocalIterator():
+        out = maps.setdefault(row["name"], np.zeros(((1 << bits) // 32768 + 2) * 4096, np.uint8))
         at = (row["bucket"] - 1) * 4096  # buckets count from 1; slot 0 alone is in bucket 0, kept at the end
         piece = np.frombuffer(bytes(row["bits"]), np.uint8)
         out[at if at >= 0 else len(out) - 4096 :][: len(piece)] = piece
-    return zlib.compress(out.tobytes(), 1)
+        sent += row["sent"]
+    return {name: zlib.compress(out.tobytes(), 1) for name, out in maps.items()}, sent
+
+
+def empty_map(bits: int) -> bytes:
+    return zlib.compress(bytes(((1 << bits) // 32768 + 2) * 4096), 1)
 
 
 def in_slot_map(known: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
@@ -246,71 +274,106 @@ def in_slot_map(known: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     return (known[bit >> 3] >> (bit & 7) & 1).astype(bool)
 
 
-def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 48, bits: int = 27) -> DataFrame:
-    """Byte ranges (k1, k2, start, end) covered by strings of `length` bytes that also start elsewhere, from documents given as
-    (k1, k2, text). Ranges may overlap; a document's ranges together are exact."""
+def signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+class Maps:
+    """The bitmaps as broadcast: grams that occur again; surroundings that are alone; keys that occur again; keys with different
+    surroundings of which some are alone; documents elected to send surroundings that aren't alone."""
+
+    NAMES = ("grams", "alone", "again", "mixed", "elected")
+
+    def __init__(self, packed: dict[str, bytes], bits: int):
+        self.bits = bits
+        self.maps = {name: np.frombuffer(zlib.decompress(packed[name]), np.uint8) for name in packed}
+
+    def has(self, name: str, values: np.ndarray) -> np.ndarray:
+        return in_slot_map(self.maps[name], values, self.bits)
+
+    def halves(self, text: bytes, length: int, gram: int) -> tuple[list[Half], list[bool]]:
+        """The halves of anchors whose gram may occur again; of each, whether its surroundings may be alone."""
+        at, first, last, g = anchors(text, length, gram)
+        mine = np.flatnonzero(self.has("grams", g)) if len(at) else at
+        found = list(halves(text, at[mine].tolist(), first[mine].tolist(), last[mine].tolist(), length, gram))
+        return found, self.has("alone", signed([h.digest for h in found])).tolist() if found and "alone" in self.maps else [True] * len(found)
+
+
+def votes(digests: list[int], k: int) -> np.ndarray:
+    """Spark's xxhash64(c, k) of longs and an int: XXH64 of each value, seeded by the one before."""
+    tail = (k & 0xFFFFFFFF).to_bytes(4, "little")
+    return signed([xxhash.xxh64_intdigest(tail, xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42)) for d in digests])
+
+
+def survey(docs: DataFrame, length: int, gram: int) -> tuple[dict[str, bytes], int, int]:
+    """The packed bitmaps, their bits and how many surroundings will be sent, from counts of grams, keys and digests."""
     spark = docs.sparkSession
-    arrow_limits(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * size / length + 1))))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchors(t, length, gram)[3] for t in texts]), pa.int64())], names=["g"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchors(t, length, gram)[3] for t in texts]), pa.int64())], names=["value"])
 
-    twice = docs.select("text").mapInArrow(grams, "g long").groupBy("g").count().where("count > 1")
-    # a bitmap of fixed size, whatever the input: where it is full, more suffixes are sorted, and the result is the same
-    shared, key = spark.sparkContext.broadcast(slot_map(twice, "g", bits)), token()
-
-    def surroundings(k1: int, text: bytes, known: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """(gram, place, suffix, bytes before it) of the anchors whose gram may occur again."""
-        at, first, last, g = anchors(text, length, gram)
-        if len(at):
-            for j in np.flatnonzero(in_slot_map(known, g, bits)).tolist():
-                p, a, b = int(at[j]), int(first[j]), int(last[j])
-                yield int(g[j]), p, text[p : b + length], text[a:p][::-1]
+    twice = docs.select("text").mapInArrow(grams, "value long").groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("grams").alias("name"), "value", F.lit(0).cast("long").alias("sent"))
+    packed, _ = slot_maps(twice, bits)
+    packed.setdefault("grams", empty_map(bits))
+    shared, key = spark.sparkContext.broadcast(packed), token()
 
     def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8), 3)  # type: ignore[assignment]
+        maps: Maps = built(key, lambda: Maps(shared.value, bits))  # type: ignore[assignment]
         for batch, texts in slices(batches):
-            found, owners = [], []
+            h, c, k = [], [], []
             for k1, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                own = {digest(left, suffix) for _, _, suffix, left in surroundings(k1, text, known)}
-                found += own
-                owners += [k1 >> 32] * len(own)
-            halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(owners, pa.int32())], names=["c1", "c2", "k"])
-
-    # of equal surroundings only an elected document's (the smallest key's) send their bytes; where this bitmap is full, more do
-    elected = docs.select("k1", "text").mapInArrow(ballots, "c1 long, c2 long, k int").groupBy("c1", "c2").agg(F.min("k").alias("k")).select(F.xxhash64("c1", "c2", "k").alias("vote"))
-    ballot = slot_map(elected, "vote", bits)
-    chosen, chosen_key = spark.sparkContext.broadcast(ballot), token()
+                found = maps.halves(text, length, gram)[0]
+                h += [x.key for x in found]
+                c += [x.digest for x in found]
+                k += [k1 >> 32] * len(found)
+            if h:
+                table = np.stack([signed(h), signed(c), np.array(k, np.int64)])
+                table = table[:, np.lexsort((table[2], table[1], table[0]))]
+                first = np.flatnonzero(np.concatenate([[True], (table[:2, 1:] != table[:2, :-1]).any(0)]))
+                yield pa.RecordBatch.from_arrays([pa.array(table[0][first]), pa.array(table[1][first]), pa.array(table[2][first].astype(np.int32)), pa.array(np.diff(np.append(first, len(h))), pa.int64())], names=["h", "c", "k", "n"])
+
+    counted = docs.select("k1", "text").mapInArrow(ballots, "h long, c long, k int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("k").alias("k"))
+    keys = counted.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single"), F.sum("n").alias("n")).where("n > 1")
+    named = lambda frame, name, value, sent="0L": frame.select(F.lit(name).alias("name"), F.expr(value).alias("value"), F.expr(sent).alias("sent"))
+    every = named(counted.where("n = 1"), "alone", "c").union(named(counted.where("n > 1"), "elected", "xxhash64(c, k)")).union(named(keys, "again", "h")).union(named(keys.where("kinds > 1 and single > 0"), "mixed", "h", "kinds"))
+    more, sent = slot_maps(every, bits)
+    return {name: empty_map(bits) for name in Maps.NAMES} | packed | more, bits, sent
+
+
+def duplicate_ranges(docs: DataFrame, known, key: str, bits: int, sent: int, *, length: int, gram: int) -> DataFrame:
+    """Byte ranges (k1, k2, start, end) covered by strings of `length` bytes that also start elsewhere, of halves whose surroundings
+    are alone, from documents given as (k1, k2, text). Ranges may overlap."""
     # as many parts as keep what one of them sorts within PART_BYTES: larger runs share longer prefixes
-    senders = int(np.bitwise_count(np.frombuffer(zlib.decompress(ballot), np.uint8)).sum(dtype=np.int64))
-    parts = max(8, -(-senders * 2 * length // PART_BYTES))
+    parts = max(8, -(-sent * 2 * length // PART_BYTES))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8), 3)  # type: ignore[assignment]
-        votes: np.ndarray = built(chosen_key, lambda: np.frombuffer(zlib.decompress(chosen.value), np.uint8), 3)  # type: ignore[assignment]
-        held: dict[int, tuple[dict[tuple[bytes, bytes], list[bytes]], dict[bytes, list[bytes]]]] = {}
+        maps: Maps = built(key, lambda: Maps(known.value, bits))  # type: ignore[assignment]
+        held: dict[int, dict[tuple[bytes, bytes], list[bytes]]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(part, pack_run([(s, left, b"".join(o)) for (s, left), o in sorted(entries.items())], {d: b"".join(o) for d, o in copies.items()})) for part, (entries, copies) in held.items()]
+            rows = [(part, pack_run([(s, left, b"".join(o)) for (s, left), o in sorted(entries.items())])) for part, entries in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "run"])
 
         for batch, texts in slices(batches):
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                found = list(surroundings(k1, text, known))
-                digests = [digest(left, suffix) for _, _, suffix, left in found]
-                own = in_slot_map(votes, spark_hash(digests, k1 >> 32), bits).tolist() if found else []
-                for (g, p, suffix, left), d, mine in zip(found, digests, own, strict=True):
-                    entries, copies = held.setdefault(g % parts, ({}, {}))
-                    if mine:
-                        if (suffix, left) not in entries:
-                            size += len(suffix) + len(left) + 200
-                        entries.setdefault((suffix, left), []).append(struct.pack(_PLACE, k1, k2, p))
-                    else:
-                        copies.setdefault(d, []).append(struct.pack(_PLACE, k1, k2, p))
+                found, alone = maps.halves(text, length, gram)
+                if not found:
+                    continue
+                h = signed([x.key for x in found])
+                send = np.where(alone, maps.has("again", h), maps.has("mixed", h))
+                if len(several := np.flatnonzero(send & ~np.array(alone))):
+                    send[several] = maps.has("elected", votes([found[j].digest for j in several.tolist()], k1 >> 32))
+                for j in np.flatnonzero(send).tolist():
+                    x = found[j]
+                    entries = held.setdefault(x.key % parts * 2 + x.side, {})
+                    if (x.suffix, x.left) not in entries:
+                        size += len(x.suffix) + len(x.left) + 200
+                    entries.setdefault((x.suffix, x.left), []).append(struct.pack(_PLACE, k1, k2, x.place) if alone[j] else SEVERAL)
                     size += 100
                 if size > RUN_BYTES:
                     yield flush()
@@ -319,26 +382,23 @@ def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 48, bits
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = length - (length - gram) // 2
         for own in _by_part(batches):
-            copies: dict[bytes, list[bytes]] = {}
-            for run in own:
-                for d, places in read_copies(run):
-                    copies.setdefault(d, []).append(places)
             group: list[tuple[int, bytes, bytes, bytes]] = []
             out: list[tuple[int, int, int, int]] = []
 
             def done() -> None:
-                for i, (lcp, suffix, left, places) in enumerate(group):
-                    if more := copies.pop(digest(left, suffix), None):
-                        group[i] = (lcp, suffix, left, places + b"".join(more))
                 if len(group) == 1 and len(group[0][3]) == OCCURRENCE:
                     return
                 for places, d0, d1 in repeated(group, length):
                     for k1, k2, p in struct.iter_unpack(_PLACE, places):
-                        out.append((k1, k2, p - d1, p - d0 + length))
+                        if p < 0:  # a left half: distances count to the right of its end
+                            out.append((k1, k2, -p + d0 - length, -p + d1))
+                        elif p < 1 << 62:
+                            out.append((k1, k2, p - d1, p - d0 + length))
 
             for entry in LoserTree([read_run(r) for r in own]):
-                if group and entry[0] < gram:
+                if group and entry[0] < shared:
                     done()
                     group = []
                     if len(out) > 50_000:
@@ -350,25 +410,14 @@ def duplicate_ranges(docs: DataFrame, *, length: int = 400, gram: int = 48, bits
                 group.append(entry)
             done()
             group = []
-            if copies:
-                raise RuntimeError("copies without their surroundings")
             if out:
                 yield _ranges(out)
+        give_back()
 
     exchanged = docs.select("k1", "k2", "text").mapInArrow(runs, "part int, run binary")
     return exchanged.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "k1 long, k2 long, start long, end long")
 
 
-def spark_hash(digests: list[bytes], k: int) -> np.ndarray:
-    """Spark's xxhash64(c1, c2, k) of the two halves of each digest and an int: XXH64 of each value, seeded by the one before."""
-    out = np.empty(len(digests), np.int64)
-    tail = (k & 0xFFFFFFFF).to_bytes(4, "little")
-    for i, d in enumerate(digests):
-        h = xxhash.xxh64_intdigest(tail, xxhash.xxh64_intdigest(d[8:], xxhash.xxh64_intdigest(d[:8], 42)))
-        out[i] = h - (1 << 64) if h >> 63 else h
-    return out
-
-
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """The runs of each part, from rows sorted by part."""
     now, own = None, []
@@ -392,7 +441,7 @@ def dedup(docs: DataFrame, *, length: int = 400, gram: int = 48, id_col: str = "
     else in the documents: the id column, n_bytes, n_removed, n_spans, spans (start and end bytes of the removed runs) and kept.
 
     Strings are judged on the input, never cross documents, and may overlap themselves. What a task holds are the runs of its
-    part of the grams; of equal surroundings of anchors one document sends the bytes and the others a digest. A null text is empty; a text shorter
+    part of the keys. A null text is empty; a text shorter
     than `length` loses nothing; repeated rows are copies of each other; a null id stays null; an empty table gives no rows;
     other columns are ignored, or come along as the struct `row` if `carry`, beside the column
     `text` with what is left of the text (whole characters only).
@@ -401,15 +450,20 @@ def dedup(docs: DataFrame, *, length: int = 400, gram: int = 48, id_col: str = "
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     others = whole_row(docs.drop(text_col), carry)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, name).alias("k2"), text.alias("text"), *others)
-    ranges = checkpointed(duplicate_ranges(rows.select("k1", "k2", "text"), length=length, gram=gram))
+    given = rows.select("k1", "k2", "text")
+    packed, bits, sent = survey(given, length, gram)
+    context = docs.sparkSession.sparkContext
+    known, known_key = context.broadcast(packed), token()
+    ranges = checkpointed(duplicate_ranges(given, known, known_key, bits, sent, length=length, gram=gram))
     by_doc = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    # only texts that may have ranges go through the join; the bitmap that tells them has a fixed size
-    shared, key = docs.sparkSession.sparkContext.broadcast(slot_map(ranges, "k1", 26)), token()
+    # only texts that may have ranges go through the join
+    joined, _ = slot_maps(ranges.select(F.lit("docs").alias("name"), F.col("k1").alias("value"), F.lit(0).cast("long").alias("sent")), bits)
+    shared, key = context.broadcast({"docs": empty_map(bits)} | joined), token()
 
     def kept_back(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
-        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8), 3)  # type: ignore[assignment]
+        maps: Maps = built(key, lambda: Maps(shared.value, bits), 2)  # type: ignore[assignment]
         for batch in batches:
-            yield batch.filter(pa.array(in_slot_map(known, batch.column(1).to_numpy(), 26) == wanted))
+            yield batch.filter(pa.array(maps.has("docs", batch.column(1).to_numpy()) == wanted))
 
     def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(3)
@@ -428,12 +482,14 @@ def dedup(docs: DataFrame, *, length: int = 400, gram: int = 48, id_col: str = "
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batches = batches if packed else unshuffled(batches)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            maps: Maps = built(known_key, lambda: Maps(known.value, bits), 2)  # type: ignore[assignment]
             for batch, texts in slices(batches):
                 texts = [zstandard.decompress(t) for t in texts] if packed else texts
                 spans, kept = [], []
                 for t, a, b in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     found: list[list[int]] = []
-                    for x, y in sorted(zip(a or [], b or [], strict=True)):
+                    whole = [(h.start, h.end) for h, alone in zip(*maps.halves(t, length, gram), strict=True) if not alone]
+                    for x, y in sorted([*zip(a or [], b or [], strict=True), *whole]):
                         if found and x <= found[-1][1]:
                             found[-1][1] = max(found[-1][1], y)
                         else:
@@ -450,8 +506,8 @@ def dedup(docs: DataFrame, *, length: int = 400, gram: int = 48, id_col: str = "
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary" + ", text string" * carry
-    sent = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
-    hit = rows.mapInArrow(shuffled, sent).join(by_doc, ["k1", "k2"], "left").select("id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"), *["row"] * carry)
+    binary = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
+    hit = rows.mapInArrow(shuffled, binary).join(by_doc, ["k1", "k2"], "left").select("id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"), *["row"] * carry)
     schema = with_fields(schema, hit.schema.fields[4:])
     return hit.mapInArrow(cut(True), schema).unionByName(rows.mapInArrow(cut(False), schema)).withColumnRenamed("id", id_col)
 

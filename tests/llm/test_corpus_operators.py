@@ -234,3 +234,21 @@ def test_quality_tells_junk(spark):
     out = queries.QUERIES["op1_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     rate = {r["quality"]: r["k"] for r in out.groupBy("quality").agg({"keep": "count"}).select("quality").collect() for r in [{"quality": r["quality"], "k": out.where(f"quality = {r['quality']} and keep").count() / out.where(f"quality = {r['quality']}").count()}]}
     assert rate[1] > 0.97 and rate[0] < 0.2
+
+
+def test_suffix_dedup_with_full_maps(spark, monkeypatch):
+    """Bitmaps that are all but full let more bytes through; the result stays."""
+    monkeypatch.setattr(suffix, "LEAST_BITS", 4)
+    monkeypatch.setattr(suffix, "MOST_BITS", 4)
+    texts = awkward_texts()
+    found = {r["doc_id"]: r["n_removed"] for r in suffix.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    assert found == {i: sum(gone) for i, gone in enumerate(suffix.brute([(t or "").encode() for t in texts], 400))}
+
+
+def test_suffix_dedup_one_passage_in_many_surroundings():
+    """A passage of 250 bytes, no repeated string itself, in very many different surroundings."""
+    rng = random.Random(3)
+    gram, n = rng.randbytes(230), 100_000
+    group = sorted((gram + rng.randbytes(170 + i % 100), rng.randbytes(1 + i % 176)) for i in range(n))
+    entries = [(suffix.common(a[0], b[0]) if i else 0, *b, bytes(suffix.OCCURRENCE)) for i, (a, b) in enumerate(zip([group[0], *group[:-1]], group, strict=True))]
+    assert list(suffix.repeated(entries, 400)) == []
