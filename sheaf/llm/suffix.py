@@ -335,7 +335,7 @@ def survey(docs: DataFrame, length: int, gram: int) -> tuple[dict[str, bytes], i
                 first = np.flatnonzero(np.concatenate([[True], (table[:2, 1:] != table[:2, :-1]).any(0)]))
                 yield pa.RecordBatch.from_arrays([pa.array(table[0][first]), pa.array(table[1][first]), pa.array(table[2][first].astype(np.int32)), pa.array(np.diff(np.append(first, len(h))), pa.int64())], names=["h", "c", "k", "n"])
 
-    counted = docs.select("k1", "text").mapInArrow(ballots, "h long, c long, k int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("k").alias("k"))
+    counted = docs.select("k1", "text").mapInArrow(ballots, "h long, c long, k int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("k is not null")  # always; so all that follow read the same columns of one exchange
     keys = counted.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single"), F.sum("n").alias("n")).where("n > 1")
     named = lambda frame, name, value, sent="0L": frame.select(F.lit(name).alias("name"), F.expr(value).alias("value"), F.expr(sent).alias("sent"))
     every = named(counted.where("n = 1"), "alone", "c").union(named(counted.where("n > 1"), "elected", "xxhash64(c, k)")).union(named(keys, "again", "h")).union(named(keys.where("kinds > 1 and single > 0"), "mixed", "h", "kinds"))
