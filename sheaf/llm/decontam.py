@@ -1,56 +1,74 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised test questions, offsets mapped to the original."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the words of normalised test questions, offsets mapped to the original.
+
+The automaton's letters are word numbers, and its keys are blocks of seven words, side by side in each item, so it has about one node to a word
+of the benchmark: every window of 13 words holds a whole block. An occurrence of a block is extended along its item to both sides,
+and what agrees on 13 words or more is made of occurring windows.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.bpe import Numbered
 from sheaf.llm.common import ORIGINAL_WORD, WORD_TABLE, arrow_limits, built, slices, token, whole_row, with_fields
 
 
-def windows(words: list[bytes], width: int) -> list[list[bytes]]:
-    """All runs of `width` consecutive words; a shorter item that has words is one window."""
-    if not words:
-        return []
-    return [words[i : i + width] for i in range(max(1, len(words) - width + 1))]
-
-
-def build_automaton(items: list[tuple[str, bytes]], width: int) -> ahocorasick.Automaton | None:
-    """Keys are windows with blanks around each word, as bytes shown one to one as characters."""
-    keys: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for window in windows(text.translate(WORD_TABLE).split(), width):
-            key = (b" " + b" ".join(window) + b" ").decode("latin-1")
-            keys.setdefault(key, (len(window), set()))[1].add(item)
-    if not keys:
-        return None
-    automaton = ahocorasick.Automaton()
-    for key, (size, names) in keys.items():
-        automaton.add_word(key, (size, frozenset(names)))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton: ahocorasick.Automaton | None, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of the text, the merged word ranges inside occurrences, the items that occur."""
-    words = text.translate(WORD_TABLE).split()
-    if not words or automaton is None:
-        return len(words), [], set()
-    flat = b" " + b" ".join(words) + b" "
-    found, items, spaces = [], set(), None
-    for end, (size, names) in automaton.iter(flat.decode("latin-1")):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-        last = int(np.searchsorted(spaces, end))
-        found.append((last - size, last))
-        items |= names
-    return len(words), merged(found), items
+class Automaton:
+    """Of (item, text) pairs: word numbers, the items' words, and blocks with the places where they stand."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int):
+        self.width, self.numbers = width, Numbered()
+        self.numbers[b""] = 0  # no word; the number of words that no item has
+        self.names = [name for name, _ in items]
+        self.items = [array("I", map(self.numbers.__getitem__, text.translate(WORD_TABLE).split())) for _, text in items]
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        size = (width + 1) // 2
+        for k, words in enumerate(self.items):
+            for i in range(0, len(words) - size + 1, size) if len(words) >= width else [0] * (len(words) > 0):
+                places.setdefault(tuple(words[i : i + size] if len(words) >= width else words), []).append((k, i))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, found in places.items():
+            self.automaton.add_word(block, (len(block), found))
+        self.least = min(map(len, places), default=0)
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words of the text, the merged word ranges inside occurrences, the items that occur."""
+        words = text.translate(WORD_TABLE).split()
+        known = self.numbers.get
+        own = tuple([known(w, 0) for w in words])
+        if not self.least or len(own) - own.count(0) < self.least:
+            return len(words), [], set()
+        found, items, ends = [], set(), {}
+        for last, (size, places) in self.automaton.iter(own):
+            at = last - size + 1
+            for k, i in places:
+                if ends.get((k, at - i), 0) > at:  # inside a run of the same item that is known
+                    continue
+                a, b = self.extend(self.items[k], i, own, at, size)
+                ends[k, at - i] = b
+                if b - a >= min(self.width, len(self.items[k])):
+                    found.append((a, b))
+                    items.add(self.names[k])
+        return len(words), merged(found), items
+
+    @staticmethod
+    def extend(item: array, i: int, own: tuple[int, ...], at: int, size: int) -> tuple[int, int]:
+        """The longest run of the text around a block at which the item agrees."""
+        left, right = 0, size
+        while left < i and left < at and item[i - left - 1] == own[at - left - 1]:
+            left += 1
+        while i + right < len(item) and at + right < len(own) and item[i + right] == own[at + right]:
+            right += 1
+        return at - left, at + right
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -64,13 +82,14 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20, carry: bool = False) -> DataFrame:
-    """Find benchmark windows of `width` words in every document, in one pass over the documents per benchmark block.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20, carry: bool = False) -> DataFrame:
+    """Find benchmark windows of `width` words in every document, in one pass over the documents.
 
     Returns a row per input row: the id, n_words, n_hit (words inside an occurrence), n_items, items (sorted),
     items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words) and spans (character offsets of the hit runs in
-    the original text). There is no shuffle. The benchmark is collected in blocks of at most `block_bytes` of text
-    (one longer item still goes alone), and each block is broadcast, so what is broadcast has a fixed bound.
+    the original text). There is no shuffle. A benchmark of up to `block_bytes` of text is one automaton (about 25 bytes to a
+    byte of text, in each Python worker); a larger one is dealt, by hash, into several of about that size, each
+    collected and broadcast by itself, which scan the text one after another.
 
     A null or empty text has no words and isn't contaminated; a null id stays null; repeated rows give repeated results;
     items with null or wordless text never occur; items that share an id count once; a null item id counts as the id "".
@@ -84,29 +103,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
     more = frame.schema.fields[5:]
     schema = with_fields(f"id {id_type}, text string, n_words long, ranges array<int>, items array<string>", more)
 
-    blocks, held, size = [], [], 0
-    for row in items.toLocalIterator():
-        if held and size + len(row["text"]) > block_bytes:
-            blocks.append(held)
-            held, size = [], 0
-        held.append((row["item"], bytes(row["text"])))
-        size += len(row["text"])
-    for block in [*blocks, held]:
-        frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast(block), token(), width), schema)
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = max(1, min(n, -(-(size or 0) // block_bytes)))
+    for k in range(blocks):
+        block = [(r["item"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]  # about block_bytes
+        shared, key = spark.sparkContext.broadcast(block), token()
+        if k < blocks - 1:
+            frame = frame.mapInArrow(_pass(shared, key, width), schema)
 
     spans = "array<struct<start:int,end:int>>"
     schema = with_fields(f"id {id_type}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans {spans}", [frame.schema["text"], *more] if carry else more)
-    return frame.mapInArrow(_digest(share, carry), schema).withColumnRenamed("id", id_col)
+    return frame.mapInArrow(_last(_pass(shared, key, width), share, carry), schema).withColumnRenamed("id", id_col)
 
 
 def _pass(block, key: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = built(key, lambda: build_automaton(block.value, width))
+        automaton: Automaton = built(key, lambda: Automaton(block.value, width))  # type: ignore[assignment]
         for batch, texts in slices(batches):
             counts, ranges, items = [], [], []
             old_ranges, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for i, text in enumerate(texts):
-                n, found, names = scan(automaton, text)
+                n, found, names = automaton.scan(text)
                 counts.append(n)
                 if found:
                     flat = old_ranges[i]
@@ -120,10 +137,12 @@ def _pass(block, key: str, width: int):
     return run
 
 
-def _digest(share: int, carry: bool):
+def _last(scan, share: int, carry: bool):
+    """The last automaton's pass, and the figures that follow from all of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in scan(batches):
             texts, words, ranges, items = (batch.column(i) for i in range(1, 5))
             words, ranges, items = words.to_pylist(), ranges.to_pylist(), items.to_pylist()
             hits = [sum(r[1::2]) - sum(r[::2]) for r in ranges]

@@ -46,6 +46,15 @@ def test_bpe_equals_the_library(spark, docs, awkward, encoding):
             ids = encoding.encode_ordinary(r["text"] or "")
             expected.append((str(r["doc_id"]), len(ids), b"".join(i.to_bytes(4, "little") for i in ids), (r["text"] or "").encode()))
         assert found == sorted(expected)
+        once = bpe.encode(frame, path, public_tokenizers.PATTERN, decoded=True)
+        assert found == sorted((str(r["doc_id"]), r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in once.collect())
+
+
+def test_bpe_forgets(encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 500)
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text in ["one two three four", "three four five", "one one", "", "six seven three"]:
+        assert codec.encode([text])[0].tolist() == encoding.encode_ordinary(text)
 
 
 def test_bpe_query(spark, sf):
@@ -93,6 +102,18 @@ def test_decontamination(spark, block):
     assert [texts[1][s["start"] : s["end"]] for s in span] == ["short, item! short item"]
 
 
+def test_decontamination_random(spark):
+    """Few words, so that blocks, windows and items overlap in every way."""
+    rng = random.Random(11)
+    word = lambda: rng.choice(["a", "b", "c"])
+    items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 12, 13, 14, 20, 27, 40])))) for k in range(30)]
+    texts = [" ".join([*(word() for _ in range(rng.randrange(30))), *rng.choice(items)[1].split()[rng.randrange(3) :], *(word() for _ in range(rng.randrange(30)))]) for _ in range(60)]
+    for some in (items, [x for x in items if len(x[1].split()) >= 12]):
+        out = decontam.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(some, "item_id long, text string"))
+        found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect()}
+        assert found == {i: contaminated(t, [(str(n), x) for n, x in some]) for i, t in enumerate(texts)}
+
+
 def test_decontamination_on_data(spark, sf, docs):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = [(str(r["item_id"]), r["text"]) for r in bench.collect()]
