@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import arrow_limits, built, slices
 
 NONE = np.int32(0x7FFFFFFF)
-#: A worker forgets the words it has encoded beyond this count (about 70 MB).
-KEPT_WORDS = 250_000
+#: A worker forgets the words it has encoded beyond this many bytes, counted as their characters and KEPT_EACH bytes to a word.
+KEPT_BYTES, KEPT_EACH = 32 << 20, 160
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -112,7 +113,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = Numbered()
+        self.known, self.held = Numbered(), 0
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +179,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; each match of the pattern is merged on its own, once per distinct match."""
-        if len(self.known) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self._forget()
         known, before = self.known, len(self.known)
         coded = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in map(self.split, texts)]
         if len(known) > before:
-            flat, sizes = self.merge([w.encode("utf-8", "surrogatepass") for w in list(known)[before:]])
+            new = [w.encode("utf-8", "surrogatepass") for w in itertools.islice(known, before, None)]
+            self.held += sum(map(len, new)) + KEPT_EACH * len(new)
+            flat, sizes = self.merge(new)
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, flat])
         return [self.flat[spread(self.starts[codes], self.starts[codes + 1] - self.starts[codes])] for codes in coded]
@@ -192,8 +195,9 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every whole text as token ids: the id column, n_tokens and ids (little-endian unsigned 32-bit integers, packed).
+def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Every whole text as token ids: the id column, n_tokens and ids (little-endian unsigned 32-bit integers, packed); with
+    `decoded` also the bytes that those ids stand for, in the same worker, which has the token table already.
 
     A row per input row and no shuffle. A null text counts as empty and gives no ids; a null id stays null; repeated
     rows give repeated results. `path` must be readable on every executor. Other columns are ignored.
@@ -206,9 +210,11 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         codec = built(f"bpe {path} {pattern}", lambda: Codec(path, pattern))
         for batch, texts in slices(batches):
             ids = codec.encode([t.decode("utf-8", "replace") for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["id", "n_tokens", "ids"])
+            packed = [x.astype("<u4").tobytes() for x in ids]
+            back = [pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in packed], pa.binary())] * decoded
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(packed, pa.binary()), *back], names=["id", "n_tokens", "ids", *["decoded"] * decoded])
 
-    return frame.mapInArrow(run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
