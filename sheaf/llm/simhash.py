@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.common import LOWER_TABLE, arrow_limits, checkpointed, components, slices
 
+#: A cell of more points than this is cut into finer cells.
+DENSE_CELL = 5_000
 #: Buckets up to this size are compared pair by pair in whole-array steps; larger ones by breadth-first search.
 SMALL_BUCKET = 48
 
@@ -40,17 +43,24 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column and fp (long, two's complement of the 64 bits) per input row; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, *, width: int = 4, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """The id column and fp (long, two's complement of the 64 bits) per input row; null and wordless texts have 0. With `key_col`
+    also that column, a long, as row_key."""
     arrow_limits(docs.sparkSession)
-    frame = docs.select(F.col(id_col), F.col(text_col).cast("string")).toDF("id", "text")
+    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.col(key_col).alias("row_key")] if key_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             found = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
-    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, fp long" + ", row_key long" * (key_col is not None)).withColumnRenamed("id", id_col)
+
+
+def block_masks(coordinates: list[int], blocks: int) -> list[int]:
+    """Masks of the 2-bit segments of consecutive runs of coordinates."""
+    cuts = [round(len(coordinates) * i / blocks) for i in range(blocks + 1)]
+    return [sum(3 << 2 * c for c in coordinates[a:b]) for a, b in itertools.pairwise(cuts)]
 
 
 def grid(n: int, distance: int) -> list[int]:
@@ -61,10 +71,14 @@ def grid(n: int, distance: int) -> list[int]:
     with the number of points, so that a cell's expected load stays bounded.
     """
     s = 2 if n < 20_000_000 else 3 if n < 2_000_000_000 else 4
-    cuts = [round(32 * i / (distance + s)) for i in range(distance + s + 1)]
-    blocks = [sum(3 << 2 * c for c in range(a, b)) for a, b in itertools.pairwise(cuts)]
-    masks = [sum(choice) for choice in itertools.combinations(blocks, s)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [sum(choice) for choice in itertools.combinations(block_masks(list(range(32)), distance + s), s)]
+
+
+def finer(mask: int, distance: int) -> list[int]:
+    """Masks of the finer cells of a cell: its other coordinates split into distance + 1 blocks, of which two vectors within the
+    distance agree on one. None where so few are left that the cell holds a few hundred points at most."""
+    free = [c for c in range(32) if not mask >> 2 * c & 3]
+    return [mask | m for m in block_masks(free, distance + 1)] if len(free) > distance else []
 
 
 def link_cell(points: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -155,28 +169,51 @@ def _verify(distance: int):
 
 
 def links(points: DataFrame, *, distance: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that span every group connected at <= distance bits."""
+    """Links (a, b) between distinct fingerprints (column fp) that span every group connected at <= distance bits.
+
+    Cells of more than DENSE_CELL points are cut into finer ones, again and again, so no task gets an unbounded cell.
+    """
     points = points.select("fp").distinct()
     arrow_limits(points.sparkSession)
     low = "6148914691236517205L"  # the low bit of each segment; counts as in bit_counts(), without a difference that could overflow
     embedded = f"((fp ^ shiftrightunsigned(fp, 1)) & {low}) | shiftleft(fp & shiftrightunsigned(fp, 1) & {low}, 1)"
-    cells = F.array(*[F.xxhash64(F.lit(i), F.expr(f"({embedded})").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(grid(points.count(), distance))])
-    spread = points.select(F.explode(cells).alias("cell"), "fp")
-    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(distance), "a long, b long")
-
 
-def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def spread(frame: DataFrame, masks: DataFrame) -> DataFrame:
+        cell = F.xxhash64("mask", F.expr(f"({embedded})").bitwiseAND(F.col("mask")))
+        return frame.join(F.broadcast(masks), "above").select("mask", cell.alias("cell"), "fp")
+
+    def table(pairs: list[tuple[int, int]]) -> DataFrame:
+        """Of a mask and the finer masks in it; at most a few to a dense cell, and at first the grid."""
+        return points.sparkSession.createDataFrame([tuple(m - (1 << 64) if m >> 63 else m for m in pair) for pair in pairs], "above long, mask long")
+
+    rows, done = spread(points.withColumn("above", F.lit(0).cast("long")), table([(0, m) for m in grid(points.count(), distance)])), []
+    while True:
+        dense = checkpointed(rows.groupBy("mask", "cell").agg(F.count("*").alias("n")).where(F.col("n") > DENSE_CELL).select("mask", "cell"))
+        masks = [(m, x) for r in dense.select("mask").distinct().collect() for m in [r["mask"] % (1 << 64)] for x in finer(m, distance)]
+        dense = dense.join(F.broadcast(table(masks).select(F.col("above").alias("mask")).distinct()), "mask", "left_semi")
+        if not masks:
+            done.append(rows)
+            break
+        done.append(rows.join(dense, ["mask", "cell"], "left_anti"))
+        hot = rows.join(dense, ["mask", "cell"], "left_semi").select(F.col("mask").alias("above"), "fp")
+        rows = checkpointed(spread(hot, table(masks)).distinct())
+    done = functools.reduce(DataFrame.unionByName, done)
+    return done.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(distance), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """One row per document with its fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable over
-    links of at most `distance` differing bits.
+    links of at most `distance` differing bits; with `key_col` (a long) also that column, as row_key, and the component's own name, component.
 
     Equal fingerprints collapse before the join (a grouped minimum, combined before the shuffle), so exact copies never
     meet as pairs; a cell of the grid yields spanning links only, and its rows are 16 bytes each. Null and empty texts have
     fingerprint zero and link like any other; a null id stays null and is passed over as a smallest id (a component of null ids
     has a null component_id); repeated rows give repeated results; empty tables give no rows; other columns are ignored.
     """
-    prints = checkpointed(fingerprints(docs, width=width, id_col=id_col, text_col=text_col).toDF("id", "fp"))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    prints = checkpointed(fingerprints(docs, width=width, id_col=id_col, text_col=text_col, key_col=key_col))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(distinct, distance=distance)).toDF("fp", "root")
     rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", F.col("root").alias("component"))
+    found = prints.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component", *["row_key"] * (key_col is not None))
+    return found if key_col else found.drop("component")

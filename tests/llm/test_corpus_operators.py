@@ -76,6 +76,19 @@ def test_simhash_big_cell_and_bound():
     assert simhash.manhattan(simhash.bit_counts(a), simhash.bit_counts(b)).tolist() == plain
 
 
+def test_simhash_dense_cells(spark, monkeypatch):
+    """Cells that are cut again and again give the same components."""
+    monkeypatch.setattr(simhash, "DENSE_CELL", 60)
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 1 << 62, dtype=np.uint64)
+    points = np.unique(np.array([centre ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 9), replace=False))) for _ in range(400)], np.uint64))
+    of = groups(len(points), [(i, int(j)) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 4)])
+    at = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    found = simhash.links(spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")).collect()
+    mine = groups(len(points), [(at[r["a"]], at[r["b"]]) for r in found])
+    assert len({(a, b) for a, b in zip(of, mine, strict=True)}) == len(set(of)) == len(set(mine)) > 1
+
+
 @pytest.mark.parametrize("n", [10, 30_000_000, 3_000_000_000])
 def test_every_close_pair_shares_a_cell(n):
     rng = random.Random(n)
