@@ -42,6 +42,16 @@ def test_one_of_each_group(stages):
     assert after.select("text").distinct().count() >= 0.95 * before.select("text").distinct().count()
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (None, text), (5, text), (4, text), (4, text), (None, other), (None, other), (4, "a third text of its own kind here"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(4, text), (None, other), (4, "a third text of its own kind here"), (7, None)], key=str)
+    assert kept.columns == docs.columns
+
+
 def test_passages_are_cut(stages):
     before = {r["doc_id"]: r["text"] for r in stages["near_duplicates"].collect()}
     after = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["repeated_passages"].collect()}
