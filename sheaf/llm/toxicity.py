@@ -1,4 +1,4 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine over an inverted index of all terms; weighted votes, calibrated."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index of all terms; weighted votes, calibrated."""
 
 from __future__ import annotations
 
@@ -12,15 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.bpe import Numbered
+from sheaf.llm.bpe import Numbered, spread
 from sheaf.llm.common import arrow_limits, built, slices, token
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Examples of a block of the index; blocks that are summed before the others' bounds are looked at.
+BLOCK, FIRST_BLOCKS = 32, 3
+PREFIXES = (4, 5, 6)
 
 
 def terms_of(word: str) -> tuple[str, ...]:
     """A word stands for itself and for its first four, five and six letters, if it is longer than that."""
-    return (word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n))
+    return (word, *("^" + word[:n] for n in PREFIXES if len(word) > n))
 
 
 def term_counts(text: str) -> dict[str, int]:
@@ -34,7 +37,8 @@ def term_counts(text: str) -> dict[str, int]:
 
 @dataclass
 class Index:
-    """Postings of the examples by term: every term of every example, none left out."""
+    """Postings of the examples by term: every term of every example, none left out. Examples stand in blocks; the largest
+    value of a term in each block bounds the cosines of a block's examples from above."""
 
     terms: dict[str, int]
     idf: np.ndarray  # times the strength of the term, if strengths are given
@@ -43,7 +47,8 @@ class Index:
     weights: np.ndarray  # of a vote, by the share of the class that was sampled
     examples: np.ndarray  # postings, by term and example
     values: np.ndarray
-    starts: np.ndarray  # by term, and the end
+    starts: np.ndarray  # by term and block, and the end
+    tops: np.ndarray  # float32, largest value by term and block
     k: int
     prior: float
     steps: tuple[np.ndarray, np.ndarray]  # raw vote to calibrated score
@@ -66,9 +71,13 @@ class Index:
         value = np.concatenate([np.zeros(0), *(q for _, q in vectors)])
         order = np.lexsort((example, term))
         term, example, value = term[order], example[order], value[order]
-        starts = np.searchsorted(term, np.arange(len(terms) + 1))
+        blocks = max(1, -(-len(ids) // BLOCK))
+        cell = term * blocks + example // BLOCK
+        starts = np.searchsorted(cell, np.arange(len(terms) * blocks + 1)).astype(np.int32)
+        tops = np.zeros(len(terms) * blocks, np.float32)
+        np.maximum.at(tops, cell, np.nextafter(value.astype(np.float32), np.float32(2)))
         prior = float((weights * labels).sum() / max(weights.sum(), 1e-9))
-        index = cls(terms, idf, ids, labels, weights, example, value, starts, k, prior, (np.zeros(1), np.zeros(1)))
+        index = cls(terms, idf, ids, labels, weights, example.astype(np.int32), value, starts, tops.reshape(len(terms), blocks), k, prior, (np.zeros(1), np.zeros(1)))
         index._calibrate(vectors)
         return index
 
@@ -86,18 +95,37 @@ class Index:
         at = np.array([t for t, _ in found], np.int64)
         return at, cls.scaled(idf, at, np.array([n for _, n in found], float))
 
+    def sums(self, at: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the examples of these blocks (zero for all others), from their postings of these terms."""
+        every = self.tops.shape[1]
+        if 2 * len(blocks) > every:  # a term's postings of all blocks stand together
+            first, last = self.starts[at * every], self.starts[at * every + every]
+        else:
+            cells = (at[:, None] * every + blocks).ravel()
+            first, last = self.starts[cells], self.starts[cells + 1]
+            q = np.repeat(q, len(blocks))
+        some = np.flatnonzero(last > first)
+        first, sizes = first[some].astype(np.int64), (last[some] - first[some]).astype(np.int64)
+        place = spread(first, sizes)
+        return np.bincount(self.examples[place], self.values[place] * np.repeat(q[some], sizes), len(self.ids))
+
     def nearest(self, at: np.ndarray, q: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above zero, exactly (ties: the earlier example): all postings of all terms
-        are summed."""
-        first = self.starts[at]
-        sizes = self.starts[at + 1] - first
-        end = np.cumsum(sizes)
-        if not len(at) or not end[-1]:
+        """The k examples of the largest cosine above zero, exactly (ties: the earlier example): blocks with the largest bounds
+        first, then only those whose bound reaches the k-th cosine so far."""
+        if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        place = np.repeat(first - end + sizes, sizes) + np.arange(end[-1])
-        cosines = np.bincount(self.examples[place], self.values[place] * np.repeat(q, sizes), len(self.ids))
+        bounds = q.astype(np.float32) @ self.tops[at] * np.float32(1.0001)
+        order = np.argsort(-bounds, kind="stable")
+        cosines = self.sums(at, q, order[:FIRST_BLOCKS])
         if without >= 0:
             cosines[without] = 0
+        kth = np.partition(cosines, -self.k)[-self.k] if len(cosines) > self.k else 0.0
+        more = order[FIRST_BLOCKS:]
+        more = more[bounds[more] >= max(kth - 1e-9, 1e-30)]
+        if len(more):
+            cosines = self.sums(at, q, order) if 2 * len(more) > len(order) else cosines + self.sums(at, q, more)
+            if without >= 0:
+                cosines[without] = 0
         ranks = np.round(cosines, 12)
         least = np.partition(ranks, -self.k)[-self.k] if len(ranks) > self.k else 0
         found = np.flatnonzero((ranks >= least) & (cosines > 0))
@@ -110,18 +138,18 @@ class Index:
         return float(((w * self.labels[found]).sum() + 0.1 * self.prior) / (w.sum() + 0.1))
 
     def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Isotonic regression of the label on the vote that each example gets from the others."""
+        """Isotonic regression of the label on the vote that each example gets from the others, joined up between the middles of its levels."""
         votes = np.array([self.vote(*self.nearest(*v, without=j)) for j, v in enumerate(vectors)])
         levels: list[list[float]] = []  # weight, weighted label, lowest and highest vote
         for j in np.argsort(votes, kind="stable").tolist():
-            levels.append([self.weights[j], self.weights[j] * self.labels[j], votes[j], votes[j]])
+            levels.append([self.weights[j], self.weights[j] * self.labels[j], votes[j], votes[j], self.weights[j] * votes[j]])
             while len(levels) > 1 and (levels[-2][3] == levels[-1][2] or levels[-2][1] * levels[-1][0] >= levels[-1][1] * levels[-2][0]):
-                w, y, _, top = levels.pop()
-                levels[-1] = [levels[-1][0] + w, levels[-1][1] + y, levels[-1][2], top]
+                w, y, _, top, v = levels.pop()
+                levels[-1] = [levels[-1][0] + w, levels[-1][1] + y, levels[-1][2], top, levels[-1][4] + v]
         if levels:
-            at = [x for w, y, a, b in levels for x in (a, b)]
-            to = [(y + 0.5 * self.prior) / (w + 0.5) for w, y, _, _ in levels for _ in "ab"]
-            self.steps = np.array(at), np.array(to)
+            at = [0.0, *(v / w for w, _, _, _, v in levels), 1.0]
+            to = [(y + 0.5 * self.prior) / (w + 0.5) for w, y, _, _, _ in levels]
+            self.steps = np.array(at), np.array([to[0] * 0.5, *to, to[-1] + 0.5 * (1 - to[-1])])
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
         """From how often the text holds each known term, given by number."""
@@ -133,7 +161,7 @@ class Index:
         return float(np.clip(np.interp(self.vote(found, cosines), *self.steps), 0, 1)), evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, least_strength: float = 0.001, k: int = 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, least_strength: float = 0.001, k: int = 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
     """An index of about `per_class` labelled texts of each class, over all their terms.
 
     The sample is by hash of the id, so it doesn't depend on the layout. Terms are counted on the executors, and the counts of

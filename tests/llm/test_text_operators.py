@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -271,6 +272,25 @@ def test_nearest_is_exact():
         assert found.tolist() == order.tolist() and np.allclose(cosines, every[order])
 
 
+def test_toxicity_evidence_is_the_nearest(spark, sf):
+    """The operator's evidence against cosines of whole vectors, from the texts and the index's weights alone."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    index = toxicity.fit(docs, labels)
+
+    def vector(text):
+        counts = toxicity.term_counts(text or "")
+        v = {t: (1 + math.log(n)) * index.idf[index.terms[t]] for t, n in counts.items() if t in index.terms}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    texts = {str(r["doc_id"]): r["text"] for r in docs.collect()}
+    examples = [vector(texts[i]) for i in index.ids]
+    for r in toxicity.score(docs.limit(50), index).collect():
+        own = vector(texts[str(r["doc_id"])])
+        every = sorted(((-round(sum(x * v.get(t, 0) for t, x in own.items()), 12), j) for j, v in enumerate(examples)))[:3]
+        assert [(e["id"], pytest.approx(e["cosine"], abs=1e-9)) for e in r["evidence"]] == [(index.ids[j], -c) for c, j in every if c < 0]
+
+
 def test_toxicity_finds_neighbours_by_any_known_word(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(("plain", "quiet", "common", "words")) for _ in range(9)) + (f" rare{'abcdefghij'[i % 10]}" if i < 60 else "")) for i in range(120)]
