@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +19,7 @@ from sheaf.llm.common import arrow_limits, built, slices, token
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Examples of a block of the index; blocks that are summed before the others' bounds are looked at.
-BLOCK, FIRST_BLOCKS = 32, 3
+BLOCK, FIRST_BLOCKS = 64, 2
 PREFIXES = (4, 5, 6)
 
 
@@ -53,6 +55,29 @@ class Index:
     prior: float
     steps: tuple[np.ndarray, np.ndarray]  # raw vote to calibrated score
 
+    def pack(self) -> bytes:
+        """What is broadcast: terms, weights and postings; the blocks follow from them."""
+        sizes = np.diff(self.starts[:: self.tops.shape[1]]) if self.terms else np.zeros(0, np.int32)
+        names = "\n".join(self.terms)  # terms have letters only, but for the sign of a prefix
+        numbers = np.fromiter(self.terms.values(), np.int32, len(self.terms))
+        return zlib.compress(pickle.dumps((names, numbers, self.idf, self.ids, self.labels, self.weights, self.examples, self.values, sizes, self.k, self.prior, self.steps)), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Index:
+        names, numbers, idf, ids, labels, weights, examples, values, sizes, k, prior, steps = pickle.loads(zlib.decompress(data))
+        terms = dict(zip(names.split("\n"), numbers.tolist(), strict=True)) if len(numbers) else {}
+        return cls(terms, idf, ids, labels, weights, examples, values, *cls.blocks(len(terms), len(ids), np.repeat(np.arange(len(sizes)), sizes), examples, values), k, prior, steps)
+
+    @staticmethod
+    def blocks(terms: int, ids: int, term: np.ndarray, example: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and tops of postings in order of term and example."""
+        n = max(1, -(-ids // BLOCK))
+        cell = term * n + example // BLOCK
+        starts = np.searchsorted(cell, np.arange(terms * n + 1)).astype(np.int32)
+        tops = np.zeros(terms * n, np.float32)
+        np.maximum.at(tops, cell, np.nextafter(value.astype(np.float32), np.float32(2)))
+        return starts, tops.reshape(terms, n)
+
     @classmethod
     def build(cls, ids: list[str], labels: np.ndarray, weights: np.ndarray, vectors: list[dict[str, int]], document_counts: dict[str, int], k: int) -> Index:
         terms = {t: i for i, t in enumerate(sorted(document_counts))}
@@ -71,13 +96,8 @@ class Index:
         value = np.concatenate([np.zeros(0), *(q for _, q in vectors)])
         order = np.lexsort((example, term))
         term, example, value = term[order], example[order], value[order]
-        blocks = max(1, -(-len(ids) // BLOCK))
-        cell = term * blocks + example // BLOCK
-        starts = np.searchsorted(cell, np.arange(len(terms) * blocks + 1)).astype(np.int32)
-        tops = np.zeros(len(terms) * blocks, np.float32)
-        np.maximum.at(tops, cell, np.nextafter(value.astype(np.float32), np.float32(2)))
         prior = float((weights * labels).sum() / max(weights.sum(), 1e-9))
-        index = cls(terms, idf, ids, labels, weights, example.astype(np.int32), value, starts, tops.reshape(len(terms), blocks), k, prior, (np.zeros(1), np.zeros(1)))
+        index = cls(terms, idf, ids, labels, weights, example.astype(np.int32), value, *cls.blocks(len(terms), len(ids), term, example, value), k, prior, (np.zeros(1), np.zeros(1)))
         index._calibrate(vectors)
         return index
 
@@ -224,11 +244,11 @@ def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: st
     """
     arrow_limits(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string")).toDF("id", "text")
-    shared, key = docs.sparkSession.sparkContext.broadcast(index), token()
+    shared, key = docs.sparkSession.sparkContext.broadcast(index.pack()), token()
     kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader: Reader = built(key, lambda: Reader(shared.value))  # type: ignore[assignment]
+        reader: Reader = built(key, lambda: Reader(Index.unpack(shared.value)))  # type: ignore[assignment]
         for batch, texts in slices(batches):
             found = [reader.score(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], kind)], names=["id", "score", "predicted", "evidence"])
