@@ -1,10 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text; sharded count joins give perplexities.
 
-The model is of characters, four at a time, over a bounded alphabet (the commonest characters; all others share one code, so a
-4-gram is an exact 40-bit key). Documents send their (4-gram, count) pairs to the shards, packed by 4-gram; a shard is named
-by the two middle characters, so the 4-gram abcd, its context abc, the lower 4-gram's bcd and its context bc, all that back-off
-needs, meet in it. Below that stands the bigram table, whose size the alphabet bounds. Neither the counts of the corpus nor the
-model are ever in one place.
+The model is of characters, four at a time, over a bounded alphabet (the commonest characters have codes of their own, all others share
+as many codes by their number, so a 4-gram is an exact 44-bit key). Documents send their (4-gram, count) pairs to the shards, packed by
+4-gram; a shard is named by the two middle characters, so the 4-gram abcd, its context abc, the lower 4-gram's bcd and its context
+bc, all that back-off needs, meet in it; for common pairs also by the first character, with the lower tables in each such shard. The
+requests of a shard are dealt to as many tasks as their amount asks for, each with the shard's tables. Below that stands the bigram table, whose
+size the alphabet bounds. Neither the counts of the corpus nor the model are ever in one place.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import arrow_limits, slices
+from sheaf.llm.common import arrow_limits, checkpointed, slices
 
-#: Codes of the alphabet: 0 for other characters, 1 for the place before the text.
-BITS, OTHER, START = 10, 0, 1
+#: Codes of the alphabet: 1 for the place before the text, from 2 the commonest characters, from SHARED all others by number.
+BITS, START, SHARED = 11, 1, 1 << 10
 MASK = (1 << BITS) - 1
-DOCUMENT_BITS = 24
+DOCUMENT_BITS = 20
+#: Into how many shards a common pair goes, and the text whose requests one task answers, about.
+SPLIT, TASK_BYTES = 4, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,7 @@ class Model:
     bigrams: np.ndarray  # float32, log P2[c, d]
     table: DataFrame  # shard, kind, key, value
     shards: int
+    common: np.ndarray  # middle pairs that go by the first character as well
 
 
 def units(text: bytes) -> np.ndarray:
@@ -59,8 +63,8 @@ def grams(texts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return every >> np.uint64(DOCUMENT_BITS), (every & np.uint64((1 << DOCUMENT_BITS) - 1)).astype(np.int64), counts, sizes
 
 
-def alphabet(trusted: DataFrame, size: int) -> np.ndarray:
-    """Codes of the commonest UTF-16 units of the texts, by count and then by unit."""
+def alphabet(trusted: DataFrame, size: int = 1 << BITS) -> np.ndarray:
+    """Codes of all UTF-16 units: the commonest of the texts, by count and then by unit, have their own."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
@@ -74,8 +78,8 @@ def alphabet(trusted: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["unit", "n"])
 
-    top = trusted.select("text").mapInArrow(count, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(size - 2).collect()
-    codes = np.full(1 << 16, OTHER, np.uint64)
+    top = trusted.select("text").mapInArrow(count, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(SHARED - 2).collect()
+    codes = SHARED + np.arange(1 << 16, dtype=np.uint64) % (size - SHARED)
     for code, row in enumerate(top, 2):
         codes[row["unit"]] = code
     return codes
@@ -101,7 +105,8 @@ def train(trusted: DataFrame, *, shards: int = 12, size: int = 1 << BITS) -> Mod
                 cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[cuts].view(np.int64)), pa.array(np.add.reduceat(counts, cuts), pa.int64())], names=["key", "n"])
 
-    four = trusted.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    four = trusted.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    four = checkpointed(four)
     tail = lambda bits: F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
     three = four.groupBy(tail(3 * BITS).alias("key")).agg(F.count("*").alias("n"))  # Kneser-Ney: in how many contexts it occurs
     two = three.groupBy(tail(2 * BITS).alias("key")).agg(F.count("*").alias("n"))
@@ -127,18 +132,29 @@ def train(trusted: DataFrame, *, shards: int = 12, size: int = 1 << BITS) -> Mod
     keys = seen.column(0).to_numpy()
     p2[keys >> BITS, keys & MASK] += seen.column(1).to_numpy()
 
-    shard = lambda middle: F.pmod(F.xxhash64(middle), F.lit(shards)).cast("int").alias("shard")
+    pair = lambda c, bits: F.shiftright(c, bits).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    sums = four.groupBy(pair("key", BITS).alias("pair")).agg(F.sum("n").alias("n"))
+    total = four.agg(F.sum("n")).first()[0] or 0
+    common = [r["pair"] for r in sums.where(F.col("n") * (4 * shards) > total).select("pair").collect()]  # at most 4 * shards
+
+    def shard(middle: Column, first: Column | None) -> Column:
+        """The shards of a pair: by the first character too, or all of these where there is none, if the pair is common."""
+        parts = F.array(*[F.lit(i).cast("long") for i in range(SPLIT)]) if first is None else F.array(first % F.lit(SPLIT).cast("long"))
+        parts = F.when(middle.isin(common), parts).otherwise(F.array(F.lit(0).cast("long")))
+        return F.explode(F.transform(parts, lambda x: F.pmod(F.xxhash64(middle * F.lit(SPLIT).cast("long") + x), F.lit(shards)).cast("int"))).alias("shard")
+
+    first = lambda c, bits: F.shiftright(c, bits)
     low = trusted.sparkSession.createDataFrame([(int(k), float(p2[k >> BITS, k & MASK])) for k in keys.tolist()], "low long, p2 double")
     full3 = own3.withColumn("low", tail(2 * BITS)).join(sums3, "context").join(low, "low").select("key", "context", ((F.col("own") / F.col("total")) + F.col("gamma") * F.col("p2")).alias("p3"))
     full4 = own4.withColumn("low", tail(3 * BITS)).join(sums4, "context").join(full3.select(F.col("key").alias("low"), "p3"), "low").select("key", ((F.col("own") / F.col("total")) + F.col("gamma") * F.col("p3")).alias("p4"))
-    pair = lambda c, bits: F.shiftright(c, bits).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
     table = (
-        full4.select(shard(pair("key", BITS)), F.lit(0).alias("kind"), "key", F.log("p4").alias("value"))
-        .unionByName(sums4.select(shard(pair("context", 0)), F.lit(1).alias("kind"), F.col("context").alias("key"), F.log("gamma").alias("value")))
-        .unionByName(full3.select(shard(pair("key", BITS)), F.lit(2).alias("kind"), "key", F.log("p3").alias("value")))
-        .unionByName(sums3.select(shard(pair("context", 0)), F.lit(3).alias("kind"), F.col("context").alias("key"), F.log("gamma").alias("value")))
+        full4.select(shard(pair("key", BITS), first("key", 3 * BITS)), F.lit(0).alias("kind"), "key", F.log("p4").alias("value"))
+        .unionByName(sums4.select(shard(pair("context", 0), first("context", 2 * BITS)), F.lit(1).alias("kind"), F.col("context").alias("key"), F.log("gamma").alias("value")))
+        .unionByName(full3.select(shard(pair("key", BITS), None), F.lit(2).alias("kind"), "key", F.log("p3").alias("value")))
+        .unionByName(sums3.select(shard(pair("context", 0), None), F.lit(3).alias("kind"), F.col("context").alias("key"), F.log("gamma").alias("value")))
+        .distinct()  # two shards of a common pair may be one
     )
-    return Model(codes, np.log(np.maximum(p2, 1e-12)).astype(np.float32), table, shards)
+    return Model(codes, np.log(np.maximum(p2, 1e-12)).astype(np.float32), table, shards, np.array(sorted(common), np.int64))
 
 
 def _bytes_of(x: np.ndarray) -> bytes:
@@ -192,19 +208,30 @@ def _values(keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], bigra
     return np.where(hit4, p4, find(1, keys >> BITS)[1] + np.where(hit3, p3, lowest))
 
 
+def shards_of(keys: np.ndarray, common: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each sorted 4-gram, as train() has it: Spark's xxhash64 of the middle pair and the first character's part."""
+    triples, which = np.unique(keys >> np.uint64(BITS), return_inverse=True)
+    pairs = triples.astype(np.int64) & ((1 << 2 * BITS) - 1)
+    parts = np.where(np.isin(pairs, common), (triples >> np.uint64(2 * BITS)).astype(np.int64) % SPLIT, 0)
+    names, inverse = np.unique(pairs * SPLIT + parts, return_inverse=True)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(n.to_bytes(8, "little"), 42) for n in names.tolist()), np.uint64, len(names)).view(np.int64)
+    return (hashes % shards)[inverse][which]
+
+
 def log_probabilities(docs: DataFrame, model: Model) -> DataFrame:
     """Sums of log P by document (k1, k2), from documents given as (k1, k2, text); a document given twice counts twice."""
     arrow_limits(docs.sparkSession)
     codes, shards = model.codes, model.shards
-    # the shard of each middle pair, by the same hash as the table's
-    middles = docs.sparkSession.range(1 << 2 * BITS).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("short").alias("shard")).toArrow().column(0).to_numpy().astype(np.int16) if shards else None
-    shared = docs.sparkSession.sparkContext.broadcast((codes, middles, model.bigrams))  # bounded by the alphabet
+    shared = docs.sparkSession.sparkContext.broadcast((codes, model.common, model.bigrams))  # bounded by the alphabet
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    deals = max(1, -(-size // (shards * TASK_BYTES // 12)))
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, middles, _ = shared.value
+        codes, common, _ = shared.value
         for batch, texts in slices(batches):
             keys, docs, counts, _ = grams(texts, codes)
-            own = middles[(keys >> np.uint64(BITS)).astype(np.int64) & ((1 << 2 * BITS) - 1)]
+            own = shards_of(keys, common, shards)
+            deal = int(batch.column(0)[0].as_py()) % deals
             k = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
             rows = []
             for s in np.unique(own).tolist():
@@ -213,7 +240,7 @@ def log_probabilities(docs: DataFrame, model: Model) -> DataFrame:
                 rows.append((s, pack(keys[at], number, counts[at]), k[:, there].tobytes()))
             if rows:
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([9] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([0.0] * n, pa.float64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "kind", "key", "value", "pairs", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] * deals + deal for r in rows], pa.int32()), pa.array([9] * n, pa.int32()), pa.array([0] * n, pa.int64()), pa.array([0.0] * n, pa.float64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "kind", "key", "value", "pairs", "docs"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bigrams = shared.value[2]
@@ -243,17 +270,18 @@ def log_probabilities(docs: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(k[0]), pa.array(k[1]), pa.array(sums), pa.array(n)], names=["k1", "k2", "log_p", "n"])
 
     asked = docs.select("k1", "k2", "text").mapInArrow(request, "shard int, kind int, key long, value double, pairs binary, docs binary")
-    table = model.table.select("shard", "kind", "key", "value", F.lit(None).cast("binary").alias("pairs"), F.lit(None).cast("binary").alias("docs"))
-    met = table.unionByName(asked).repartition(max(1, shards), "shard").sortWithinPartitions("shard", "kind")
+    dealt = F.explode(F.sequence(F.col("shard") * deals, F.col("shard") * deals + (deals - 1))).alias("shard")
+    table = model.table.select(dealt, "kind", "key", "value", F.lit(None).cast("binary").alias("pairs"), F.lit(None).cast("binary").alias("docs"))
+    met = table.unionByName(asked).repartition(max(1, shards * deals), "shard").sortWithinPartitions("shard", "kind")
     return met.mapInArrow(answer, "k1 long, k2 long, log_p double, n long").groupBy("k1", "k2").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, shards: int = 12, broadcast_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Per input row: the id, n_chars (after squeezing white space), log_p, perplexity (per character), threshold and keep.
 
-    Trusted texts are those with label 1 (an id with several labels is trusted if any is 1). The threshold is the `quantile` of
-    the trusted texts' perplexity in the same language; a language without trusted text takes that of all. keep says
-    whether the perplexity is at most the threshold.
+    Trusted texts are those with label 1 (an id with several labels is trusted if any is 1). A fifth of them, by hash of the id, isn't
+    trained on: the threshold is the `quantile` of these texts' perplexity in the same language; a language without any takes that of all,
+    and if none are held out that of the trained texts. keep says whether the perplexity is at most the threshold.
 
     The trusted ids are broadcast up to `broadcast_ids` of them, counted first; beyond, they are joined by a shuffle. A null or
     empty text has no perplexity and isn't kept; a null language is a language of its own; a null id is never trusted; repeated
@@ -263,19 +291,25 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, sha
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(name, text).alias("k1"), F.xxhash64(text, name).alias("k2"), text.alias("text"))
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("held", held_for_thresholds("id"))
     trusted_ids = good.count()
     good = F.broadcast(good) if trusted_ids <= broadcast_ids else good
-    model = train(rows.join(good, "id", "left_semi"), shards=shards)
+    model = train(rows.join(good.where("not held"), "id", "left_semi"), shards=shards)
     sums = log_probabilities(rows.select("k1", "k2", "text"), model)
-    scored = rows.drop("text").join(sums, ["k1", "k2"], "left").withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n"))).persist(StorageLevel.MEMORY_AND_DISK)
-    trusted = scored.join(good, "id", "left_semi")
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    limits = trusted.groupBy("lang").agg(cut.alias("own"))
-    every = trusted.agg(cut.alias("every"))
-    out = scored.join(limits, "lang", "left").crossJoin(F.broadcast(every))  # one row
+    scored = checkpointed(rows.drop("text").join(sums, ["k1", "k2"], "left").withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n"))))
+    trusted = scored.join(good, "id").where("perplexity is not null")
+    cut = lambda held: F.percentile_approx(F.when(F.col("held") == held, F.col("perplexity")), F.lit(quantile), F.lit(10_000))
+    limits = checkpointed(trusted.groupBy("lang").agg(cut(True).alias("own")))
+    few = limits.count() <= 10_000  # languages
+    every = trusted.agg(F.coalesce(cut(True), cut(False)).alias("every"))
+    out = scored.join(F.broadcast(limits) if few else limits, "lang", "left").crossJoin(F.broadcast(every))  # one row
     threshold = F.coalesce("own", "every")
     copies = F.greatest(F.coalesce("copies", F.lit(1)), F.lit(1))
     twins = rows.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
     out = out.join(twins, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n") / copies, F.lit(0)).cast("long").alias("n_chars"), (F.coalesce("log_p", F.lit(0.0)) / copies).alias("log_p"), "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(threshold, "perplexity"), F.lit(False)).alias("keep"))
+
+
+def held_for_thresholds(id_col: str) -> Column:
+    """Whether a trusted text sets thresholds instead of being trained on: a fifth, by hash."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("thresholds")), F.lit(5)) == 0
