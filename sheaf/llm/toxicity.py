@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,11 +136,13 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         bounds = q.astype(np.float32) @ self.tops[at] * np.float32(1.0001)
         order = np.argsort(-bounds, kind="stable")
-        cosines = self.sums(at, q, order[:FIRST_BLOCKS])
+        # where most bounds are alike nothing can be passed over: all blocks at once
+        first = len(order) if 2 * np.count_nonzero(bounds >= 0.6 * bounds[order[0]]) > len(order) else FIRST_BLOCKS
+        cosines = self.sums(at, q, order[:first])
         if without >= 0:
             cosines[without] = 0
         kth = np.partition(cosines, -self.k)[-self.k] if len(cosines) > self.k else 0.0
-        more = order[FIRST_BLOCKS:]
+        more = order[first:]
         more = more[bounds[more] >= max(kth - 1e-9, 1e-30)]
         if len(more):
             cosines = self.sums(at, q, order) if 2 * len(more) > len(order) else cosines + self.sums(at, q, more)
@@ -171,12 +173,11 @@ class Index:
             to = [(y + 0.5 * self.prior) / (w + 0.5) for w, y, _, _, _ in levels]
             self.steps = np.array(at), np.array([to[0] * 0.5, *to, to[-1] + 0.5 * (1 - to[-1])])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
-        """From how often the text holds each known term, given by number."""
+    def score(self, at: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        """From the known terms of a text and how often it holds each."""
         if not self.ids:
             return 0.0, []
-        at = np.fromiter(counts, np.int64, len(counts))
-        found, cosines = self.nearest(at, self.scaled(self.idf, at, np.fromiter(counts.values(), float, len(counts))))
+        found, cosines = self.nearest(at, self.scaled(self.idf, at, counts))
         evidence = [{"id": self.ids[j], "cosine": float(c), "toxic": int(self.labels[j])} for j, c in zip(found[:3].tolist(), cosines[:3].tolist(), strict=True)]
         return float(np.clip(np.interp(self.vote(found, cosines), *self.steps), 0, 1)), evidence
 
@@ -250,7 +251,7 @@ def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader: Reader = built(key, lambda: Reader(Index.unpack(shared.value)))  # type: ignore[assignment]
         for batch, texts in slices(batches):
-            found = [reader.score(t.decode("utf-8", "replace")) for t in texts]
+            found = reader.score([t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([e for _, e in found], kind)], names=["id", "score", "predicted", "evidence"])
 
     schema = f"id {frame.schema['id'].dataType.simpleString()}, score double, predicted int, evidence array<struct<id:string,cosine:double,toxic:int>>"
@@ -261,16 +262,24 @@ class Reader:
     """Scores texts, keeping the known terms of words (up to a bound)."""
 
     def __init__(self, index: Index):
-        self.index, self.known = index, {}
+        self.index = index
+        self._forget()
 
-    def score(self, text: str) -> tuple[float, list[dict]]:
+    def _forget(self) -> None:
+        self.known, self.terms, self.starts = Numbered(), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def score(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
         if len(self.known) > 200_000:
-            self.known = {}
-        known, terms, counts = self.known, self.index.terms, {}
-        for word, n in Counter(WORDS.findall(text.lower())).items():
-            found = known.get(word)
-            if found is None:
-                found = known[word] = tuple(terms[t] for t in terms_of(word) if t in terms)
-            for t in found:
-                counts[t] = counts.get(t, 0) + n
-        return self.index.score(counts)
+            self._forget()
+        known, before, numbers = self.known, len(self.known), self.index.terms
+        coded = [np.fromiter(map(known.__getitem__, words), np.int32, len(words)) for words in (WORDS.findall(t.lower()) for t in texts)]
+        if len(known) > before:
+            found = [[numbers[t] for t in terms_of(w) if t in numbers] for w in itertools.islice(known, before, None)]
+            self.terms = np.concatenate([self.terms, np.fromiter(itertools.chain.from_iterable(found), np.int64)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        return [self._score(*np.unique(codes, return_counts=True)) for codes in coded]
+
+    def _score(self, codes: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        sizes = self.starts[codes + 1] - self.starts[codes]
+        at, which = np.unique(self.terms[spread(self.starts[codes], sizes)], return_inverse=True)
+        return self.index.score(at, np.bincount(which, np.repeat(counts, sizes), len(at)))
