@@ -124,9 +124,13 @@ def accounting(rows: DataFrame, *, ordinal: str, columns: list[str], filters: li
     long = kept.select(F.col(ordinal).alias("_at"), F.explode(F.array(*[F.struct(F.lit(h).alias("column"), strip(_cell(h)).alias("cell"), parse_number(_cell(h)).alias("number")) for h in names])).alias("c")).select("_at", "c.*")
     bad = F.col("number").isNull() & (F.col("cell") != "")
     by_cell = long.groupBy("column", F.when(bad, F.col("cell")).alias("offender")).agg(F.count("*").alias("n"), F.count("number").alias("parsed"), F.count_if(bad).alias("skipped"), F.count_if(F.col("cell") == "").alias("blank"), F.min("_at").alias("at"))
-    ranked = by_cell.withColumn("place", F.row_number().over(Window.partitionBy("column", F.col("offender").isNull()).orderBy("at", "offender")))
-    example = F.when(F.col("offender").isNotNull() & (F.col("place") <= max_examples), F.struct("place", "offender"))
-    return ranked.groupBy("column").agg(F.sum("n").alias("matched"), F.sum("parsed").alias("parsed"), F.sum("skipped").alias("skipped"), F.sum("blank").alias("blank"), F.transform(F.sort_array(F.collect_list(example)), lambda x: x.offender).alias("examples"))
+    totals = by_cell.groupBy("column").agg(F.sum("n").alias("matched"), F.sum("parsed").alias("parsed"), F.sum("skipped").alias("skipped"), F.sum("blank").alias("blank"))
+    # the filter on the place lets each task keep its first few per column before they meet
+    place = F.row_number().over(Window.partitionBy("column").orderBy("at", "offender"))
+    first = by_cell.where("offender is not null").select("column", "offender", place.alias("place")).where(F.col("place") <= max_examples)
+    examples = first.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "offender"))), lambda x: x.offender).alias("examples"))
+    none = F.expr("cast(array() as array<string>)")
+    return totals.join(examples, "column", "left").select("column", "matched", "parsed", "skipped", "blank", F.coalesce("examples", none).alias("examples"))
 
 
 def filter_skips(rows: DataFrame, *, ordinal: str, filters: list[Filter]) -> DataFrame:

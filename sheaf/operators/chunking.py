@@ -2,42 +2,87 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 #: Where a chunk is best cut, in order of preference.
 BREAKS = ("\n\n", ". ", "\n", " ")
+_BREAKS = [(re.compile(f"(?={re.escape(b)})"), len(b)) for b in BREAKS]
 
 
-def cut_at(text: str, limit: int) -> int:
-    """The end of the best break within the limit that lies beyond its half, or the limit."""
-    ends = ((text.rfind(b, 0, limit), len(b)) for b in BREAKS)
-    return next((at + size for at, size in ends if at > limit // 2), limit)
+def spans(body: str, max_chars: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each chunk. All places where a break ends are listed once, by kind; a chunk ends at the last one of the best kind
+    that stands in its later half, or at its limit, and the next begins `overlap` before that, but goes on by at least max_chars - overlap."""
+    tables = [[m.start() + size for m in pattern.finditer(body)] for pattern, size in _BREAKS]
+    least = max(1, max_chars - overlap)
+    start = 0
+    while len(body) - start > max_chars:
+        limit = start + max_chars
+        ends = [(table[k - 1], size) for table, (_, size) in zip(tables, _BREAKS, strict=True) if (k := bisect_right(table, limit))]
+        end = next((at for at, size in ends if at - size - start > max_chars // 2), limit)
+        yield start, end
+        start += max(least, end - start - overlap)
+    if start < len(body):
+        yield start, len(body)
 
 
 def pieces(text: str | None, max_chars: int = 2000, overlap: int = 200) -> list[str]:
-    """Chunks of at most max_chars; each step goes on by at least max_chars less the overlap (itself at most half)."""
-    body, at, out = (text or "").strip(), 0, []
-    overlap = max(0, min(overlap, max_chars // 2))
-    while at < len(body):
-        rest = body[at : at + max_chars + 1]
-        end = len(rest) if len(rest) <= max_chars else cut_at(rest, max_chars)
-        if part := rest[:end].strip():
-            out.append(part)
-        at += end if len(rest) <= max_chars else max(end - overlap, max_chars - overlap, 1)
-    return out
+    """Chunks of at most max_chars, overlapping by at most half of that; blank ones are left out."""
+    body = (text or "").strip()
+    cut = (body[a:b].strip() for a, b in spans(body, max_chars, min(max(overlap, 0), max_chars // 2)))
+    return [c for c in cut if c]
 
 
-def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_chars: int = 2000, overlap: int = 200) -> DataFrame:
-    """(id, chunk_index, content) of every text; null, empty and blank texts have no chunks."""
+def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_chars: int = 2000, overlap: int = 200, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """(id, chunk_index, content) of every text, and the columns to carry (section, page_number, element_type); null, empty and
+    blank texts have no chunks."""
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: pieces(t, max_chars, overlap))
 
-    return docs.select(F.col(id_col), F.posexplode(cut(text_col)).alias("chunk_index", "content"))
+    return docs.select(F.col(id_col), F.posexplode(cut(text_col)).alias("chunk_index", "content"), *carry)
+
+
+def renumbered(chunks: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """Chunks of several blocks of a document, numbered from 0 through all of them."""
+    return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy(id_col).orderBy(*order, "chunk_index")) - 1)
+
+
+def sheet_chunks(cells: DataFrame, *, max_chars: int = 2000) -> DataFrame:
+    """Chunks of every sheet of every workbook, from (file_id, sheet_ord, sheet_name, row_ord, cells) with the header in the first row of
+    a sheet: each chunk repeats the sheet's name and header, and numbers go on through the sheets of a workbook."""
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row_ord")
+        lines = [" | ".join("" if c is None else str(c) for c in cells) for cells in group["cells"]]
+        top = f"Sheet: {group['sheet_name'].iloc[0]}\n{lines[0]}\n"
+        found = [top + "\n".join(part) for part in packed(lines[1:], len(top), max_chars)]
+        return pd.DataFrame({"file_id": group["file_id"].iloc[0], "sheet_ord": group["sheet_ord"].iloc[0], "section": group["sheet_name"].iloc[0], "element_type": "table", "chunk_index": range(len(found)), "content": found})
+
+    kind = cells.schema["file_id"].dataType.simpleString()
+    found = cells.groupBy("file_id", "sheet_ord").applyInPandas(pack, f"file_id {kind}, sheet_ord int, section string, element_type string, chunk_index int, content string")
+    return renumbered(found, "file_id", ["sheet_ord"]).drop("sheet_ord")
+
+
+def packed(lines: list[str], head: int, room: int) -> Iterator[list[str]]:
+    """Neighbouring lines in runs that fit behind a head; a line that is too wide alone stays whole."""
+    run, size = [], head
+    for line in lines:
+        if run and size + len(line) + 1 > room:
+            yield run
+            run, size = [], head
+        run.append(line)
+        size += len(line) + 1
+    if run:
+        yield run
 
 
 def merge_blocks(blocks: DataFrame, *, max_chars: int = 2000, min_chars: int = 40) -> DataFrame:
@@ -71,16 +116,9 @@ def table_chunks(rows: DataFrame, headers: list[str], *, max_chars: int = 2000)
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         sheet = group["sheet_name"].iloc[0]
         top = f"Sheet: {sheet}\n{' | '.join(headers)}\n"
-        chunks: list[list[str]] = []
-        size = 0
-        for cells in group.sort_values("row_ord")["cells"]:
-            line = " | ".join("" if c is None else str(c) for c in cells)
-            if not chunks or size + len(line) + 1 > max_chars:
-                chunks.append([])
-                size = len(top)
-            chunks[-1].append(line)
-            size += len(line) + 1
-        return pd.DataFrame({"sheet_name": sheet, "chunk_index": range(len(chunks)), "content": [top + "\n".join(c) for c in chunks]})
+        lines = [" | ".join("" if c is None else str(c) for c in cells) for cells in group.sort_values("row_ord")["cells"]]
+        found = [top + "\n".join(part) for part in packed(lines, len(top), max_chars)]
+        return pd.DataFrame({"sheet_name": sheet, "chunk_index": range(len(found)), "content": found})
 
     return rows.groupBy("sheet_name").applyInPandas(pack, "sheet_name string, chunk_index int, content string")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.functions.numbers import ratio
 
+#: Even ranges of values that a group is dealt over.
+RANGES = 256
 #: Bands of a share; zero stands alone, the others are half open.
 BANDS = [("0", 0.0, 0.0), (">0-<0.20", 0.0, 0.20), ("0.20-<0.50", 0.20, 0.50), ("0.50-<0.80", 0.50, 0.80), (">=0.80", 0.80, 1.01)]
 
@@ -15,14 +19,25 @@ BANDS = [("0", 0.0, 0.0), (">0-<0.20", 0.0, 0.20), ("0.20-<0.50", 0.20, 0.50), (
 def distribution(df: DataFrame, by: list[str], value: str, fractions: dict[str, float] | None = None) -> DataFrame:
     """n, min, the values at floor(fraction * n), max and how many are zero, per group; nulls don't count.
 
-    Ranks are computed by a distributed sort within the group (a window over the group's rows, which spills), so no group
-    is ever collected into an array.
+    Equal values meet first; what is left of a group is summed by ranges of its values (even ones, between its least and largest), the
+    counts of the ranges, which are few, say in which of them each rank falls, and ranks are counted within a range. So a group is
+    dealt over RANGES tasks and never collected into an array; only very uneven values make a range large, and its window spills.
     """
     fractions = fractions or {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     counts = rows.groupBy("_v", *by).agg(F.count("*").alias("_c"))  # equal values first meet in the map-side combine
-    w = Window.partitionBy(*by).orderBy("_v")
-    placed = counts.select("*", F.sum("_c").over(w).alias("_upto"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    names = {c: f"_{i}" for i, c in enumerate(by)}
+    same = functools.reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in names.items()], F.lit(True))
+    named = [F.col(f"`{c}`").alias(k) for c, k in names.items()]
+    ends = counts.groupBy(*named).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    part = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0)).alias("_part")
+    ranged = counts.join(ends, same).select(*by, "_v", "_c", part)
+    sums = ranged.groupBy(*named, F.col("_part").alias("_p")).agg(F.sum("_c").alias("_s"))
+    upto = F.sum("_s").over(Window.partitionBy(*names.values()).orderBy("_p"))
+    sums = sums.select(*names.values(), "_p", (upto - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(*names.values())).alias("_n"))
+    inner = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    placed = ranged.join(sums, same & (F.col("_part") == F.col("_p"))).select(*by, "_part", "_v", "_c", "_before", "_n").withColumn("_upto", F.col("_before") + inner)
     at = lambda f: F.least(F.floor(F.lit(f) * F.col("_n")), F.col("_n") - 1)
     here = lambda f: (at(f) < F.col("_upto")) & (at(f) >= F.col("_upto") - F.col("_c"))
     return placed.groupBy(*by).agg(F.first("_n").alias("n"), F.round(F.min("_v"), 4).alias("min"), *[F.round(F.max(F.when(here(f), F.col("_v"))), 4).alias(name) for name, f in fractions.items()], F.round(F.max("_v"), 4).alias("max"), F.sum(F.when(F.col("_v") == 0, F.col("_c")).otherwise(0)).alias("zero"))
@@ -55,11 +70,11 @@ def ordered(counts: DataFrame, preferred: list[str], key: str = "key", n: str =
     return counts.withColumn("position", F.row_number().over(Window.orderBy(F.when(place > 0, place).otherwise(F.lit(len(preferred) + 1)), F.desc(n), F.col(key))))
 
 
-def breakdown(df: DataFrame, dimensions: list[str], blob: str, status: str) -> DataFrame:
-    """Files, distinct blobs and ready ones along each dimension on its own."""
+def breakdown(df: DataFrame, dimensions: list[str], blob: str, status: str, ready: str = "ready") -> DataFrame:
+    """Files, distinct blobs and those of the status `ready` along each dimension on its own."""
     sets = [[d] for d in dimensions]
     long = df.select(blob, status, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias("label")) for (d,) in sets])).alias("x"))
-    return long.groupBy("x.dimension", "x.label").agg(F.count("*").alias("files"), F.countDistinct(blob).alias("blobs"), F.count_if(F.col(status) == "F").alias("done"))
+    return long.groupBy("x.dimension", "x.label").agg(F.count("*").alias("files"), F.countDistinct(blob).alias("blobs"), F.count_if(F.col(status) == ready).alias("done"))
 
 
 def transitions(df: DataFrame, a: str, b: str) -> DataFrame:

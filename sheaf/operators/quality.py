@@ -19,6 +19,22 @@ _EDGES = r""".,;:!?()\[\]{}"'`—–-"""
 _SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _DEVANAGARI = r"[\u0900-\u097f\ua8e0-\ua8ff]"
 _SWITCH = r"\p{Ll}\p{Lu}"
+_WORD = r"\p{L}\p{N}\p{Mn}\p{Mc}"
+#: Patterns that match whole tokens of a kind in a spaced text (see spaced()), each in one pass, without looking back.
+ALPHA, VOWELLESS = " [A-Za-z]{3,}(?= )", " [B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]{3,}(?= )"
+SWITCHED = f" [^ ]*?{_SWITCH}[^ ]*"
+STOPWORD = f" (?:{'|'.join(STOPWORDS)})(?= )"
+#: The first sign after the first letter that isn't outer punctuation, with something else behind it.
+SYMBOLIC = f" [{_EDGES}]*+[^ {_EDGES}][{_WORD}]*+[^ {_WORD}][^ ]*[^ {_EDGES}][^ ]*"
+
+
+def spaced(c: Column) -> Column:
+    """One blank before, between and after the tokens, and no other white space."""
+    return F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), f"[{_SPACE}]+", " ")
+
+
+def blanks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
 def tokens(c: Column) -> Column:
@@ -36,52 +52,45 @@ def alphabetic(words: Column) -> Column:
     return F.filter(words, lambda t: t.rlike("^[A-Za-z]{3,}$"))
 
 
-def _shares(words: Column) -> Column:
-    """Struct of the three shape signals of some tokens."""
-    return let(
-        alphabetic(words),
-        lambda alpha: F.struct(
-            ratio(F.size(F.filter(alpha, lambda t: ~t.rlike("[aeiouAEIOU]"))), F.size(alpha), 9).alias("vowelless"),
-            ratio(F.size(F.filter(words, has_inner_symbol)), F.size(words), 9).alias("symbols"),
-            ratio(F.size(F.filter(words, lambda t: t.rlike(_SWITCH))), F.size(words), 9).alias("switches"),
-        ),
-    )
-
-
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+def chars(c: Column, kind: str) -> Column:
+    """How many characters of a class a text has."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{kind}+", ""))
+
+
 def glyph_mapped(line: Column) -> Column:
     """Whether a line looks like glyphs typed as Latin letters; null if it is too short to tell."""
 
-    def judge(words: Column) -> Column:
-        total = count(line, f"[^{_SPACE}]")
-        shape = let(_shares(words), lambda s: (s["vowelless"] > MIN_VOWELLESS) | (s["symbols"] > MIN_SYMBOL) | (s["switches"] > MIN_CASE_SWITCH))
-        return F.when(F.size(words) < LINE_MIN_TOKENS, None).when(count(line, _DEVANAGARI) > MAX_DEVANAGARI * total, False).when(count(line, "[A-Za-z]") < MIN_LATIN * total, False).otherwise(shape)
+    def judge(n: Column) -> Column:
+        x, tokens_, total = n["x"], n["blanks"] - 1, F.length(n["x"]) - n["blanks"]
+        shape = (ratio(count(x, VOWELLESS), count(x, ALPHA), 9) > MIN_VOWELLESS) | (ratio(count(x, SYMBOLIC), tokens_, 9) > MIN_SYMBOL) | (ratio(count(x, SWITCHED), tokens_, 9) > MIN_CASE_SWITCH)
+        foreign = (chars(x, _DEVANAGARI) > MAX_DEVANAGARI * total) | (chars(x, "[A-Za-z]") < MIN_LATIN * total)
+        return F.when(tokens_ < LINE_MIN_TOKENS, None).otherwise(~foreign & shape)
 
-    return let(tokens(line), judge)
+    return let(let(spaced(line), lambda x: F.struct(x.alias("x"), blanks(x).alias("blanks"))), judge)
 
 
 def text_metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the struct `metrics` of twenty measurements; everything stays in the JVM."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    base = df.withColumn("_t", c).withColumn("_words", tokens(F.col("_t"))).withColumn("_lines", split_lines(F.col("_t"))).withColumn("_total", count(F.col("_t"), f"[^{_SPACE}]"))
-    base = base.withColumn("_judged", F.filter(F.transform("_lines", glyph_mapped), lambda x: x.isNotNull()))
-    t, words, total = F.col("_t"), F.col("_words"), F.col("_total")
-    base = base.withColumn("_alpha", alphabetic(words))
-    alpha = F.col("_alpha")
+    """Adds the struct `metrics` of twenty measurements; everything stays in the JVM, a pattern at a time over the whole text."""
+    base = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_lines", split_lines(F.col("_t")))
+    base = base.withColumn("_x", spaced(F.col("_t")))
+    t, x = F.col("_t"), F.col("_x")
+    base = base.withColumn("_tokens", blanks(x) - 1).withColumn("_alpha", count(x, ALPHA)).withColumn("_judged", F.filter(F.transform("_lines", glyph_mapped), lambda v: v.isNotNull()))
+    tokens_, alpha = F.col("_tokens"), F.col("_alpha")
+    total = F.length(x) - tokens_ - 1
     legacy = F.size(F.filter("_judged", lambda x: x))
-    share = lambda pattern: ratio(count(t, pattern), total)
+    share = lambda kind: ratio(chars(x, kind), total)
     fields = {
-        "char_count": F.length(t), "non_whitespace_chars": total, "token_count": F.size(words), "line_count": F.when(t == "", 0).otherwise(F.size("_lines")), "non_empty_lines": F.size(F.filter("_lines", lambda x: x.rlike(f"[^{_SPACE}]"))),
-        "printable_ratio": ratio(total - count(t, rf"[\p{{C}}&&[^{_SPACE}]]"), total), "control_char_ratio": share(r"[\x00-\x08\x0e-\x1f]"), "replacement_char_count": count(t, "�"), "replacement_char_ratio": share("�"),
+        "char_count": F.length(t), "non_whitespace_chars": total, "token_count": tokens_, "line_count": F.when(t == "", 0).otherwise(F.size("_lines")), "non_empty_lines": F.size(F.filter("_lines", lambda x: x.rlike(f"[^{_SPACE}]"))),
+        "printable_ratio": ratio(total - chars(x, rf"[\p{{C}}&&[^{_SPACE}]]"), total), "control_char_ratio": ratio(chars(t, r"[\x00-\x08\x0e-\x1f]"), total), "replacement_char_count": chars(x, "�"), "replacement_char_ratio": share("�"),
         "devanagari_ratio": share(_DEVANAGARI), "latin_letter_ratio": share("[A-Za-z]"), "digit_ratio": share(r"\p{Nd}"), "punctuation_ratio": share(r"\p{P}"),
-        "stopword_rate": ratio(F.size(F.filter(words, lambda w: F.lower(w).isin(STOPWORDS))), F.size(words)), "vowelless_token_ratio": ratio(F.size(F.filter(alpha, lambda w: ~w.rlike("[aeiouAEIOU]"))), F.size(alpha)),
-        "intraword_symbol_ratio": ratio(F.size(F.filter(words, has_inner_symbol)), F.size(words)), "intraword_case_switch_ratio": ratio(F.size(F.filter(words, lambda w: w.rlike(_SWITCH))), F.size(words)),
+        "stopword_rate": ratio(count(F.lower(x), STOPWORD), tokens_), "vowelless_token_ratio": ratio(count(x, VOWELLESS), alpha), "intraword_symbol_ratio": ratio(count(x, SYMBOLIC), tokens_), "intraword_case_switch_ratio": ratio(count(x, SWITCHED), tokens_),
         "legacy_line_ratio": ratio(legacy, F.size("_judged")), "legacy_lines": legacy, "judged_lines": F.size("_judged"),
     }
-    return base.withColumn("metrics", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("_t", "_words", "_alpha", "_lines", "_total", "_judged")
+    return base.withColumn("metrics", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("_t", "_x", "_lines", "_tokens", "_alpha", "_judged")
 
 
 def classify(df: DataFrame, *, family: Column, error: Column, parsed: Column, cells: Column, coverage: Column, page_chars: Column) -> DataFrame:

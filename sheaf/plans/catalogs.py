@@ -63,11 +63,10 @@ def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.resolve_cache(wanted, cache, "o_custkey", "o_orderkey", "v2")
 
 
-@query("scope_triage", "SELECT CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 3 = 0) THEN 'already_current' WHEN source IN (SELECT source FROM documents WHERE doc_id % 3 = 0 AND doc_id < 40) THEN 'replacement_candidate' ELSE 'new_source' END AS triage, count(*) AS n FROM documents WHERE doc_id % 3 > 0 GROUP BY 1")
+@query("scope_triage", "SELECT CASE WHEN text IN (SELECT text FROM documents WHERE lang = 'en') THEN 'already_current' WHEN source || '/' || left(lang, 1) IN (SELECT source || '/e' FROM documents WHERE lang = 'en') THEN 'replacement_candidate' ELSE 'new_source' END AS triage, count(*) AS n FROM documents GROUP BY 1")
 def scope_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"), "source")
-    indexed = docs.where("doc_id % 3 = 0").select("content", F.when(F.col("doc_id") < 40, F.col("source")).alias("source"))
-    return catalog.triage(docs.where("doc_id % 3 > 0"), indexed, "content", "source").groupBy("triage").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content"), F.concat("source", F.lit("/"), F.substring("lang", 1, 1)).alias("source"), "lang")
+    return catalog.triage(docs, docs.where("lang = 'en'"), "content", "source").groupBy("triage").agg(F.count("*").alias("n"))
 
 
 @query("closed_tally", "SELECT v AS event_type, count(event_id) AS n FROM (VALUES ('click'), ('error'), ('purchase'), ('refund')) x(v) LEFT JOIN events ON event_type = v GROUP BY 1")

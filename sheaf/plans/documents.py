@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators import chunking, quality
-from sheaf.plans.registry import query, table
+from sheaf.plans.registry import query, spread, table
 from sheaf.sources import web
 
 WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -23,13 +23,13 @@ SELECT doc_id, length(text)::INT AS char_count, total::INT AS non_whitespace_cha
 {_r("length(regexp_replace(text, '[^' || chr(92) || 'p{P}]+', '', 'g'))", "total")} AS punctuation_ratio, {_r(f"len(list_filter(w, lambda x: list_contains([{STOP}], lower(x))))", "len(w)")} AS stopword_rate, {_r("len(list_filter(alpha, lambda x: NOT regexp_matches(x, '[aeiouAEIOU]')))", "len(alpha)")} AS vowelless_token_ratio,
 {_r("len(list_filter(w, lambda x: regexp_matches(x, '[[:lower:]ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ][[:upper:]ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ]')))", "len(w)")} AS intraword_case_switch_ratio FROM a""")
 def text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = quality.text_metrics(table(spark, sf_dir, "documents"))
+    m = quality.text_metrics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return m.select("doc_id", *[F.col(f"metrics.{c}") for c in ("char_count", "non_whitespace_chars", "token_count", "latin_letter_ratio", "digit_ratio")], F.col("metrics.punctuation_ratio"), *[F.col(f"metrics.{c}") for c in ("stopword_rate", "vowelless_token_ratio", "intraword_case_switch_ratio")])
 
 
 @query("text_verdicts")
 def text_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = quality.text_metrics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = quality.text_metrics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     none = F.lit(None)
     out = quality.classify(m, family=F.lit("pdf"), error=none.cast("string"), parsed=F.lit(True), cells=none.cast("int"), coverage=F.when(F.col("doc_id") % 3 == 0, 0.8), page_chars=F.when(F.col("doc_id") % 3 == 0, F.length("text")))
     return out.select("doc_id", "status", "reason", F.array_join("warnings", ",").alias("warnings"))
@@ -37,13 +37,12 @@ def text_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunks")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(table(spark, sf_dir, "documents"), max_chars=1000, overlap=100)
+    return chunking.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), max_chars=1000, overlap=100)
 
 
-@query("chunk_sizes", "SELECT doc_id, 1::BIGINT AS chunks, length(trim(text, ' ' || chr(10) || chr(9) || chr(13)))::BIGINT AS chars FROM documents WHERE length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) BETWEEN 1 AND 1000")
+@query("chunk_sizes")
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = chunking.chunk(table(spark, sf_dir, "documents"), max_chars=1000, overlap=0).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
-    return cut.where("chunks = 1 and chars <= 1000")
+    return chunking.chunk(table(spark, sf_dir, "documents"), max_chars=1000, overlap=0).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("merged_blocks")

@@ -47,7 +47,7 @@ def ordered_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("breakdowns", "WITH x AS (SELECT 'status' AS dimension, o_orderstatus AS label, o_custkey, o_orderstatus FROM orders UNION ALL SELECT 'priority', o_orderpriority, o_custkey, o_orderstatus FROM orders) SELECT dimension, label, count(*) AS files, count(DISTINCT o_custkey) AS blobs, count(*) FILTER (o_orderstatus = 'F') AS done FROM x GROUP BY 1, 2")
 def breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_custkey", "o_orderstatus")
-    return profile.breakdown(orders, ["status", "priority"], "o_custkey", "o_orderstatus")
+    return profile.breakdown(orders, ["status", "priority"], "o_custkey", "o_orderstatus", ready="F")
 
 
 @query("transitions", "SELECT coalesce(a, 'none') || '->' || coalesce(b, 'none') AS transition, count(*) AS n FROM (SELECT l_linestatus AS a, CASE WHEN l_orderkey % 9 > 0 THEN l_returnflag END AS b FROM lineitem) GROUP BY 1")

@@ -100,7 +100,7 @@ def sitemap(documents: DataFrame, root: str, *, depth: int = 3, max_maps: int =
     """(loc, lastmod) reachable from a root map, from maps given as (url, xml): breadth first, each map and page once, within
     the limits on depth, maps and pages."""
     entry = "array<struct<loc:string,lastmod:string>>"
-    parsed = documents.select(F.col("url").alias("map"), F.from_xml("xml", f"sitemap {entry}, url {entry}").alias("x")).select("map", "x.sitemap", "x.url").persist()
+    parsed = documents.select(F.col("url").alias("map"), F.from_xml("xml", f"sitemap {entry}, url {entry}").alias("x")).select("map", "x.sitemap", "x.url")
     front, seen = {root}, []
     for _ in range(depth + 1):
         front = set(sorted(front - set(seen))[: max_maps - len(seen)])
@@ -108,7 +108,7 @@ def sitemap(documents: DataFrame, root: str, *, depth: int = 3, max_maps: int =
             break
         seen += sorted(front)
         below = parsed.where(F.col("map").isin(sorted(front))).select(F.explode("sitemap.loc").alias("loc"))
-        front = {r["loc"].strip() for r in below.distinct().limit(max_maps).collect()}
+        front = {r["loc"] for r in below.select(F.trim("loc").alias("loc")).where(~F.col("loc").isin(seen)).distinct().orderBy("loc").limit(max_maps).collect()}
     pages = parsed.where(F.col("map").isin(seen)).select(F.explode("url").alias("u")).select(F.trim("u.loc").alias("loc"), "u.lastmod")
     return pages.groupBy("loc").agg(F.max("lastmod").alias("lastmod")).orderBy("loc").limit(max_urls)
 
@@ -137,8 +137,9 @@ def sniff(content: F.Column) -> F.Column:
     text = F.lower(F.trim(F.decode(head, "ISO-8859-1")))
     out = F.when(F.octet_length(head) == 0, "empty")
     for magic, family in MAGIC:
-        if family == "zip":
-            out = out.when(starts(magic) & F.contains(F.hex(content), F.lit(b"word/".hex().upper())), "document").when(starts(magic) & F.contains(F.hex(content), F.lit(b"xl/".hex().upper())), "spreadsheet").when(starts(magic), "archive")
+        if family == "zip":  # names of members stand in it as they are; Latin-1 shows every byte as one character
+            names = F.decode(content, "ISO-8859-1")
+            out = out.when(starts(magic) & names.contains("word/"), "document").when(starts(magic) & names.contains("xl/"), "spreadsheet").when(starts(magic), "archive")
         else:
             out = out.when(starts(magic), family)
     out = out.when(text.startswith("<!doctype html") | text.startswith("<html"), "web").when(text.startswith("<?xml"), "xml")

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def throttle(events: DataFrame, *, key: str = "user_id", ts: str = "ts", limit: int = 5, window_s: int = 300, lock_s: int = 900) -> DataFrame:
     """(key, ts, allowed, locked_until) per failure: `limit` failures within the window lock a key and clear its list; while it is locked,
-    failures are refused and don't count. State is the list of times within the window, which times out."""
+    failures are refused and don't count. State is the list of times within the window, and goes once a key has
+    been still for the longer of window and lock (by the clock of the processing)."""
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times, until = state.get if state.exists else ([], 0.0)
@@ -29,10 +30,11 @@ def throttle(events: DataFrame, *, key: str = "user_id", ts: str = "ts", limit:
                         times, until = [], at + lock_s
                 out.append((keys[0], at, allowed, until))
         state.update((times, until))
+        state.setTimeoutDuration(1000 * max(window_s, lock_s))
         yield pd.DataFrame(out, columns=[key, "at", "allowed", "locked_until"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at double, allowed boolean, locked_until double", "times array<double>, until double", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at double, allowed boolean, locked_until double", "times array<double>, until double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, *, ts: str = "ts", late: str = "10 minutes", size: str = "1 hour", key: str = "event_type") -> DataFrame:
