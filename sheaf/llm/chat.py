@@ -15,7 +15,7 @@ def maximal_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_c
     hashes are joined; rendering reads the texts of what was kept.
 
     Rows that are equal in all four columns count once; turns that share a number follow role, then text, nulls first. A
-    null role or text differs from an empty one and is rendered as empty; rows with a null conversation id belong to no
+    null role or text differs from an empty one and is rendered as empty; `<|` within a turn is rendered `< |`; rows with a null conversation id belong to no
     conversation and are left out; an empty table gives no rows; other columns are ignored.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).alias("t")).where("conv is not null")
@@ -29,7 +29,8 @@ def maximal_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_c
     fulls = chains.groupBy(F.element_at("chain", -1).alias("h")).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"), F.first(F.size("chain").cast("long")).alias("n_turns"))
     prefixes = chains.select(F.explode(F.expr("slice(chain, 1, size(chain) - 1)")).alias("h")).distinct()
     kept = fulls.join(prefixes, "h", "left_anti").select("conv", "n_copies", "n_turns")
-    line = "concat('<|im_start|>', coalesce(x.role, ''), '\\n', coalesce(x.text, ''), '<|im_end|>')"
+    shut = lambda field: f"replace(coalesce(x.{field}, ''), '<|', '< |')"  # noqa: E731 - no turn can write the marks of another
+    line = f"concat('<|im_start|>', {shut('role')}, '\\n', {shut('text')}, '<|im_end|>')"
     rendered = hashed.join(kept, "conv").select(F.col("conv").alias(conv_col), "n_turns", "n_copies", F.expr(f"array_join(transform(ts, x -> {line}), '\\n')").alias("rendered"))
     return rendered
 
@@ -40,7 +41,7 @@ WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHER
 convs AS (
   SELECT conv_id, count(*) AS n_turns,
          list(coalesce(length(role)::VARCHAR || ':' || role, '-') || '|' || coalesce(length(text)::VARCHAR || ':' || text, '-') ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS parts,
-         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+         string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>', chr(10) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
   FROM turns GROUP BY conv_id),
 kinds AS (SELECT parts, min(conv_id) AS conv_id, count(*) AS n_copies FROM convs GROUP BY parts),
 prefixes AS (SELECT DISTINCT parts[1:k] AS parts FROM (SELECT parts, unnest(range(1, len(parts))) AS k FROM kinds))

@@ -27,10 +27,13 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own is set only where that setting is absent (tests on one machine)."""
+    """Checkpoints go to spark.checkpoint.dir; a folder of our own is set only where that setting is absent and everything runs in
+    one process (tests). A cluster without the setting raises: no folder of one machine would do."""
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not given and not re.match(r"local(\[[^-]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="sheaf-checkpoint-"))
 
 
@@ -41,10 +44,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Bound the Arrow batches by bytes, so that very long texts don't meet in one batch. A session's own lower bounds stay."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        _lower(spark, f"spark.sql.execution.arrow.{name}", most)
+
+
+def _lower(spark: SparkSession, name: str, most: int) -> None:
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+        now = str(spark.conf.get(name))
+        if not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(name, str(most))
     except Exception as error:  # an older Spark doesn't know the setting; the record limit still holds
         if "maxBytesPerBatch" not in str(error):
             raise

@@ -100,8 +100,11 @@ def _sections(packets: np.ndarray, table: int) -> list[bytes]:
 
 
 def demux(media: bytes) -> dict:
-    """Read a stream back: the program tables name the data's PID; its continuity counters are checked; its elementary
-    packets are put together. Raises ValueError where the stream has no such program or breaks off."""
+    """Read a stream back: the program tables name the program and the data's PID; its continuity counters are checked; its elementary
+    packets are put together. A packet sent twice counts once; an elementary packet that lacks a part is left out of the payload and
+    counted as broken. Raises ValueError where the stream has no whole packets or no such program."""
+    if not media or len(media) % PACKET:
+        raise ValueError("not whole packets")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != SYNC).any():
         raise ValueError("lost sync")
@@ -109,6 +112,7 @@ def demux(media: bytes) -> dict:
     tables = _sections(packets[pids == TABLE_PID], 0x00)
     if not tables:
         raise ValueError("no program association")
+    program = tables[0][8] << 8 | tables[0][9]
     map_pid = (tables[0][10] & 0x1F) << 8 | tables[0][11]
     maps = _sections(packets[pids == map_pid], 0x02)
     if not maps:
@@ -117,8 +121,14 @@ def demux(media: bytes) -> dict:
     kind, pid = maps[0][at], (maps[0][at + 1] & 0x1F) << 8 | maps[0][at + 2]
     where = np.flatnonzero(pids == pid)
     own = packets[where]
+    once = np.ones(len(own), bool)
+    once[1:] = ~((own[1:, 3] & 15 == own[:-1, 3] & 15) & (own[1:, 4:] == own[:-1, 4:]).all(1))
+    where, own = where[once], own[once]
+    if not len(own):
+        return {"payload": b"", "program": program, "pid": pid, "stream_type": kind, "n_packets": len(packets), "continuity_errors": 0, "broken": 0, "pts": [], "access_points": []}
     control, counters = own[:, 3] >> 4 & 3, own[:, 3].astype(np.int16) & 15
-    errors = int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
+    gaps = np.flatnonzero((counters[1:] - counters[:-1]) % 16 != 1) + 1  # before these packets something is missing
+    errors = len(gaps)
     adapted = (control & 2) > 0
     starts = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
     access = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
@@ -127,17 +137,28 @@ def demux(media: bytes) -> dict:
     sizes = PACKET - starts
     ends = np.cumsum(sizes)
     cuts = np.append((ends - sizes)[begins], len(flat))
-    parts, stamps = [], []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+    torn = np.zeros(len(begins), bool)
+    inside = np.searchsorted(begins, gaps, "right") - 1
+    torn[inside[(inside >= 0) & ~np.isin(gaps, begins)]] = True
+    parts, stamps, broken = [np.zeros(0, np.uint8)], [], int(len(begins) == 0 or begins[0] > 0)
+    for a, b, gap in zip(cuts[:-1].tolist(), cuts[1:].tolist(), torn.tolist(), strict=True):
         head = flat[a : a + 14].tobytes()
-        length, extra = head[4] << 8 | head[5], head[8]
-        if head[:3] != b"\x00\x00\x01" or length != b - a - 6:
-            raise ValueError("broken elementary packet")
+        if gap or len(head) < 9 or head[:3] != b"\x00\x00\x01" or (head[4] << 8 | head[5]) != b - a - 6:
+            broken += 1
+            continue
+        extra = head[8]
         if head[7] & 0x80:
             p = head[9:14]
             stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
         parts.append(flat[a + 9 + extra : b])
-    return {"payload": np.concatenate(parts).tobytes(), "program": PROGRAM, "pid": pid, "stream_type": kind, "n_packets": len(packets), "continuity_errors": errors, "pts": stamps, "access_points": where[access].tolist()}
+    return {"payload": np.concatenate(parts).tobytes(), "program": program, "pid": pid, "stream_type": kind, "n_packets": len(packets), "continuity_errors": errors, "broken": broken, "pts": stamps, "access_points": where[access].tolist()}
+
+
+def _found(media: bytes | None) -> dict:
+    try:
+        return {} if media is None else demux(media)
+    except ValueError as error:
+        return {"error": str(error)}
 
 
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,10 +178,10 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def read(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """Adds what demux() finds in the stored bytes: payload, pid, stream_type, n_packets, continuity_errors, pts and
-    access_points. A null stream gives nulls; a broken one raises."""
+    """Adds what demux() finds in the stored bytes: payload, program, pid, stream_type, n_packets, continuity_errors, broken, pts and
+    access_points; and `error`, why a stream can't be read, with the others null. A null stream gives nulls."""
     arrow_limits(stored.sparkSession)
-    new = [("payload", "binary", pa.binary()), ("pid", "int", pa.int32()), ("stream_type", "int", pa.int32()), ("n_packets", "int", pa.int32()), ("continuity_errors", "int", pa.int32()), ("pts", "array<long>", pa.list_(pa.int64())), ("access_points", "array<int>", pa.list_(pa.int32()))]
+    new = [("error", "string", pa.string()), ("payload", "binary", pa.binary()), ("program", "int", pa.int32()), ("pid", "int", pa.int32()), ("stream_type", "int", pa.int32()), ("n_packets", "int", pa.int32()), ("continuity_errors", "int", pa.int32()), ("broken", "int", pa.int32()), ("pts", "array<long>", pa.list_(pa.int64())), ("access_points", "array<int>", pa.list_(pa.int32()))]
     stored = stored.drop(*[n for n, _, _ in new])
     schema = StructType([*stored.schema.fields, *StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind, _ in new)).fields])
 
@@ -168,7 +189,7 @@ def read(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(media_col))
             for start in range(0, batch.num_rows, 400):
-                found = [{} if (v := x.as_py()) is None else demux(v) for x in column.slice(start, 400)]
+                found = [_found(x.as_py()) for x in column.slice(start, 400)]
                 arrays = [pa.array([f.get(n) for f in found], t) for n, _, t in new]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, 400).columns, *arrays], names=[*batch.schema.names, *[n for n, _, _ in new]])
 

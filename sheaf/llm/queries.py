@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import bpe, chat, decontam, langid, licenses, media, quality, simhash, suffix, toxicity
+from sheaf.plans.registry import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; documents, which cost the most work by row, at least a task to a core."""
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name == "documents" else read
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:

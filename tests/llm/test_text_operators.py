@@ -140,15 +140,23 @@ def test_media_round_trip():
         assert found["pts"] == [k * media.UNITS * media.FRAME_TICKS for k in range(len(found["pts"]))] and len(found["access_points"]) == len(found["pts"])
 
 
-def test_media_finds_faults():
-    stream = media.mux(media.padded(b"a" * 50_000))
-    gap = stream[: 188 * 10] + stream[188 * 11 :]
-    with pytest.raises(ValueError, match="broken"):
-        media.demux(gap)
-    with pytest.raises(ValueError, match="sync"):
-        media.demux(b"\x00" * 188)
-    with pytest.raises(ValueError, match="association"):
-        media.demux(stream[188:376])
+def test_media_finds_faults(spark):
+    data = media.padded(bytes(range(256)) * 500)
+    stream = media.mux(data)
+    unit = media.UNIT * media.UNITS
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    gap = media.demux(b"".join(packets[:10] + packets[11:]))  # a part of the first elementary packet is missing
+    assert (gap["continuity_errors"], gap["broken"], gap["payload"]) == (1, 1, data[unit:])
+    starts = [i for i, p in enumerate(packets) if p[1] & 0x40 and (p[1] & 0x1F) << 8 | p[2] == media.DATA_PID]
+    lost = media.demux(b"".join(packets[: starts[1]] + packets[starts[2] :]))  # the second one is missing as a whole
+    assert (lost["continuity_errors"], lost["broken"], lost["payload"]) == (1, 0, data[:unit] + data[2 * unit :])
+    twice = media.demux(b"".join(packets[:10] + [packets[9]] + packets[10:]))
+    assert (twice["continuity_errors"], twice["broken"], twice["payload"], twice["program"]) == (0, 0, data, media.PROGRAM)
+    headless = media.demux(b"".join(packets[:2] + packets[3:]))
+    assert headless["broken"] >= 1 and headless["payload"] == data[unit:]
+    bad = {1: b"\x00" * 188, 2: stream[188:376], 3: stream[:-1], 4: b"", 5: None}
+    out = {r["doc_id"]: r for r in media.read(spark.createDataFrame(list(bad.items()), "doc_id long, media binary")).collect()}
+    assert [out[i]["error"] for i in range(1, 6)] == ["lost sync", "no program association", "not whole packets", "not whole packets", None] and all(r["payload"] is None for r in out.values())
 
 
 def test_media_query(spark, awkward):
