@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sheaf.llm.bpe import Numbered, spread
 from sheaf.llm.common import arrow_limits, built, slices, token, whole_row, with_fields
@@ -80,14 +81,16 @@ def train(docs: DataFrame, *, per_language: int = 1500, grams_per_language: int
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found), pa.array(counts)], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 0")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.col("gram") < 0), F.desc("n"), "gram"))
+    every = counts.withColumn("place", place).where(F.col("place") <= grams_per_language + len(_NAMES)).select("lang", "gram", "n").toArrow()
+    owner, grams, n = (every.column(i).to_pandas().to_numpy() for i in range(3))
     languages, tables, scripts = sorted(sizes), [], np.zeros((len(_NAMES), len(sizes)), bool)
     for j, lang in enumerate(languages):
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc(F.col("gram") < 0), F.desc("n"), "gram").limit(grams_per_language + len(_NAMES)).select("gram", "n").toArrow()
-        gram, n = top.column(0).to_numpy(), top.column(1).to_numpy()
+        gram, own = grams[owner == lang].astype(np.int64), n[owner == lang].astype(np.int64)
         letters = np.zeros(len(_NAMES))
-        letters[-1 - gram[gram < 0]] = n[gram < 0]
+        letters[-1 - gram[gram < 0]] = own[gram < 0]
         scripts[:, j] = letters >= 0.02 * max(1.0, letters.sum())
-        tables.append((gram[gram >= 0], n[gram >= 0]))
+        tables.append((gram[gram >= 0], own[gram >= 0]))
     keys = np.unique(np.concatenate([g for g, _ in tables]))
     scores = np.zeros((len(keys) + 1, len(languages)), np.float32)
     for j, (gram, n) in enumerate(tables):
