@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf import tools
 from sheaf.operators import reports
 from sheaf.plans.registry import query, table
 
@@ -182,3 +183,11 @@ def attached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recovered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", F.col("l_partkey").cast("string").alias("t"), (F.col("l_discount") > 0.02).alias("ok"))
     return reports.recovered_pages(units, document="l_orderkey", page="l_returnflag", ordinal="l_linenumber", text="t", resolved="ok")
+
+
+@query("tool_aggregate", "SELECT l_returnflag AS \"group\", format('{:,}', count(*)) AS rows, format('{:,}', sum(l_linenumber)::BIGINT) AS sum_l_linenumber, format('{:,}', max(l_partkey)::BIGINT) AS max_l_partkey, (SELECT count(DISTINCT l_returnflag) FROM lineitem WHERE l_linenumber > 2) AS total_groups FROM lineitem WHERE l_linenumber > 2 GROUP BY 1")
+def tool_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_returnflag", "l_linenumber", "l_partkey"]
+    cells = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("string") for c in columns], (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_ord"))
+    request = {"metrics": [{"column": "l_linenumber", "op": "SUM"}, {"column": "l_partkey", "op": "max"}], "filters": [{"column": "L_LINENUMBER", "op": "gt", "value": 2}], "group_by": "l_returnflag"}
+    return tools.call("aggregate", cells, request)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf import tools
 from sheaf.operators import chunking, reports, sampling
 from sheaf.plans import registry
 
@@ -101,3 +102,14 @@ def test_chunks_cover_every_text(spark, sf):
 def test_spread_leaves_large_tables(spark):
     wide = spark.range(100).repartition(9)
     assert registry.spread(wide).rdd.getNumPartitions() == 9 and registry.spread(spark.range(5).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_tools_refuse_and_run(spark):
+    cells = spark.createDataFrame([(1, "a", "1,234.5"), (2, "a", "n/a"), (3, "b", "")], "row_ord int, k string, v string")
+    out = {r["group"]: (r["rows"], r["sum_v"]) for r in tools.call("aggregate", cells, {"metrics": [{"column": "V", "op": "sum"}], "group_by": "k"}).withColumnRenamed("sum_V", "sum_v").collect()}
+    assert out == {"a": ("2", "1,234.50"), "b": ("1", "—")}
+    for name, arguments, why in [("nothing", {}, "no tool"), ("rows", {}, "needs 'columns'"), ("aggregate", {"metrics": "x"}, "a list"), ("aggregate", {"metrics": [{"op": "sum"}]}, "a column"), ("aggregate", {"filters": [{"column": "k", "op": "like"}]}, "unknown op")]:
+        with pytest.raises(tools.BadArgument, match=why):
+            tools.call(name, cells, arguments)
+    assert tools.call("calculate", spark.createDataFrame([(7.0,)], "x double"), {"expression": "x // 2"}).first()["result"] == 3
+    assert tools.call("rows", cells, {"columns": ["K", "nope"], "start": 2, "rows": 1}).collect()[0]["k"] == "a"
