@@ -18,7 +18,7 @@ from sheaf.llm.common import arrow_limits, built, slices
 
 NONE = np.int32(0x7FFFFFFF)
 #: A worker forgets the words it has encoded beyond this many bytes, counted as their characters and KEPT_EACH bytes to a word.
-KEPT_BYTES, KEPT_EACH = 32 << 20, 160
+KEPT_BYTES, KEPT_EACH = 16 << 20, 160
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -208,7 +208,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = built(f"bpe {path} {pattern}", lambda: Codec(path, pattern))
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, most=1 << 20):
             ids = codec.encode([t.decode("utf-8", "replace") for t in texts])
             packed = [x.astype("<u4").tobytes() for x in ids]
             back = [pa.array([codec.decode(np.frombuffer(x, "<u4")) for x in packed], pa.binary())] * decoded

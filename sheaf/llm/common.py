@@ -66,15 +66,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch cut into runs of about SLICE_BYTES of text, with the texts as bytes (null: empty)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Each batch cut into runs of about `most` bytes of text, with the texts as bytes (null: empty)."""
     try:
-        yield from _slices(batches, column)
+        yield from _slices(batches, column, most)
     finally:
         give_back()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -85,7 +85,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
             value = texts[i].as_py() or b""
             values.append(value)
             held += len(value)
-            if held >= SLICE_BYTES:
+            if held >= most:
                 yield batch.slice(start, i + 1 - start), values
                 start, held, values = i + 1, 0, []
         if values:
