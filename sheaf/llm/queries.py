@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, chat, decontam, langid, licenses, media, quality, simhash, substring, suffix, toxicity
+from sheaf.llm import audit, bpe, chat, decontam, langid, licenses, media, quality, simhash, substring, suffix, toxicity
 from sheaf.plans.registry import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_substring_dedup", substring.DEDUP_SQL)
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_filter_audit", audit.AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
