@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import audit, bpe, chat, decontam, langid, licenses, media, quality, simhash, substring, suffix, toxicity
+from sheaf.llm import audit, bpe, chat, decontam, langid, licenses, media, phrases, quality, simhash, substring, suffix, toxicity
 from sheaf.plans.registry import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_filter_audit", audit.AUDIT_SQL)
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_phrases", phrases.PHRASES_SQL)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
