@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,12 @@ def _ranked(top: DataFrame, order: list[Column], name: str) -> DataFrame:
     return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def dense(chunks: DataFrame, query: list[float], pool: int, *, id_col: str, vector: str) -> DataFrame:
-    """The `pool` nearest chunks by cosine distance: id, distance, dense_rank."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = chunks.select(F.col(id_col).alias("id"), cosine_distance(F.col(vector), q).alias("distance")).where("distance is not null")
+def dense(chunks: DataFrame, query: list[float] | DataFrame, pool: int, *, id_col: str, vector: str) -> DataFrame:
+    """The `pool` nearest chunks by cosine distance: id, distance, dense_rank. The query is a list, or the one vector of a frame of one row
+    and column, which becomes a scalar subquery (more rows are an error when it runs, none finds nothing)."""
+    own = chunks.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    q = query.toDF("q").scalar() if isinstance(query, DataFrame) else F.array(*[F.lit(float(x)) for x in query])
+    near = own.withColumn("q", q).select("id", cosine_distance(F.col("v"), F.col("q")).alias("distance")).where("distance is not null")
     return _ranked(near.orderBy("distance", "id").limit(pool), [F.col("distance"), F.col("id")], "dense_rank")
 
 
@@ -33,15 +37,15 @@ def _is(word: str):
 def lexical(chunks: DataFrame, query: str, pool: int, *, id_col: str, text: str) -> DataFrame:
     """The best `pool` chunks that hold all words of the query: id, lexical_score, lexical_rank. The score is the sum over the words of
     (1 + ln tf) * ln((N + 1) / df), over 1 + ln of the chunk's words. (The reference's stemmed cover density has no equal here.)"""
-    spark = chunks.sparkSession
-    terms = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(words(F.lit(query))))).collect()]
+    terms = list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", query.lower()) if w not in STOPWORDS))
     if not terms:
-        return spark.createDataFrame([], "id long, lexical_score double, lexical_rank int")
+        return chunks.sparkSession.createDataFrame([], "id long, lexical_score double, lexical_rank int")
     own = chunks.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     tf = [F.size(F.filter("w", _is(t))) for t in terms]
     counted = own.select("id", F.size("w").alias("n"), *[c.alias(f"tf{i}") for i, c in enumerate(tf)])
-    stats = counted.agg(F.count("*").alias("docs"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = sum(((1 + F.ln(F.col(f"tf{i}"))) * F.ln(F.lit((stats["docs"] + 1) / max(1, stats[f"df{i}"]))) for i in range(len(terms))), F.lit(0.0)) / (1 + F.ln("n"))
+    stats = counted.agg(F.count("*").alias("docs"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    counted = counted.crossJoin(F.broadcast(stats))  # one row
+    score = sum(((1 + F.ln(F.col(f"tf{i}"))) * F.ln((F.col("docs") + 1) / F.greatest(F.lit(1), F.col(f"df{i}"))) for i in range(len(terms))), F.lit(0.0)) / (1 + F.ln("n"))
     every = F.expr(" and ".join(f"tf{i} > 0" for i in range(len(terms))))
     top = counted.where(every).select("id", F.round(score, 9).alias("lexical_score")).orderBy(F.desc("lexical_score"), "id").limit(pool)
     return _ranked(top, [F.desc("lexical_score"), F.col("id")], "lexical_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.operators import access, retrieval, sampling, sets, state
+from sheaf.operators import access, lexical, retrieval, sampling, sets, state
 from sheaf.plans.registry import query, table
 
 
@@ -89,8 +89,8 @@ def trailing_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def escaped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.functions.text import like_escape
 
-    needle = spark.range(1).select(F.concat(F.lit("%"), like_escape(F.lit("_50%")), F.lit("%"))).first()[0]
-    return table(spark, sf_dir, "part").where(F.lower(F.concat("p_name", F.lit("_50%"))).like(needle)).orderBy("p_partkey").offset(10).limit(20).select("p_partkey", "p_name")
+    needle = F.concat(F.lit("%"), like_escape(F.lit("_50%")), F.lit("%"))
+    return table(spark, sf_dir, "part").where(F.call_function("like", F.lower(F.concat("p_name", F.lit("_50%"))), needle)).orderBy("p_partkey").offset(10).limit(20).select("p_partkey", "p_name")
 
 
 @query("row_page", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) WHERE i BETWEEN 101 AND 300")
@@ -177,8 +177,8 @@ def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     jobs = events.where("event_type = 'click'").select(F.col("event_id").alias("job_id"), F.col("ts").alias("heartbeat_at"), F.lit("running").alias("status"))
-    now = F.lit(events.agg(F.max("ts")).first()[0])
-    return state.stale(jobs, now, 600).select("job_id")
+    now = events.agg(F.max("ts").alias("now"))
+    return state.stale(jobs.crossJoin(F.broadcast(now)), F.col("now"), 600).select("job_id")
 
 
 @query("repeated_calls", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) > 1 AS repeated FROM events")
@@ -212,7 +212,7 @@ DENSE = "SELECT vec_id AS id, 1 - list_cosine_similarity(embedding::DOUBLE[], (S
 @query("dense_search", f"SELECT id, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, id)::INT AS dense_rank FROM ({DENSE} ORDER BY distance, id LIMIT 25)")
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    q = emb.where("vec_id = 7").first()["embedding"]
+    q = emb.where("vec_id = 7").select("embedding")
     return retrieval.dense(emb, q, 25, id_col="vec_id", vector="embedding").withColumn("distance", F.round("distance", 6))
 
 
@@ -230,11 +230,46 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hybrid_search", f"WITH {LEX}, e AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS dr FROM ({DENSE} ORDER BY distance, id LIMIT 30)), l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lr FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 30)), f AS (SELECT coalesce(e.id, l.id) AS id, dr, lr, round(coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0), 12) AS rrf FROM e FULL JOIN l ON e.id = l.id) SELECT id, dr::INT AS dense_rank, lr::INT AS lexical_rank, rrf, row_number() OVER (ORDER BY rrf DESC, id)::INT AS rrf_rank FROM f ORDER BY rrf DESC, id LIMIT 20")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
-    q = emb.where("vec_id = 7").first()["embedding"]
+    q = emb.where("vec_id = 7").select("embedding")
     fused = retrieval.fuse(retrieval.dense(emb, q, 30, id_col="vec_id", vector="embedding"), retrieval.lexical(table(spark, sf_dir, "documents"), "The tion, and ND", 30, id_col="doc_id", text="text"), 20)
     return fused.select("id", "dense_rank", "lexical_rank", "rrf", "rrf_rank")
 
 
+STEM = "CASE WHEN regexp_matches({0}, 'ies$') AND NOT regexp_matches({0}, '[ea]ies$') THEN regexp_replace({0}, 'ies$', 'y') WHEN regexp_matches({0}, 'es$') AND NOT regexp_matches({0}, '[aeo]es$') THEN regexp_replace({0}, 'es$', 'e') WHEN regexp_matches({0}, 's$') AND NOT regexp_matches({0}, '[us]s$') THEN regexp_replace({0}, 's$', '') ELSE {0} END"
+COVERS = """words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+places AS (SELECT id, {stem} AS term, pos FROM words WHERE NOT list_contains([{stop}], word)),
+entries AS (SELECT q, k, t, id, pos, row_number() OVER (PARTITION BY q, id ORDER BY pos) AS i FROM asked JOIN places USING (term)),
+lasts AS (SELECT q, id, pos, i, max(CASE WHEN t = 0 THEN pos END) OVER w AS p0, max(CASE WHEN t = 1 THEN pos END) OVER w AS p1, max(CASE WHEN t = 0 THEN i END) OVER w AS i0, max(CASE WHEN t = 1 THEN i END) OVER w AS i1 FROM entries WINDOW w AS (PARTITION BY q, id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT q, id, pos - least(p0, p1) - (i - least(i0, i1)) AS noise, least(p0, p1) AS b, lag(least(p0, p1)) OVER (PARTITION BY q, id ORDER BY pos) AS before FROM lasts WHERE p0 IS NOT NULL AND p1 IS NOT NULL),
+lex AS (SELECT q, id, round(sum(0.1::DOUBLE / (1 + noise)), 9) AS score FROM ends WHERE before IS NULL OR b > before GROUP BY q, id)""".format(stem=STEM.format("word"), stop=", ".join(f"'{w}'" for w in retrieval.STOPWORDS))
+PAIRS = """texts AS (SELECT item_id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: NOT list_contains([{stop}], x)), lambda x: {stem}) AS w FROM benchmark),
+pairs AS (SELECT item_id * 100000 + i AS q, w[i] AS x, w[i + 1] AS y FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM texts) WHERE w[i] <> w[i + 1]),
+asked AS (SELECT q, 2 AS k, t, CASE t WHEN 0 THEN x ELSE y END AS term FROM pairs, (SELECT unnest([0, 1]) AS t))""".format(stem=STEM.format("x"), stop=", ".join(f"'{w}'" for w in retrieval.STOPWORDS))
+
+
+def word_pairs(benchmark: DataFrame) -> DataFrame:
+    """A query for each two neighbouring different words of each item."""
+    w = benchmark.select("item_id", lexical.terms(F.col("text"), lambda w: w).alias("w")).where("size(w) > 1")
+    at = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
+    pairs = at.select((F.col("item_id") * 100000 + F.col("i")).alias("query_id"), F.element_at("w", F.col("i")).alias("x"), F.element_at("w", F.col("i") + 1).alias("y"))
+    return pairs.where(lexical.singular(F.col("x")) != lexical.singular(F.col("y"))).select("query_id", F.concat_ws(" ", "x", "y").alias("text"))
+
+
+@query("cover_search", f"WITH {PAIRS}, {COVERS} SELECT q AS query_id, id, score AS lexical_score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INT AS lexical_rank FROM lex QUALIFY lexical_rank <= 5")
+def cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.postings(table(spark, sf_dir, "documents"), id_col="doc_id", text="text")
+    return lexical.search(index, word_pairs(table(spark, sf_dir, "benchmark")), 5)
+
+
+@query("hybrid_cover_search", f"WITH asked AS (SELECT 0 AS q, 2 AS k, t, CASE t WHEN 0 THEN 'tion' ELSE 'nd' END AS term FROM (SELECT unnest([0, 1]) AS t)), {COVERS}, e AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS dr FROM ({DENSE} ORDER BY distance, id LIMIT 30)), l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS lr FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 30)), f AS (SELECT coalesce(e.id, l.id) AS id, dr, lr, round(coalesce(1.0::DOUBLE / (60 + dr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0), 12) AS rrf FROM e FULL JOIN l ON e.id = l.id) SELECT id, dr::INT AS dense_rank, lr::INT AS lexical_rank, rrf, row_number() OVER (ORDER BY rrf DESC, id)::INT AS rrf_rank FROM f ORDER BY rrf DESC, id LIMIT 20")
+def hybrid_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    near = retrieval.dense(emb, emb.where("vec_id = 7").select("embedding"), 30, id_col="vec_id", vector="embedding")
+    query = spark.createDataFrame([(0, "The tion, and ND")], "query_id int, text string")
+    found = lexical.search(lexical.postings(docs, id_col="doc_id", text="text"), query, 30).drop("query_id")
+    return retrieval.fuse(near, found, 20).select("id", "dense_rank", "lexical_rank", "rrf", "rrf_rank")
+
+
 SCORED = "SELECT conv_id, turn, turn + 1 AS rrf_rank, (('0x' || sha256(conv_id || ':' || turn)[1:4])::INT % 1000) / 1000.0::DOUBLE AS score FROM conversations"
 
 
