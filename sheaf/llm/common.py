@@ -43,6 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The lineage cut by a compressed table in the checkpoint folder, a fraction of a checkpoint's size for texts."""
+    shared_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{token()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, so that very long texts don't meet in one batch. A session's own lower bounds stay."""
     for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):

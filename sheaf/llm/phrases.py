@@ -1,10 +1,10 @@
 """Phrase collocation mining: exact weighted n-gram counts by hash bucket, each counted out-of-core by DuckDB.
 
 Equal pieces of text are first merged into one piece with a multiplicity. Their n-grams are summed by DuckDB in the map task, sent to hash buckets
-and summed there again, so a common n-gram reaches its bucket once from each task. The database of a task lives in a private scratch file that goes with the
-task, under a memory limit; nothing else reads it. Only n-grams of the least count or more are of use, as candidates or as parts of candidates
-(a part is at least as frequent as the whole), and these consist of words that are as frequent, so a bitmap of the frequent words'
-hashes, bounded in size, keeps the others from being sent; the words that it lets through in vain are dropped by their exact counts.
+and summed there again, so a common n-gram reaches its bucket once from each task. The database of a task has a memory limit and spills into a private scratch
+folder that goes with the task; nothing else reads it. Only n-grams of the least count or more are of use, as candidates or as parts of candidates
+(a part is at least as frequent as the whole), and these consist of words and pairs that are as frequent, so words are counted first, then pairs of frequent
+words, then what consists of frequent pairs. Bitmaps of hashes, bounded in size, say what was frequent; what they let through in vain is dropped by its exact count.
 
 A candidate's cuts are scored by lookup requests: each asks for the count of one part and is shuffled to where that count is; the
 answers are gathered by candidate. Containment in longer candidates goes the same way. Ranks come from range partitions and prefix sums.
@@ -12,12 +12,13 @@ answers are gathered by candidate. Containment in longer candidates goes the sam
 
 from __future__ import annotations
 
+import itertools
 import math
 import shutil
 import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import arrow_limits, built, checkpointed, give_back, slices, token
+from sheaf.llm.common import arrow_limits, built, checkpointed, give_back, slices, token, written
 from sheaf.llm.suffix import LEAST_BITS, MOST_BITS, empty_map, in_slot_map, slot_maps
 from sheaf.operators.ranks import ranked
 
@@ -52,9 +53,9 @@ def pieces(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -
 
 
 def summed(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.RecordBatch]:
-    """Sums of n by (lang, gram), at least `least`, out-of-core: the rows go into a DuckDB file in a scratch folder of this task."""
+    """Sums of n by (lang, gram), at least `least`, by a DuckDB of this task: what passes its memory limit goes to a scratch folder that ends with it."""
     folder = tempfile.mkdtemp(prefix="counts-")
-    con = duckdb.connect(f"{folder}/counts.duckdb", config={"memory_limit": MEMORY, "threads": 1, "temp_directory": f"{folder}/spill", "preserve_insertion_order": False})
+    con = duckdb.connect(":memory:", config={"memory_limit": MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False})
     try:
         con.execute("create table rows (lang varchar, gram varchar, n bigint)")
         for batch in batches:
@@ -70,80 +71,116 @@ def summed(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.Rec
         give_back()
 
 
-def grams(batches: Iterator[pa.RecordBatch], lengths: range, frequent) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of all n-grams of `lengths` words of pieces whose words all pass `frequent` (by language and list of words)."""
-    held: Counter[tuple[str, str]] = Counter()
+def grams(batches: Iterator[pa.RecordBatch], of: Callable[[str, list[str]], Iterable[str]]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of the n-grams `of` a language and a piece's words, times the piece's multiplicity. Pieces are
+    counted in stretches of HELD words (with what an n-gram needs of the next), so a long one is never held as a whole."""
+    held: dict[str, Counter[str]] = {}
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "gram", "n"])
+        sizes = [len(c) for c in held.values()]
+        langs = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.DictionaryArray.from_arrays(langs, pa.array(held, pa.string())).dictionary_decode(), pa.array([g for c in held.values() for g in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int64())], names=["lang", "gram", "n"]
+        )
         held.clear()
         return batch
 
     for batch in batches:
         for lang, piece, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = piece.split(" ")
-            known = frequent(lang, words)
-            for a, b in runs(known):
-                for i in range(a, b):
-                    for size in lengths:
-                        if i + size <= b:
-                            held[lang, " ".join(words[i : i + size])] += n
-                    if len(held) > HELD:
-                        yield out()
-    yield out()
-
-
-def runs(known: list[bool]) -> Iterator[tuple[int, int]]:
-    """Runs of true, as (start, end)."""
-    start = None
-    for i, k in enumerate([*known, False]):
-        if k and start is None:
-            start = i
-        elif not k and start is not None:
-            yield start, i
-            start = None
+            own = held.setdefault(lang, Counter())
+            if n == 1:
+                own.update(of(lang, piece.split(" ")))
+            else:
+                for gram, m in Counter(of(lang, piece.split(" "))).items():
+                    own[gram] += n * m
+            if sum(map(len, held.values())) > HELD:
+                yield out()
+    if held:
+        yield out()
+
+
+class Frequent:
+    """Whether an n-gram may be frequent, by a bitmap of the hashes of those that are; what was asked lately is remembered."""
+
+    def __init__(self, packed: bytes, bits: int):
+        self.known, self.bits = np.frombuffer(zlib.decompress(packed), np.uint8), bits
+        self.memo: dict[str, dict[str, bool]] = {}
+
+    def flags(self, lang: str, own: list[str]) -> list[bool]:
+        memo = self.memo.setdefault(lang, {})
+        try:
+            return [memo[g] for g in own]
+        except KeyError:
+            if len(memo) > HELD:
+                memo.clear()
+            new = [g for g in dict.fromkeys(own) if g not in memo]
+            memo.update(zip(new, in_slot_map(self.known, slots((lang, g) for g in new), self.bits).tolist(), strict=True))
+            return [memo[g] for g in own]
+
+
+def pairs(words: list[str], known: list[bool]) -> list[str]:
+    """Neighbouring words that both are known."""
+    return [f"{a} {b}" for a, b, x, y in zip(words, words[1:], known, known[1:], strict=False) if x and y]
+
+
+def longer(words: list[str], known: list[bool], frequent: Frequent, lang: str, most: int) -> Iterator[str]:
+    """N-grams of three to `most` words all of whose neighbouring words are frequent pairs."""
+    asked = pairs(words, known)
+    if len(asked) < 2:
+        return
+    flags = iter(frequent.flags(lang, asked))
+    good = [x and y and next(flags) for x, y in itertools.pairwise(known)]
+    run = 0
+    for i, g in enumerate(good):
+        run = run + 1 if g else 0
+        for size in range(3, min(most, run + 1) + 1):
+            yield " ".join(words[i + 2 - size : i + 2])
 
 
 def counts(found: DataFrame, *, most: int, least: int) -> DataFrame:
-    """(lang, gram, n) of the n-grams of up to `most` words that occur `least` times or more, exactly."""
+    """(lang, gram, n) of the n-grams of up to `most` words that occur `least` times or more, exactly: words, then pairs of frequent words, then
+    what consists of frequent pairs."""
     spark = found.sparkSession
     size = found.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from summed(grams(batches, range(1, 2), lambda lang, w: [True] * len(w)))
+    schema = "lang string, gram string, n long"
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed(batches, least)
 
-    schema = "lang string, gram string, n long"
-    counted = lambda frame: frame.repartition(buckets, "lang", "gram").mapInArrow(total, schema)
-    single = checkpointed(counted(found.mapInArrow(words, schema)))
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * single.count() + 1))))
+    def counted(of: Callable[[], Callable[[str, list[str]], Iterable[str]]]) -> DataFrame:
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from summed(grams(batches, of()))
+
+        return checkpointed(found.mapInArrow(sent, schema).repartition(buckets, "lang", "gram").mapInArrow(total, schema))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(slots(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), pa.int64())], names=["value"])
 
-    packed, _ = slot_maps(single.select("lang", "gram").mapInArrow(hashed, "value long").select(F.lit("words").alias("name"), "value", F.lit(0).cast("long").alias("sent")), bits)
-    shared, key = spark.sparkContext.broadcast(packed.get("words", empty_map(bits))), token()
-
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: np.ndarray = built(key, lambda: np.frombuffer(zlib.decompress(shared.value), np.uint8))  # type: ignore[assignment]
-        memo: dict[tuple[str, str], bool] = {}
+    def bitmap(known: DataFrame) -> Callable[[], Frequent]:
+        bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * known.count() + 1))))
+        packed, _ = slot_maps(known.select("lang", "gram").mapInArrow(hashed, "value long").select(F.lit("known").alias("name"), "value", F.lit(0).cast("long").alias("sent")), bits)
+        shared, key = spark.sparkContext.broadcast(packed.get("known", empty_map(bits))), token()
+        return lambda: built(key, lambda: Frequent(shared.value, bits), 2)  # type: ignore[return-value]
 
-        def frequent(lang: str, own: list[str]) -> list[bool]:
-            if new := [w for w in {*own} if (lang, w) not in memo]:
-                if len(memo) > HELD:
-                    memo.clear()
-                    new = [*{*own}]
-                passed = in_slot_map(known, slots((lang, w) for w in new), bits).tolist()
-                memo.update(((lang, w), p) for w, p in zip(new, passed, strict=True))
-            return [memo[lang, w] for w in own]
+    def of_pairs() -> Callable[[str, list[str]], Iterable[str]]:
+        frequent = words()
+        return lambda lang, own: pairs(own, frequent.flags(lang, own))
 
-        yield from summed(grams(batches, range(2, most + 1), frequent))
+    def of_longer() -> Callable[[str, list[str]], Iterable[str]]:
+        frequent, both = words(), doubles()
+        return lambda lang, own: longer(own, frequent.flags(lang, own), both, lang, most)
 
-    return single.unionByName(checkpointed(counted(found.mapInArrow(longer, schema))))
+    single = counted(lambda: lambda lang, own: own)
+    words = bitmap(single)
+    if most < 2:
+        return single
+    double = counted(of_pairs)
+    if most < 3:
+        return single.unionByName(double)
+    doubles = bitmap(double)
+    return single.unionByName(double).unionByName(counted(of_longer))
 
 
 def slots(keys) -> np.ndarray:
@@ -177,7 +214,7 @@ def collocations(docs: DataFrame, *, most: int = 4, least: int = 30, top: int =
     without words counts for nothing; repeated rows count as often as they occur; ties fall to the smaller phrase in byte order, so ranks are
     total; other columns are ignored; an empty table gives no rows. Arithmetic is in decimals of 38 digits.
     """
-    found = checkpointed(pieces(docs, text_col=text_col, lang_col=lang_col))
+    found = written(pieces(docs, text_col=text_col, lang_col=lang_col))
     sizes = found.select("lang", (F.size(F.split("piece", " ")) * F.col("n")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     known = checkpointed(counts(found, most=most, least=least).select("lang", "gram", F.col("n").alias("a")))
     candidates = known.select("lang", F.col("gram").alias("phrase"), "a", F.split("gram", " ").alias("words")).where(F.size("words") > 1)
