@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunking, quality
+from sheaf.operators import chunking, quality, vocabulary
 from sheaf.plans.registry import query, spread, table
 from sheaf.sources import web
 
@@ -67,3 +67,27 @@ def byte_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id") % 4
     content = F.when(n == 0, F.encode(F.concat(F.lit("%PDF-1.7 "), "html"), "UTF-8")).when(n == 1, F.unhex(F.lit("89504E470D0A1A0A00"))).when(n == 2, F.unhex(F.lit("504B03041400"))).otherwise(F.encode("html", "UTF-8"))
     return table(spark, sf_dir, "pages").select("page_id", web.sniff(content).alias("family"))
+
+
+GLYPHS = f"""lines AS (SELECT doc_id, lang, n::INT AS n, line FROM (SELECT doc_id, lang, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))),
+toks AS (SELECT *, regexp_extract_all(line, '[^{WS}]+') AS w, length(regexp_replace(line, '[{WS}]+', '', 'g')) AS total FROM lines),
+parts AS (SELECT *, list_filter(w, lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}')) AS alpha, list_transform(w, lambda x: regexp_replace(x, '^[.,;:!?()\\[\\]{{}}"''`—–-]+|[.,;:!?()\\[\\]{{}}"''`—–-]+$', '', 'g')) AS bare FROM toks),
+good AS (SELECT doc_id, lang, n, line FROM parts WHERE NOT (len(w) >= 4 AND length(regexp_replace(line, '[^A-Za-z]+', '', 'g')) >= 0.35 * total AND (
+  len(list_filter(alpha, lambda x: NOT regexp_matches(x, '[aeiouAEIOU]'))) > 0.30 * len(alpha) OR len(list_filter(bare, lambda x: regexp_matches(x, '(?s)^.+[^\\pL\\pN\\p{{Mn}}\\p{{Mc}}].+$'))) > 0.15 * len(w) OR len(list_filter(w, lambda x: regexp_matches(x, '\\p{{Ll}}\\p{{Lu}}'))) > 0.10 * len(w)))),
+seen AS (SELECT lower(run) AS word, doc_id, bool_or(regexp_full_match(run, '[A-Z]{{2,6}}')) AS capitals FROM (SELECT doc_id, unnest(regexp_extract_all(line, '[A-Za-z]{{2,}}')) AS run FROM good WHERE lang = 'en') GROUP BY 1, 2),
+known AS (SELECT word, count(*) AS df, count(*) FILTER (capitals) AS acronym_df FROM seen GROUP BY word HAVING count(*) >= 3 AND ((length(word) > 2 AND regexp_matches(word, '[aeiou]')) OR word IN ({", ".join(f"'{w}'" for w in vocabulary.TWO_LETTERS)}) OR count(*) FILTER (capitals) >= 3))"""
+
+
+@query("english_vocabulary", f"WITH {GLYPHS} SELECT * FROM known")
+def english_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.english(spread(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")))
+
+
+@query("english_lines", f"""WITH {GLYPHS}, runs AS (SELECT doc_id, n, list_transform(regexp_extract_all(line, '[A-Za-z]{{2,}}'), lambda x: lower(x)) AS r FROM lines),
+hits AS (SELECT doc_id, n, count(*) AS h FROM (SELECT doc_id, n, unnest(r) AS word FROM runs) JOIN known USING (word) GROUP BY 1, 2)
+SELECT doc_id, count(*) AS lines, sum(len(r))::BIGINT AS runs, sum(coalesce(h, 0))::BIGINT AS hits, count(*) FILTER (len(r) > 0 AND 2 * coalesce(h, 0) >= len(r)) AS half, count(*) FILTER (CASE WHEN len(r) >= 2 THEN round(h / len(r), 4) >= 0.6 ELSE len(r) = 1 AND h = 1 AND length(r[1]) >= 4 END) AS confident FROM runs LEFT JOIN hits USING (doc_id, n) GROUP BY doc_id""")
+def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    units = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    found = vocabulary.word_rates(units, vocabulary.english(spread(docs.where("lang = 'en'"))), ["doc_id", "n"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("runs").alias("runs"), F.sum("hits").alias("hits"), F.count_if(F.col("rate") >= 0.5).alias("half"), F.count_if("confident").alias("confident"))
