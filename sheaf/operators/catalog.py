@@ -7,18 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.operators.ranks import checkpointed
 from sheaf.operators.sets import first_rows
 
 
-def chains(categories: DataFrame, id_col: str, parent: str, name: str, depth: int = 8) -> DataFrame:
-    """(id, chain): names from each category up to its root, nearest first; a cycle ends the walk. One self-join per level."""
-    table = categories.select(F.col(id_col).alias("id"), F.col(parent).alias("up"), F.col(name).alias("name"))
-    out = table.select("id", "up", F.array("name").alias("chain"), F.array("id").alias("seen"))
-    for _ in range(depth):
-        above = table.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("name").alias("more"))
-        grown = F.col("more").isNotNull() & ~F.array_contains("seen", F.col("up"))
-        out = out.join(above, "up", "left").select("id", F.when(grown, F.col("next")).alias("up"), F.when(grown, F.array_append("chain", F.col("more"))).otherwise(F.col("chain")).alias("chain"), F.when(grown, F.array_append("seen", F.col("up"))).otherwise(F.col("seen")).alias("seen"))
-    return out.select("id", "chain")
+def chains(categories: DataFrame, id_col: str, parent: str, name: str) -> DataFrame:
+    """(id, chain): names from each category up to its root, nearest first, however deep; a cycle ends the walk where it closes.
+
+    Each round joins every unfinished walk to the walk that begins where it stands, which doubles it, so a tree of depth d takes log2(d) rounds; each
+    round is checkpointed, and the rounds end when no walk is unfinished. Ids are unique; a parent that isn't there is a root's.
+    """
+    here = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    now = categories.select(here(id_col).alias("id"), here(parent).alias("up"), F.array(here(name)).alias("chain"), F.array(here(id_col)).alias("seen"))
+    while True:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("chain").alias("more"), F.col("seen").alias("behind"))
+        joined = now.join(above, "up", "left").select("id", "next", F.when(F.col("behind").isNull(), F.col("chain")).otherwise(F.concat("chain", "more")).alias("chain"), F.when(F.col("behind").isNull(), F.col("seen")).otherwise(F.concat("seen", "behind")).alias("seen"))
+        fresh = F.array_distinct("seen")  # one parent each: from the first repeated id on all are repeated
+        now = checkpointed(joined.select("id", F.when(F.size(fresh) == F.size("seen"), F.col("next")).alias("up"), F.slice("chain", 1, F.size(fresh)).alias("chain"), fresh.alias("seen")))
+        if now.where("up is not null").isEmpty():
+            return now.select("id", "chain")
 
 
 def sections(chained: DataFrame, names: dict[str, str]) -> DataFrame:

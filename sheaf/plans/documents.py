@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators import chunking, quality, vocabulary
+from sheaf.operators import chunking, quality, recovered, vocabulary
 from sheaf.plans.registry import query, spread, table
 from sheaf.sources import web
 
@@ -35,12 +35,27 @@ def text_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "status", "reason", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("chunks")
+def chunk_sql(source: str, keys: str, most: int, overlap: int) -> str:
+    """Recursive SQL: `cut` has keys, i (number of the piece), s and e (its place in body, which is the stripped text)."""
+    breaks = [("chr(10) || chr(10)", 2), ("' .'", 2), ("chr(10)", 1), ("' '", 1)]  # reversed
+
+    def end(s: str) -> str:
+        at = [f"strpos(reverse(substring(body, {s} + 1, {most})), {b})" for b, _ in breaks]
+        found = ", ".join(f"CASE WHEN {p} > 0 AND {most} - {p} + 1 - {size} > {most // 2} THEN {s} + {most} - {p} + 1 END" for p, (_, size) in zip(at, breaks, strict=True))
+        return f"CASE WHEN length(body) - {s} <= {most} THEN length(body) ELSE coalesce({found}, {s} + {most}) END"
+
+    return f"""body AS (SELECT {keys}, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS body, length(text) - length(regexp_replace(text, '^[{WS}]+', '')) AS lead FROM ({source})),
+cut AS (SELECT {keys}, body, lead, 0::BIGINT AS i, 0::BIGINT AS s, {end("0")}::BIGINT AS e FROM body WHERE body <> ''
+  UNION ALL SELECT {keys}, body, lead, i + 1, s2, {end("s2")} FROM (SELECT *, s + greatest({max(1, most - overlap)}, e - s - {overlap}) AS s2 FROM cut WHERE length(body) - s > {most}) WHERE s2 < length(body)),
+pieces AS (SELECT {keys}, i, lead + s + length(raw) - length(regexp_replace(raw, '^[{WS}]+', '')) AS s, regexp_replace(raw, '^[{WS}]+|[{WS}]+$', '', 'g') AS content FROM (SELECT *, substring(body, s + 1, e - s) AS raw FROM cut))"""
+
+
+@query("chunks", f"WITH RECURSIVE {chunk_sql('SELECT doc_id, text FROM documents', 'doc_id', 1000, 100)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_index, content FROM pieces WHERE content <> ''")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), max_chars=1000, overlap=100)
 
 
-@query("chunk_sizes")
+@query("chunk_sizes", f"WITH RECURSIVE {chunk_sql('SELECT doc_id, text FROM documents', 'doc_id', 1000, 0)} SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars FROM pieces WHERE content <> '' GROUP BY doc_id")
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), max_chars=1000, overlap=0).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
@@ -91,3 +106,21 @@ def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     found = vocabulary.word_rates(units, vocabulary.english(spread(docs.where("lang = 'en'"))), ["doc_id", "n"])
     return found.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("runs").alias("runs"), F.sum("hits").alias("hits"), F.count_if(F.col("rate") >= 0.5).alias("half"), F.count_if("confident").alias("confident"))
+
+
+@query("recovered_chunks", f"""WITH RECURSIVE units AS (SELECT doc_id, lang, (n - 1) // 6 + 1 AS page_number, n AS unit_ord, t AS text FROM (SELECT doc_id, lang, unnest(l) AS t, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))),
+texts AS (SELECT doc_id, page_number, string_agg(text, chr(10) ORDER BY unit_ord) AS text FROM units GROUP BY 1, 2),
+offs AS (SELECT doc_id, page_number, unit_ord, length(text) AS size, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, page_number ORDER BY unit_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM units),
+{chunk_sql('SELECT doc_id, page_number, text FROM texts', 'doc_id, page_number', 400, 50)},
+met AS (SELECT p.doc_id, p.page_number, i, list_aggregate(list_transform(list_sort(list(unit_ord)), lambda x: x::VARCHAR), 'string_agg', ',') AS units FROM pieces p JOIN offs o ON o.doc_id = p.doc_id AND o.page_number = p.page_number AND size > 0 AND a < p.s + length(content) AND a + size > p.s WHERE content <> '' GROUP BY 1, 2, 3)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page_number, i) - 1)::INT AS chunk_index, page_number, content, units, CASE lang WHEN 'de' THEN 'ocr,lines' WHEN 'fr' THEN 'legacy_conversion,lines,c1' ELSE 'native,lines' END AS kept, CASE lang WHEN 'de' THEN 'false' END AS authoritative
+FROM pieces JOIN met USING (doc_id, page_number, i) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
+def recovered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    units = lines.select("doc_id", "lang", F.expr("n div 6 + 1").alias("page_number"), (F.col("n") + 1).alias("unit_ord"), "text")
+    route = F.when(F.col("lang") == "de", "ocr").when(F.col("lang") == "fr", "legacy_conversion").otherwise("native")
+    pages = units.groupBy("doc_id", "page_number").agg(F.first("lang").alias("lang")).select("doc_id", "page_number", route.alias("route"), F.lit("lines").alias("reason"), F.lit(None).cast("string").alias("label"), F.lit("c1").alias("converter"))
+    found = recovered.chunks(units.drop("lang"), pages, max_chars=400, overlap=50)
+    kept = F.concat_ws(",", *[F.col("metadata")[k] for k in ("route", "route_reason", "converter")])
+    return found.select("doc_id", "chunk_index", "page_number", "content", F.array_join(F.transform("units", lambda u: u.cast("string")), ",").alias("units"), kept.alias("kept"), F.col("metadata")["authoritative"].alias("authoritative"))

@@ -58,3 +58,11 @@ def test_cache_and_tally(spark):
     cache = spark.createDataFrame([("x", 1, "v2"), ("x", 2, "v1"), ("z", 1, "v2")], "k string, u int, version string")
     assert {r["k"]: (r["state"], r["stale"]) for r in catalog.resolve_cache(wanted, cache, "k", "u", "v2").collect()} == {"x": ("partial", 1), "y": ("cold", 1), "z": ("warm", 0)}
     assert [tuple(r) for r in catalog.tally(wanted, "k", ["x", "q"]).collect()] == [("x", 2), ("q", 0)]
+
+
+def test_deep_chains_and_cycles(spark):
+    rows = spark.createDataFrame([(i, i - 1, f"n{i}") for i in range(40)] + [(100, 101, "a"), (101, 102, "b"), (102, 100, "c"), (103, 100, "d"), (200, 200, "self"), (300, 999, "orphan")], "id long, up long, name string")
+    out = {r["id"]: r["chain"] for r in catalog.chains(rows, "id", "up", "name").collect()}
+    assert out[39] == [f"n{i}" for i in range(39, -1, -1)] and out[0] == ["n0"]
+    assert (out[100], out[102], out[103], out[200], out[300]) == (["a", "b", "c"], ["c", "a", "b"], ["d", "a", "b", "c"], ["self"], ["orphan"])
+    assert catalog.chains(rows.where("false"), "id", "up", "name").count() == 0
