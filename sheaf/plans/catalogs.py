@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import numbers
 from sheaf.functions.text import split_lines
-from sheaf.operators import catalog, units
+from sheaf.operators import catalog, records, units
 from sheaf.plans.registry import query, table
 
 
@@ -104,3 +104,34 @@ def two_level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("a"), (F.col("value") > 50).cast("string").alias("b")).agg(F.count("*").alias("n"))
     coarse = fine.groupBy("a").agg(F.sum("n").alias("n")).select(F.lit("type").alias("level"), "a", F.lit("").alias("b"), "n")
     return coarse.unionByName(fine.select(F.lit("type, large").alias("level"), "a", "b", "n"))
+
+
+def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A post's JSON made of each event: ids of errors are strings, views have no link, and the texts of signups break off."""
+    e = table(spark, sf_dir, "events")
+    number = F.col("event_id").cast("string")
+    text = F.concat(
+        F.lit('{"id":'), F.when(F.col("event_type") == "error", F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number), F.lit(',"type":"'), F.col("event_type"), F.lit('","title":{"rendered":"  User &amp; &#8211; '), F.col("user_id").cast("string"), F.lit(' "},"slug":'),
+        F.when(F.col("user_id") % 2 == 0, F.lit("null")).otherwise(F.col("user_id").cast("string")), F.when(F.col("event_type") != "view", F.concat(F.lit(',"link":"HTTP://Example.com:80/p/'), number, F.lit('#x"'))).otherwise(F.lit("")), F.lit(',"categories":[1,"x",'), F.col("user_id").cast("string"),
+        F.lit(',2.5],"acf":{"amount":'), F.col("user_id").cast("string"), F.lit(',"note":" ","photos":"p","flag":true,"document_redirect_to_file":true,"inner":'), F.col("props"), F.lit("}"), F.when(F.col("event_type") == "signup", F.lit("")).otherwise(F.lit("}")),
+    )
+    return e.select("event_id", text.alias("json"))
+
+
+GOOD = "(event_type <> 'signup')"
+
+
+@query("event_records", f"""SELECT event_id, CASE WHEN {GOOD} AND event_type <> 'error' THEN event_id END AS post_id, CASE WHEN {GOOD} THEN event_type END AS post_type, CASE WHEN {GOOD} THEN 'User & ' || chr(8211) || ' ' || user_id END AS title, CASE WHEN {GOOD} AND event_type <> 'view' THEN 'http://example.com/p/' || event_id END AS url,
+CASE WHEN {GOOD} THEN '1,' || user_id ELSE '' END AS category_ids, CASE WHEN {GOOD} THEN 'amount=' || user_id ELSE '' END AS extras, CASE WHEN {GOOD} THEN true END AS redirects_to_file, NOT {GOOD} AS malformed,
+concat_ws('; ', CASE WHEN NOT {GOOD} OR event_type = 'view' THEN 'post has no link' END, CASE WHEN event_type = 'error' THEN 'post_id: expected long, found STRING: "' || event_id || '"' END, CASE WHEN {GOOD} AND user_id % 2 = 1 THEN 'slug: expected string, found BIGINT: ' || user_id END) AS warnings FROM events""")
+def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = records.posts(event_posts(spark, sf_dir), "json")
+    extras = F.array_join(F.transform(F.array_sort(F.map_keys("extras")), lambda k: F.concat(k, F.lit("="), F.col("extras")[k])), ",")
+    return p.select("event_id", "post_id", "post_type", "title", "url", F.array_join(F.transform("category_ids", lambda x: x.cast("string")), ",").alias("category_ids"), extras.alias("extras"), "redirects_to_file", "malformed", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query("event_types", f"""WITH g AS (SELECT * FROM events WHERE {GOOD}), n AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type <> 'view') AS l, count(*) FILTER (user_id % 2 = 1) AS o FROM g)
+SELECT '$.id' AS path, CASE WHEN n - e >= e THEN 'BIGINT' ELSE 'STRING' END AS type, greatest(e, n - e) AS n, least(e, n - e) AS others FROM n UNION ALL SELECT '$.slug', CASE WHEN o >= n - o THEN 'BIGINT' ELSE 'VOID' END, greatest(o, n - o), least(o, n - o) FROM n UNION ALL SELECT '$.link', 'STRING', l, 0 FROM n
+UNION ALL SELECT unnest(['$.type', '$.title.rendered', '$.acf.note', '$.acf.photos']), 'STRING', n, 0 FROM n UNION ALL SELECT unnest(['$.title', '$.acf', '$.acf.inner']), 'OBJECT', n, 0 FROM n UNION ALL SELECT unnest(['$.acf.amount', '$.acf.inner.k']), 'BIGINT', n, 0 FROM n UNION ALL SELECT unnest(['$.acf.flag', '$.acf.document_redirect_to_file']), 'BOOLEAN', n, 0 FROM n UNION ALL SELECT '$.categories', 'ARRAY', n, 0 FROM n""")
+def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.column_types(event_posts(spark, sf_dir), "json")
