@@ -3,8 +3,9 @@
 Equal pieces of text are first merged into one piece with a multiplicity. Their n-grams are summed by DuckDB in the map task, sent to hash buckets
 and summed there again, so a common n-gram reaches its bucket once from each task. The database of a task has a memory limit and spills into a private scratch
 folder that goes with the task; nothing else reads it. Only n-grams of the least count or more are of use, as candidates or as parts of candidates
-(a part is at least as frequent as the whole), and these consist of words and pairs that are as frequent, so words are counted first, then pairs of frequent
-words, then what consists of frequent pairs. Bitmaps of hashes, bounded in size, say what was frequent; what they let through in vain is dropped by its exact count.
+(a part is at least as frequent as the whole). So hashes are counted first, in slots that add up all n-grams that fall into them: of words and pairs, then
+of longer ones whose words and pairs all passed. Bitmaps of the slots that reach the least count, bounded in size, say which n-grams are spelt out at
+all; what they let through in vain (more, once the corpus has many n-grams to a slot) is dropped by its exact count.
 
 A candidate's cuts are scored by lookup requests: each asks for the count of one part and is shuffled to where that count is; the
 answers are gathered by candidate. Containment in longer candidates goes the same way. Ranks come from range partitions and prefix sums.
@@ -18,23 +19,28 @@ import shutil
 import tempfile
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import arrow_limits, built, checkpointed, give_back, slices, token, written
-from sheaf.llm.suffix import LEAST_BITS, MOST_BITS, empty_map, in_slot_map, slot_maps
+from sheaf.llm.substring import mixed
+from sheaf.llm.suffix import LEAST_BITS, MOST_BITS
 from sheaf.operators.ranks import ranked
 
 #: Lower-cases A-Z, turns the marks that end a piece into line feeds and tabs into blanks.
 _PIECES = bytes.maketrans(bytes(range(0x41, 0x5B)) + b".,;:!?\x0b\x0c\r\t", bytes(range(0x61, 0x7B)) + b"\n" * 9 + b" ")
 #: Memory of a task's database; n-grams held before they go into it; pieces' bytes whose n-grams one bucket counts, about.
 MEMORY, HELD, BUCKET_BYTES = "192MB", 200_000, 16 << 20
+#: Characters of pieces whose words are hashed together; ranges into which the slots of one length are dealt.
+STRETCH, RANGES = 4 << 20, 64
 
 
 def pieces(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -71,120 +77,168 @@ def summed(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.Rec
         give_back()
 
 
-def grams(batches: Iterator[pa.RecordBatch], of: Callable[[str, list[str]], Iterable[str]]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of the n-grams `of` a language and a piece's words, times the piece's multiplicity. Pieces are
-    counted in stretches of HELD words (with what an n-gram needs of the next), so a long one is never held as a whole."""
-    held: dict[str, Counter[str]] = {}
+class Words:
+    """The words of some pieces in a row, as hashes, and which n-grams of them lie within a piece."""
 
-    def out() -> pa.RecordBatch:
-        sizes = [len(c) for c in held.values()]
-        langs = pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32())
-        batch = pa.RecordBatch.from_arrays(
-            [pa.DictionaryArray.from_arrays(langs, pa.array(held, pa.string())).dictionary_decode(), pa.array([g for c in held.values() for g in c], pa.string()), pa.array([n for c in held.values() for n in c.values()], pa.int64())], names=["lang", "gram", "n"]
-        )
-        held.clear()
-        return batch
+    def __init__(self, langs: list[str], pieces: list[str], times: list[int]):
+        split = [p.split(" ") for p in pieces]
+        sizes = np.array([len(w) for w in split], np.int64)
+        self.langs, self.words = langs, list(itertools.chain.from_iterable(split))
+        self.piece = np.repeat(np.arange(len(sizes)), sizes)
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.words))  # words from here to the piece's end
+        self.times = np.array(times, np.int64)[self.piece]
+        seeds = {lang: xxhash.xxh3_64_intdigest(lang, 1) for lang in {*langs}}
+        self.seed = np.array([seeds[lang] for lang in langs], np.uint64)[self.piece]
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
 
+    def grams(self, size: int, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the n-grams that begin at `starts`, language included."""
+        h = self.seed[starts]
+        for k in range(size):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[starts + k])
+        return h
+
+    def starts(self, size: int) -> np.ndarray:
+        return np.flatnonzero(self.left >= size)
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    """Batches of (lang, piece, n) in stretches of about STRETCH characters; a longer piece goes alone."""
     for batch in batches:
-        for lang, piece, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = held.setdefault(lang, Counter())
-            if n == 1:
-                own.update(of(lang, piece.split(" ")))
-            else:
-                for gram, m in Counter(of(lang, piece.split(" "))).items():
-                    own[gram] += n * m
-            if sum(map(len, held.values())) > HELD:
-                yield out()
-    if held:
-        yield out()
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // STRETCH
+        for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes)) + 1):
+            if len(part):
+                own = batch.slice(int(part[0]), len(part))
+                yield Words(*(c.to_pylist() for c in own.columns))
 
 
-class Frequent:
-    """Whether an n-gram may be frequent, by a bitmap of the hashes of those that are; what was asked lately is remembered."""
+class Sketch:
+    """By length of n-grams, a bitmap of the slots whose n-grams together occur often enough."""
 
-    def __init__(self, packed: bytes, bits: int):
-        self.known, self.bits = np.frombuffer(zlib.decompress(packed), np.uint8), bits
-        self.memo: dict[str, dict[str, bool]] = {}
+    def __init__(self, packed: dict[int, bytes], bits: int):
+        self.bits, self.maps = bits, {size: np.frombuffer(zlib.decompress(m), np.uint8) for size, m in packed.items()}
 
-    def flags(self, lang: str, own: list[str]) -> list[bool]:
-        memo = self.memo.setdefault(lang, {})
-        try:
-            return [memo[g] for g in own]
-        except KeyError:
-            if len(memo) > HELD:
-                memo.clear()
-            new = [g for g in dict.fromkeys(own) if g not in memo]
-            memo.update(zip(new, in_slot_map(self.known, slots((lang, g) for g in new), self.bits).tolist(), strict=True))
-            return [memo[g] for g in own]
+    def passed(self, size: int, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> np.uint64(64 - self.bits)
+        return (self.maps[size][slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
+    def starts(self, words: Words, size: int) -> np.ndarray:
+        """Where n-grams begin that may be frequent as far as the shorter ones say: all that they begin and end with passed."""
+        starts = words.starts(size)
+        for shorter in range(1, size):
+            if shorter in self.maps:
+                good = np.zeros(len(words.words) + 1, bool)
+                at = words.starts(shorter)
+                good[at] = self.passed(shorter, words.grams(shorter, at))
+                for k in range(size - shorter + 1):
+                    starts = starts[good[starts + k]]
+        return starts
 
-def pairs(words: list[str], known: list[bool]) -> list[str]:
-    """Neighbouring words that both are known."""
-    return [f"{a} {b}" for a, b, x, y in zip(words, words[1:], known, known[1:], strict=False) if x and y]
 
+def sketched(found: DataFrame, lengths: tuple[int, ...], bits: int, least: int, known: Callable[[], Sketch]) -> dict[int, bytes]:
+    """Packed bitmaps of the slots, of each length, whose occurrences add up to `least` or more; n-grams that `known` rules out aren't counted.
 
-def longer(words: list[str], known: list[bool], frequent: Frequent, lang: str, most: int) -> Iterator[str]:
-    """N-grams of three to `most` words all of whose neighbouring words are frequent pairs."""
-    asked = pairs(words, known)
-    if len(asked) < 2:
-        return
-    flags = iter(frequent.flags(lang, asked))
-    good = [x and y and next(flags) for x, y in itertools.pairwise(known)]
-    run = 0
-    for i, g in enumerate(good):
-        run = run + 1 if g else 0
-        for size in range(3, min(most, run + 1) + 1):
-            yield " ".join(words[i + 2 - size : i + 2])
+    A task sends sorted (slot, count) lists, packed, by range of slots; a range is summed as one array of 2**bits / RANGES counters.
+    """
+    width = bits - RANGES.bit_length() + 1
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = known()
+        for words in stretches(batches):
+            parts, blobs = [], []
+            for size in lengths:
+                starts = sketch.starts(words, size)
+                slots = (words.grams(size, starts) >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.argsort(slots, kind="stable")
+                slots, times = slots[order], words.times[starts][order]
+                first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
+                slots, times = slots[first], np.add.reduceat(times, first) if len(first) else times
+                edges = np.searchsorted(slots, np.arange(RANGES + 1) << width)
+                for r in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[r], edges[r + 1])
+                    parts.append(size * RANGES + r)
+                    blobs.append(zstandard.compress(np.diff(slots[own], prepend=r << width).astype("<u4").tobytes() + times[own].astype("<i8").tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counters = None, np.zeros(0, np.int64)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(counters >= least, bitorder="little").tobytes(), 1)], pa.binary())], names=["part", "bits"])
+
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, counters = part, np.zeros(1 << width, np.int64)
+                data = zstandard.decompress(blob)
+                n = len(data) // 12
+                counters[np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64)] += np.frombuffer(data, "<i8", n, 4 * n)
+        if now is not None:
+            yield done()
+
+    lists = found.mapInArrow(sent, "part int, blob binary").repartition("part").sortWithinPartitions("part")
+    maps = {size: bytearray(1 << bits - 3) for size in lengths}
+    for row in lists.mapInArrow(added, "part int, bits binary").toLocalIterator():
+        size, r = divmod(row["part"], RANGES)
+        maps[size][r << width - 3 : r + 1 << width - 3] = zlib.decompress(bytes(row["bits"]))
+    return {size: zlib.compress(bytes(m), 1) for size, m in maps.items()}
 
 
 def counts(found: DataFrame, *, most: int, least: int) -> DataFrame:
-    """(lang, gram, n) of the n-grams of up to `most` words that occur `least` times or more, exactly: words, then pairs of frequent words, then
-    what consists of frequent pairs."""
+    """(lang, gram, n) of the n-grams of up to `most` words that occur `least` times or more, exactly.
+
+    Sketches of one and two words, then of three and more where those passed, say which n-grams may be frequent; those alone are spelt out,
+    summed and counted. A sketch loses none: a slot holds at least what each of its n-grams has.
+    """
     spark = found.sparkSession
-    size = found.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    schema = "lang string, gram string, n long"
+    facts = found.agg(F.sum(F.octet_length("piece")).alias("size"), F.sum(F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + 1).alias("words")).first()
+    buckets = max(spark.sparkContext.defaultParallelism, -(-(facts["size"] or 0) // BUCKET_BYTES))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2((facts["words"] or 0) + 1))))
+
+    def shared(packed: dict[int, bytes]) -> Callable[[], Sketch]:
+        sent, key = spark.sparkContext.broadcast(packed), token()
+        return lambda: built(key, lambda: Sketch(sent.value, bits))  # type: ignore[return-value]
+
+    packed = sketched(found, tuple(range(1, min(2, most) + 1)), bits, least, lambda: Sketch({}, bits))
+    if most > 2:
+        packed |= sketched(found, tuple(range(3, most + 1)), bits, least, shared(packed))
+    known = shared(packed)
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, held = known(), Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "gram", "n"])
+            held.clear()
+            return batch
+
+        for words in stretches(batches):
+            for size in range(1, most + 1):
+                starts = sketch.starts(words, size)
+                starts = starts[sketch.passed(size, words.grams(size, starts))]
+                for at in range(0, len(starts), HELD):
+                    own = starts[at : at + HELD]
+                    langs = [words.langs[i] for i in words.piece[own].tolist()]
+                    grams = [words.words[i] for i in own.tolist()] if size == 1 else [" ".join(words.words[i : i + size]) for i in own.tolist()]
+                    if (words.times[own] == 1).all():
+                        held.update(zip(langs, grams, strict=True))
+                    else:
+                        for key, n in zip(zip(langs, grams, strict=True), words.times[own].tolist(), strict=True):
+                            held[key] += n
+                    if len(held) > HELD:
+                        yield out()
+        yield out()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from summed(spelt(batches))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed(batches, least)
 
-    def counted(of: Callable[[], Callable[[str, list[str]], Iterable[str]]]) -> DataFrame:
-        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from summed(grams(batches, of()))
-
-        return checkpointed(found.mapInArrow(sent, schema).repartition(buckets, "lang", "gram").mapInArrow(total, schema))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), pa.int64())], names=["value"])
-
-    def bitmap(known: DataFrame) -> Callable[[], Frequent]:
-        bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * known.count() + 1))))
-        packed, _ = slot_maps(known.select("lang", "gram").mapInArrow(hashed, "value long").select(F.lit("known").alias("name"), "value", F.lit(0).cast("long").alias("sent")), bits)
-        shared, key = spark.sparkContext.broadcast(packed.get("known", empty_map(bits))), token()
-        return lambda: built(key, lambda: Frequent(shared.value, bits), 2)  # type: ignore[return-value]
-
-    def of_pairs() -> Callable[[str, list[str]], Iterable[str]]:
-        frequent = words()
-        return lambda lang, own: pairs(own, frequent.flags(lang, own))
-
-    def of_longer() -> Callable[[str, list[str]], Iterable[str]]:
-        frequent, both = words(), doubles()
-        return lambda lang, own: longer(own, frequent.flags(lang, own), both, lang, most)
-
-    single = counted(lambda: lambda lang, own: own)
-    words = bitmap(single)
-    if most < 2:
-        return single
-    double = counted(of_pairs)
-    if most < 3:
-        return single.unionByName(double)
-    doubles = bitmap(double)
-    return single.unionByName(double).unionByName(counted(of_longer))
-
-
-def slots(keys) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(f"{lang}\0{word}") for lang, word in keys], np.uint64).view(np.int64)
+    schema = "lang string, gram string, n long"
+    return found.mapInArrow(merged, schema).repartition(buckets, "lang", "gram").mapInArrow(total, schema)
 
 
 def _part(start: str, size: str) -> Column:

@@ -44,9 +44,11 @@ def found(df, **options):
     return sorted(map(tuple, phrases.collocations(df, **options).collect()))
 
 
-@pytest.mark.parametrize("held", [200_000, 5])
-def test_against_brute_force(spark, monkeypatch, held):
-    monkeypatch.setattr(phrases, "HELD", held)
+@pytest.mark.parametrize("bits", [20, 9])
+def test_against_brute_force(spark, monkeypatch, bits):
+    """With few slots nearly all n-grams pass the sketches."""
+    monkeypatch.setattr(phrases, "LEAST_BITS", bits)
+    monkeypatch.setattr(phrases, "MOST_BITS", bits)
     rng = random.Random(5)
     words = ["The", "cat", "sat", "é", "on", "mat x", "Ä"]
     docs = [("".join(rng.choice(words) + rng.choice([" ", " ", " \t", ". ", "\n", "\x0b", "; "]) for _ in range(rng.randrange(0, 60))), rng.choice(["en", "fr", None])) for _ in range(60)]
