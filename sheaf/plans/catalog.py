@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.plans import catalogs, documents, profiles, relational, reports, scalars, tables  # noqa: F401
+from sheaf.plans import catalogs, documents, profiles, relational, reports, scalars, streams, tables  # noqa: F401
 from sheaf.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

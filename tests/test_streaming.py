@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime
 
-from sheaf.streaming import jobs
+from sheaf.streaming import jobs, ledger
 
 
 def drain(stream, mode="append"):
@@ -31,3 +31,45 @@ def test_windows_and_duplicates(spark, tmp_path):
     counts = {(r["start"].hour, r["event_type"]): r["n"] for r in drain(jobs.windowed_counts(stream)).collect()}
     assert counts[0, "a"] == 2 and counts[1, "a"] == 1
     assert drain(jobs.deduplicated(stream, "user_id")).count() == 3
+
+
+EVENT = "job_id string, at timestamp, seq long, kind string, done long, total long, error string"
+FOLDS = [
+    ("a", 0, "queued"), ("a", 10, "running"), ("a", 20, "heartbeat"), ("a", 200, "heartbeat"), ("a", 210, "succeeded"),  # silent for longer than 100 s
+    ("b", 0, "running"), ("b", 90, "heartbeat"), ("b", 190, "succeeded"), ("b", 195, "failed"), ("b", 196, "running"),  # final states stay
+    ("c", 0, "queued"), ("c", 500, "heartbeat"),  # queued jobs don't go stale
+    ("d", 480, "running"), ("e", 100, "running"), ("e", 150, "progress"), ("f", 300, "running"), ("f", 310, "failed"),
+]
+EXPECTED = {
+    "a": ("failed", 120, ledger.SWEPT, "queued>running>failed"), "b": ("succeeded", 190, None, "queued>running>succeeded"), "c": ("queued", None, None, "queued"), "d": ("running", None, None, "queued>running"),
+    "e": ("failed", 250, ledger.SWEPT, "queued>running>failed"), "f": ("failed", 310, "e310", "queued>running>failed"),
+}
+
+
+def job_events(spark, folder, rows):
+    base = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    made = [(j, base + datetime.timedelta(seconds=s), s, kind, 3 if kind == "progress" else None, None, f"e{s}") for j, s, kind in rows]
+    spark.createDataFrame(made, EVENT).coalesce(1).write.mode("append").parquet(folder)
+
+
+def ledger_of(spark, folder):
+    base = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).timestamp()
+    ms = lambda x: None if x is None else x / 1000 - base
+    return {r["job_id"]: (r["status"], ms(r["finished_ms"]), r["error"], r["history"]) for r in ledger.ledger(spark, folder).collect()}
+
+
+def test_ledger_in_one_run_and_over_restarts(spark, tmp_path):
+    """All events at once, or a few at a time with a new stream on the same checkpoint each time, give one ledger."""
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    for name, groups in (("whole", [FOLDS]), ("parts", [[r for r in FOLDS if low <= r[1] < high] for low, high in ((0, 15), (15, 100), (100, 195), (195, 600))])):
+        folder = str(tmp_path / f"{name}-in")
+        for rows in groups:
+            job_events(spark, folder, rows)
+            stream = spark.readStream.schema(EVENT).parquet(folder)
+            ledger.follow(stream, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"), stale_s=100)
+    assert ledger_of(spark, whole) == EXPECTED
+    assert ledger_of(spark, parts) == EXPECTED
+    before = spark.read.parquet(parts).count()
+    ledger.follow(spark.readStream.schema(EVENT).parquet(str(tmp_path / "parts-in")), parts, str(tmp_path / "parts-checkpoint"), stale_s=100)  # nothing new
+    assert spark.read.parquet(parts).count() == before and ledger_of(spark, parts) == EXPECTED
+    assert ledger.ledger(spark, parts).where("job_id = 'e'").first()["done"] == 3
