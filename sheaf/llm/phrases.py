@@ -37,10 +37,10 @@ from sheaf.operators.ranks import ranked
 
 #: Lower-cases A-Z, turns the marks that end a piece into line feeds and tabs into blanks.
 _PIECES = bytes.maketrans(bytes(range(0x41, 0x5B)) + b".,;:!?\x0b\x0c\r\t", bytes(range(0x61, 0x7B)) + b"\n" * 9 + b" ")
-#: Memory of a task's database; n-grams held before they go into it; pieces' bytes whose n-grams one bucket counts, about.
-MEMORY, HELD, BUCKET_BYTES = "192MB", 200_000, 16 << 20
-#: Characters of pieces whose words are hashed together; ranges into which the slots of one length are dealt.
-STRETCH, RANGES = 4 << 20, 64
+#: Memory of a task's database; pieces' bytes whose n-grams one bucket counts, about.
+MEMORY, BUCKET_BYTES = "192MB", 16 << 20
+#: Characters of pieces whose words are hashed together.
+STRETCH = 4 << 20
 
 
 def pieces(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -59,18 +59,19 @@ def pieces(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -
 
 
 def summed(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.RecordBatch]:
-    """Sums of n by (lang, gram), at least `least`, by a DuckDB of this task: what passes its memory limit goes to a scratch folder that ends with it."""
+    """Sums of n by (bucket, lang, gram), at least `least`, in order of buckets, by a DuckDB of this task: what passes its memory limit goes to a scratch
+    folder that ends with it."""
     folder = tempfile.mkdtemp(prefix="counts-")
     con = duckdb.connect(":memory:", config={"memory_limit": MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False})
     try:
-        con.execute("create table rows (lang varchar, gram varchar, n bigint)")
+        con.execute("create table rows (bucket bigint, lang varchar, gram varchar, n bigint)")
         for batch in batches:
             if batch.num_rows:
                 con.register("batch", pa.Table.from_batches([batch]))
-                con.execute("insert into rows select lang, gram, n from batch")
+                con.execute("insert into rows select bucket, lang, gram, n from batch")
                 con.unregister("batch")
-        for out in con.sql(f"select lang, gram, sum(n)::bigint n from rows group by lang, gram having sum(n) >= {least}").to_arrow_reader(50_000):
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(out.columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
+        for out in con.sql(f"select bucket, lang, gram, sum(n)::bigint n from rows group by bucket, lang, gram having sum(n) >= {least} order by bucket").to_arrow_reader(200_000):
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(out.columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["bucket", "lang", "gram", "n"])
     finally:
         con.close()
         shutil.rmtree(folder, ignore_errors=True)
@@ -78,7 +79,7 @@ def summed(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.Rec
 
 
 class Words:
-    """The words of some pieces in a row, as hashes, and which n-grams of them lie within a piece."""
+    """The words of some pieces in a row, each with two independent hashes."""
 
     def __init__(self, langs: list[str], pieces: list[str], times: list[int]):
         split = [p.split(" ") for p in pieces]
@@ -89,17 +90,22 @@ class Words:
         self.times = np.array(times, np.int64)[self.piece]
         seeds = {lang: xxhash.xxh3_64_intdigest(lang, 1) for lang in {*langs}}
         self.seed = np.array([seeds[lang] for lang in langs], np.uint64)[self.piece]
-        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-
-    def grams(self, size: int, starts: np.ndarray) -> np.ndarray:
-        """Hashes of the n-grams that begin at `starts`, language included."""
-        h = self.seed[starts]
-        for k in range(size):
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[starts + k])
-        return h
-
-    def starts(self, size: int) -> np.ndarray:
-        return np.flatnonzero(self.left >= size)
+        self.hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), np.uint64).reshape(-1, 2)
+
+    def levels(self, sketch: Sketch, most: int, lanes: int = 1) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        """For each length up to `most`: where n-grams begin that may be frequent as far as the sketched shorter ones and their own length say, and their
+        hashes, language included, each made of the one a word shorter."""
+        h = [self.seed.copy() for _ in range(lanes)]
+        starts, good = np.arange(len(self.words)), np.ones(len(self.words) + 1, bool)
+        for size in range(1, most + 1):
+            starts = starts[(self.left[starts] >= size) & good[starts] & good[np.minimum(starts + 1, len(self.words))]] if size > 1 else starts
+            for lane in range(lanes):
+                h[lane][starts] = mixed(h[lane][starts] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[starts + size - 1, lane])
+            if size in sketch.maps:
+                starts = starts[sketch.passed(size, h[0][starts])]
+            yield size, starts, [x[starts] for x in h]
+            good = np.zeros(len(self.words) + 1, bool)
+            good[starts] = True
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -122,41 +128,31 @@ class Sketch:
         slot = hashes >> np.uint64(64 - self.bits)
         return (self.maps[size][slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def starts(self, words: Words, size: int) -> np.ndarray:
-        """Where n-grams begin that may be frequent as far as the shorter ones say: all that they begin and end with passed."""
-        starts = words.starts(size)
-        for shorter in range(1, size):
-            if shorter in self.maps:
-                good = np.zeros(len(words.words) + 1, bool)
-                at = words.starts(shorter)
-                good[at] = self.passed(shorter, words.grams(shorter, at))
-                for k in range(size - shorter + 1):
-                    starts = starts[good[starts + k]]
-        return starts
-
 
 def sketched(found: DataFrame, lengths: tuple[int, ...], bits: int, least: int, known: Callable[[], Sketch]) -> dict[int, bytes]:
     """Packed bitmaps of the slots, of each length, whose occurrences add up to `least` or more; n-grams that `known` rules out aren't counted.
 
-    A task sends sorted (slot, count) lists, packed, by range of slots; a range is summed as one array of 2**bits / RANGES counters.
+    A task sends sorted (slot, count) lists, packed, by range of slots; a range is summed as one array of at most 2**18 counters.
     """
-    width = bits - RANGES.bit_length() + 1
+    ranges = 1 << max(6, bits - 18)
+    width = bits - ranges.bit_length() + 1
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = known()
         for words in stretches(batches):
             parts, blobs = [], []
-            for size in lengths:
-                starts = sketch.starts(words, size)
-                slots = (words.grams(size, starts) >> np.uint64(64 - bits)).astype(np.int64)
+            for size, starts, hashes in words.levels(sketch, max(lengths)):
+                if size not in lengths:
+                    continue
+                slots = (hashes[0] >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(slots, kind="stable")
                 slots, times = slots[order], words.times[starts][order]
                 first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
                 slots, times = slots[first], np.add.reduceat(times, first) if len(first) else times
-                edges = np.searchsorted(slots, np.arange(RANGES + 1) << width)
+                edges = np.searchsorted(slots, np.arange(ranges + 1) << width)
                 for r in np.flatnonzero(np.diff(edges)).tolist():
                     own = slice(edges[r], edges[r + 1])
-                    parts.append(size * RANGES + r)
+                    parts.append(size * ranges + r)
                     blobs.append(zstandard.compress(np.diff(slots[own], prepend=r << width).astype("<u4").tobytes() + times[own].astype("<i8").tobytes(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
@@ -180,8 +176,8 @@ def sketched(found: DataFrame, lengths: tuple[int, ...], bits: int, least: int,
 
     lists = found.mapInArrow(sent, "part int, blob binary").repartition("part").sortWithinPartitions("part")
     maps = {size: bytearray(1 << bits - 3) for size in lengths}
-    for row in lists.mapInArrow(added, "part int, bits binary").toLocalIterator():
-        size, r = divmod(row["part"], RANGES)
+    for row in lists.mapInArrow(added, "part int, bits binary").collect():  # 2**bits bits of each length, less what packing saves
+        size, r = divmod(row["part"], ranges)
         maps[size][r << width - 3 : r + 1 << width - 3] = zlib.decompress(bytes(row["bits"]))
     return {size: zlib.compress(bytes(m), 1) for size, m in maps.items()}
 
@@ -207,38 +203,40 @@ def counts(found: DataFrame, *, most: int, least: int) -> DataFrame:
     known = shared(packed)
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held = known(), Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "gram", "n"])
-            held.clear()
-            return batch
-
+        """(bucket, lang, gram, n): equal n-grams of a stretch, told by 128 bits, are one row."""
+        sketch = known()
         for words in stretches(batches):
-            for size in range(1, most + 1):
-                starts = sketch.starts(words, size)
-                starts = starts[sketch.passed(size, words.grams(size, starts))]
-                for at in range(0, len(starts), HELD):
-                    own = starts[at : at + HELD]
-                    langs = [words.langs[i] for i in words.piece[own].tolist()]
-                    grams = [words.words[i] for i in own.tolist()] if size == 1 else [" ".join(words.words[i : i + size]) for i in own.tolist()]
-                    if (words.times[own] == 1).all():
-                        held.update(zip(langs, grams, strict=True))
-                    else:
-                        for key, n in zip(zip(langs, grams, strict=True), words.times[own].tolist(), strict=True):
-                            held[key] += n
-                    if len(held) > HELD:
-                        yield out()
-        yield out()
+            for size, starts, (a, b) in words.levels(sketch, most, lanes=2):
+                order = np.argsort(a, kind="stable")
+                if np.any((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])):
+                    order = np.lexsort((b, a))
+                a, b, starts = a[order], b[order], starts[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+                times = np.add.reduceat(words.times[starts], first) if len(first) else np.zeros(0, np.int64)
+                own = starts[first]
+                grams = [words.words[i] for i in own.tolist()] if size == 1 else [" ".join(words.words[i : i + size]) for i in own.tolist()]
+                langs = pa.DictionaryArray.from_arrays(pa.array(words.piece[own], pa.int32()), pa.array(words.langs, pa.string())).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([pa.array((a[first] % np.uint64(buckets)).astype(np.int64), pa.int64()), langs, pa.array(grams, pa.string()), pa.array(times, pa.int64())], names=["bucket", "lang", "gram", "n"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from summed(spelt(batches))
+        """Sums of the task, packed by bucket: shuffled as blocks of columns, not as rows."""
+        for batch in summed(spelt(batches)):
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(batch.column(0).to_numpy()) != 0, [True]]))
+            parts, blobs = [], []
+            for x, y in itertools.pairwise(edges.tolist()):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(x, y - x))
+                parts.append(batch.column(0)[x].as_py())
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from summed(batches, least)
+        rows = (own for batch in batches for blob in batch.column(1) for own in pa.ipc.open_stream(blob.as_py()))
+        for batch in summed(rows, least):
+            yield batch.select(["lang", "gram", "n"])
 
-    schema = "lang string, gram string, n long"
-    return found.mapInArrow(merged, schema).repartition(buckets, "lang", "gram").mapInArrow(total, schema)
+    return found.mapInArrow(merged, "bucket long, rows binary").repartition(buckets, "bucket").mapInArrow(total, "lang string, gram string, n long")
 
 
 def _part(start: str, size: str) -> Column:

@@ -78,6 +78,6 @@ def test_products_beyond_64_bits(spark):
 
 def test_sums_leave_nothing_behind(tmp_path, monkeypatch):
     monkeypatch.setattr(phrases.tempfile, "tempdir", str(tmp_path))
-    batch = pa.RecordBatch.from_arrays([pa.array(["a", "a", "b"]), pa.array(["x", "x", "x"]), pa.array([2, 3, 1], pa.int64())], names=["lang", "gram", "n"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 3], pa.int64()), pa.array(["a", "a", "b"]), pa.array(["x", "x", "x"]), pa.array([2, 3, 1], pa.int64())], names=["bucket", "lang", "gram", "n"])
     out = [r for b in phrases.summed(iter([batch, batch]), 3) for r in b.to_pylist()]
-    assert out == [{"lang": "a", "gram": "x", "n": 10}] and not list(tmp_path.iterdir())
+    assert out == [{"bucket": 7, "lang": "a", "gram": "x", "n": 10}] and not list(tmp_path.iterdir())
