@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheaf.llm import bpe, suffix
+from sheaf.llm import bpe, langid, suffix
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,62 @@ def test_run_is_the_stages(spark, stages):
     clean = stages["token_ids"].where("doc_id < 9000").select("doc_id", "ids_sha256", "decoded_sha256")
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001").select(clean.columns)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, clean.collect()))
+
+
+CLASHING = ["row key", "row_key", "Row_Check", "row", "a.b", "back`tick", "kept", "component", "least", "lang_pred", "score", "spans", "contaminated"]
+
+
+def staged(spark, docs, folder, sf, upto=5):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:upto]):
+        stage(spark, docs, sf).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+def test_clashing_names_pass_through(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    clashing = plain.select("*", *[F.concat(F.lit("mine "), "doc_id").alias(c) for c in CLASHING])
+    kept = staged(spark, clashing, tmp_path / "c", sf, 4)
+    assert kept.columns == clashing.columns and kept.count() > 100
+    assert all(r[c] == f"mine {r['doc_id']}" for r in kept.collect() for c in CLASHING)
+    expected = staged(spark, plain, tmp_path / "p", sf, 4)
+    assert sorted(map(str, kept.select(plain.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_awkward_texts_and_empty_tables(spark, tmp_path):
+    """Null, empty, very long and repeated texts; then no documents, and no benchmark."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = docs.where("lang = 'en'").select(F.concat_ws(" ", F.collect_list("text"))).first()[0]
+    rows = [(9000, " ".join([long] * (150_000 // len(long.split()) + 1)), "en", "s", 1), (9001, None, "en", "s", 0), (9002, "", None, "s", 0), (9003, "12 !", "en", None, 4), (None, long[:3000], "en", "s", 3000), (None, long[:3000], "en", "s", 3000)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    out = {r["doc_id"]: r for r in staged(spark, both, tmp_path / "a", sf).collect()}
+    assert not {9001, 9002, 9003} & set(out) and len(out) > 100
+    empty = tmp_path / "sf"
+    spark.read.parquet(f"{sf}/benchmark.parquet").where("false").write.parquet(str(empty / "benchmark.parquet"))
+    assert staged(spark, docs.where("false"), tmp_path / "e", str(empty)).count() == 0
+    assert corpus_pipeline.benchmark(spark, docs, str(empty)).count() == docs.count()
+
+
+def test_language_and_benchmark_against_plain_rules(stages, spark):
+    """What the two filters keep is what their operators' own rows say, and the benchmark's is the contract's rule by plain Python."""
+    before, after = stages["repeated_passages"].collect(), {r["doc_id"] for r in stages["benchmark"].collect()}
+    lower, words = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: words.findall((t or "").translate(lower))
+    items = [w for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect() if (w := split(r["text"]))]
+    windows = {tuple(w[i : i + 13]) for w in items for i in range(max(1, len(w) - 12))}
+    kept = set()
+    for r in before:
+        w, hit = split(r["text"]), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+        if not (hit and 20 * len(hit) >= len(w)):
+            kept.add(r["doc_id"])
+    assert after == kept
+    gone = {r["doc_id"]: r for r in stages["input"].join(stages["language"], "doc_id", "left_anti").collect()}
+    letters = {i for i, r in gone.items() if re.search(r"[^\W\d_]", r["text"] or "")}
+    predicted = langid.predict(stages["input"], langid.train(stages["input"].where(~langid.held_out(4, 2)))).collect()
+    assert set(gone) == {r["doc_id"] for r in predicted if r["lang_pred"] == "und" or r["score"] < 0.5} and len(letters) <= 4
