@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.functions.numbers import ratio
+from sheaf.operators.ranks import running
 
-#: Even ranges of values that a group is dealt over.
-RANGES = 256
 #: Bands of a share; zero stands alone, the others are half open.
 BANDS = [("0", 0.0, 0.0), (">0-<0.20", 0.0, 0.20), ("0.20-<0.50", 0.20, 0.50), ("0.50-<0.80", 0.50, 0.80), (">=0.80", 0.80, 1.01)]
 
@@ -19,28 +16,29 @@ BANDS = [("0", 0.0, 0.0), (">0-<0.20", 0.0, 0.20), ("0.20-<0.50", 0.20, 0.50), (
 def distribution(df: DataFrame, by: list[str], value: str, fractions: dict[str, float] | None = None) -> DataFrame:
     """n, min, the values at floor(fraction * n), max and how many are zero, per group; nulls don't count.
 
-    Equal values meet first; what is left of a group is summed by ranges of its values (even ones, between its least and largest), the
-    counts of the ranges, which are few, say in which of them each rank falls, and ranks are counted within a range. So a group is
-    dealt over RANGES tasks and never collected into an array; only very uneven values make a range large, and its window spills.
+    Equal values meet first (in the map-side combine); what is left is ranged by sampled cuts and running sums of the counts give the ranks, so a
+    group of any size and shape is dealt over tasks and never collected into an array.
     """
     fractions = fractions or {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = rows.groupBy("_v", *by).agg(F.count("*").alias("_c"))  # equal values first meet in the map-side combine
-    names = {c: f"_{i}" for i, c in enumerate(by)}
-    same = functools.reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in names.items()], F.lit(True))
-    named = [F.col(f"`{c}`").alias(k) for c, k in names.items()]
-    ends = counts.groupBy(*named).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    part = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0)).alias("_part")
-    ranged = counts.join(ends, same).select(*by, "_v", "_c", part)
-    sums = ranged.groupBy(*named, F.col("_part").alias("_p")).agg(F.sum("_c").alias("_s"))
-    upto = F.sum("_s").over(Window.partitionBy(*names.values()).orderBy("_p"))
-    sums = sums.select(*names.values(), "_p", (upto - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy(*names.values())).alias("_n"))
-    inner = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))
-    placed = ranged.join(sums, same & (F.col("_part") == F.col("_p"))).select(*by, "_part", "_v", "_c", "_before", "_n").withColumn("_upto", F.col("_before") + inner)
     at = lambda f: F.least(F.floor(F.lit(f) * F.col("_n")), F.col("_n") - 1)
-    here = lambda f: (at(f) < F.col("_upto")) & (at(f) >= F.col("_upto") - F.col("_c"))
-    return placed.groupBy(*by).agg(F.first("_n").alias("n"), F.round(F.min("_v"), 4).alias("min"), *[F.round(F.max(F.when(here(f), F.col("_v"))), 4).alias(name) for name, f in fractions.items()], F.round(F.max("_v"), 4).alias("max"), F.sum(F.when(F.col("_v") == 0, F.col("_c")).otherwise(0)).alias("zero"))
+    ranks = {name: at(f) for name, f in fractions.items()}
+    return values_at(df, by, value, ranks).select(*by, F.col("_n").alias("n"), F.round("_min", 4).alias("min"), *[F.round(name, 4).alias(name) for name in fractions], F.round("_max", 4).alias("max"), F.col("_zero").alias("zero"))
+
+
+def values_at(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per group _n, _min, _max, _zero and the value of each rank (a number from 0, in terms of the column _n), exactly; nulls don't count."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy("_v", *by).agg(F.count("*").alias("_c"))
+    placed = running(counts, [F.col("_v")], "_c", groups=by, name="_upto", total="_n")
+    here = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
+    return placed.groupBy(*by).agg(F.first("_n").alias("_n"), F.min("_v").alias("_min"), *[F.max(F.when(here(r), F.col("_v"))).alias(name) for name, r in ranks.items()], F.max("_v").alias("_max"), F.sum(F.when(F.col("_v") == 0, F.col("_c")).otherwise(0)).alias("_zero"))
+
+
+def medians(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """The middle value per group, or the mean of the two in the middle; nulls don't count, a group of nulls has no row."""
+    n = F.col("_n")
+    both = values_at(df, by, value, {"_a": F.floor((n - 1) / 2), "_b": F.floor(n / 2)})
+    return both.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(name))
 
 
 def band(c: Column) -> Column:

@@ -44,3 +44,28 @@ def ranked(df: DataFrame, order: list[Column], *, groups: list[str] | None = Non
         same &= F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
     joined = placed.join(sizes, same)
     return joined.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("long").alias(name))
+
+
+def placed(df: DataFrame, order: list[Column], groups: list[str]) -> DataFrame:
+    """Rows with `__part`, the range of (groups, order) that they fall in. Ranges are cut by a sample of the rows, not by even steps of values, so a heavy
+    tail is spread like anything else; a checkpoint keeps the cuts from being drawn anew."""
+    return checkpointed(df.repartitionByRange(*[F.col(f"`{g}`") for g in groups], *order).select("*", F.spark_partition_id().alias("__part")))
+
+
+def running(df: DataFrame, order: list[Column], weight: str, *, groups: list[str], name: str = "upto", total: str = "total") -> DataFrame:
+    """Adds the running sum of `weight` up to and including each row in `order` within its group, and the group's whole sum.
+
+    Rows are summed by range and group; these few sums give each range what stands before it, and a window runs within a range and
+    group only. Rows that tie in `order` come in no stated order, so rows should be distinct by (groups, order).
+    """
+    rows = placed(df, order, groups)
+    keys = [F.col(f"`{g}`").alias(f"__g{i}") for i, g in enumerate(groups)]
+    names = [f"__g{i}" for i in range(len(groups))]
+    sums = rows.groupBy(F.col("__part").alias("__p"), *keys).agg(F.sum(weight).alias("__s"))
+    whole = Window.partitionBy(*(names or [F.lit(0)]))
+    sums = sums.select("__p", *names, F.coalesce(F.sum("__s").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__s").over(whole).alias(total))
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same &= F.col(f"`{g}`").eqNullSafe(F.col(f"__g{i}"))
+    inner = F.sum(weight).over(Window.partitionBy("__part", *[F.col(f"`{g}`") for g in groups]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(sums, same).withColumn(name, F.col("__before") + inner).select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], name, total)

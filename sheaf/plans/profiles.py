@@ -81,7 +81,9 @@ def canonical_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("true_median", "SELECT source, median(n_chars)::DOUBLE AS median_chars, round(count(*) FILTER (n_chars > 500) / count(*), 4) AS coverage FROM documents GROUP BY 1")
 def true_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.median("n_chars").alias("median_chars"), ratio(F.count_if(F.col("n_chars") > 500), F.count("*")).alias("coverage"))
+    docs = table(spark, sf_dir, "documents").select("source", "n_chars")
+    shares = docs.groupBy(F.col("source").alias("s")).agg(ratio(F.count_if(F.col("n_chars") > 500), F.count("*")).alias("coverage"))
+    return shares.join(profile.medians(docs, ["source"], "n_chars", "median_chars"), F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "median_chars", "coverage")
 
 
 @query("lexicon", "SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS word FROM documents WHERE lang = 'en') WHERE regexp_matches(word, '[aeiou]') GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
 from sheaf.functions.text import split_lines
+from sheaf.operators.ranks import ranked
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -36,10 +37,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "row_ord") -> DataFrame:
-    """Adds a row number by columns that order the rows totally; row order is never taken from partitions."""
-    from pyspark.sql.window import Window
-
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Adds a row number from 1 by columns that order the rows totally, over range partitions; row order is never taken from partitions as they come."""
+    return ranked(df, [F.col("`" + c.replace("`", "``") + "`") for c in order], name=name).withColumn(name, F.col(name).cast("int"))
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
