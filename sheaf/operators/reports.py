@@ -140,6 +140,14 @@ def ledger(run: int, counters: dict[str, int], known: list[str], runs: DataFrame
     return runs.unionByName(runs.sparkSession.createDataFrame([(run, *[int(counters.get(c, 0)) for c in known])], "run_id long, " + ", ".join(f"{c} long" for c in known)))
 
 
+def run_ledger(counted: DataFrame, known: list[str]) -> DataFrame:
+    """(run_id, a column for each known counter, unknown) from rows (run_id, counter, n): zero where a run counted nothing, and the sorted names of
+    counters that the ledger doesn't have. A null count is none; a run with unknown counters only still has its row."""
+    sums = [F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in known]
+    strange = F.sort_array(F.collect_set(F.when(~F.col("counter").isin(known), F.col("counter"))))
+    return counted.groupBy("run_id").agg(*sums, strange.alias("unknown"))
+
+
 def cohort_accounts(files: DataFrame, *, blob: str, ready: Column) -> DataFrame:
     """Files and blobs of a cohort, never mixed: how many of each, and how many files are copies of a blob that counts already."""
     return files.agg(F.count("*").alias("files"), F.countDistinct(blob).alias("blobs"), F.countDistinct(F.when(ready, F.col(blob))).alias("blobs_ready")).withColumn("collapsed", F.col("files") - F.col("blobs"))

@@ -33,9 +33,9 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
 
 
-@query("join_full_outer", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.n_chars FROM (SELECT * FROM labels WHERE doc_id % 3 = 0) a FULL JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
+@query("join_full_outer", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, a.toxic, b.n_chars FROM labels a FULL JOIN documents b ON a.doc_id = b.doc_id")
 def join_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where("doc_id % 3 = 0").select("doc_id", "quality").join(table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "n_chars"), "doc_id", "full")
+    return table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "full")
 
 
 @query("join_full_outer_whole", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.n_chars FROM labels a FULL JOIN documents b ON a.doc_id = b.doc_id")

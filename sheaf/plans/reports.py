@@ -101,11 +101,11 @@ def pass_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pass_counters(table(spark, sf_dir, "lineitem"), {"selected": F.lit(1), "failed": F.col("l_returnflag") == "R", "missing": F.col("l_returnflag") == "Z", "pages": F.col("l_linenumber")})
 
 
-@query("run_ledger", "SELECT 1::BIGINT AS run_id, 5::BIGINT AS fetched, 0::BIGINT AS failed UNION ALL SELECT 2, 0, 3")
+@query("run_ledger", "SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error, 0::BIGINT AS retried, array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type NOT IN ('view', 'error'))), ',') AS unknown FROM events GROUP BY 1")
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "run_id long, fetched long, failed long")
-    known = ["fetched", "failed"]
-    return reports.ledger(2, {"failed": 3}, known, reports.ledger(1, {"fetched": 5}, known, none))
+    """Events of a day as what a run counted."""
+    counted = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("event_type").alias("counter")).agg(F.count("*").alias("n"))
+    return reports.run_ledger(counted, ["view", "error", "retried"]).withColumn("unknown", F.array_join("unknown", ","))
 
 
 @query("cohort_accounts", "SELECT count(*) AS files, count(DISTINCT text) AS blobs, count(DISTINCT text) FILTER (lang = 'en') AS blobs_ready, count(*) - count(DISTINCT text) AS collapsed FROM documents")

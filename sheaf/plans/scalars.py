@@ -100,18 +100,21 @@ def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 ODD = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'ftp://' || url WHEN 2 THEN replace(url, '://', '://me:pw@') WHEN 3 THEN 'http:///nowhere' ELSE url || '.pdf' END"
 
 
-@query("url_check", f"SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'scheme' WHEN 2 THEN 'user info' WHEN 3 THEN 'no host' END AS refusal, CASE WHEN page_id % 3 = 0 THEN 'image' WHEN page_id % 5 = 4 AND NOT contains(url, '?') AND NOT contains(url, '#') THEN 'pdf' ELSE 'unknown' END AS kind FROM pages WHERE NOT regexp_matches(url, '\\.[A-Za-z0-9]{{1,8}}$')")
+@query("url_check", f"SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'scheme' WHEN 2 THEN 'user info' WHEN 3 THEN 'no host' END AS refusal, CASE WHEN page_id % 3 = 0 THEN 'image' WHEN page_id % 5 = 4 AND NOT contains(url, '?') AND NOT contains(url, '#') THEN 'pdf' WHEN page_id % 5 = 4 AND regexp_matches(url, '\\.html?/*[?#]') THEN 'web' ELSE 'unknown' END AS kind FROM pages")
 def url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").where("not url rlike '[.][A-Za-z0-9]{1,8}$'").select("page_id", F.expr(ODD).alias("url"), F.expr("if(page_id % 3 = 0, 'image/png; q=1', null)").alias("mime"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(ODD).alias("url"), F.expr("if(page_id % 3 = 0, 'image/png; q=1', null)").alias("mime"))
     pages = pages.withColumn("kind", F.when(F.col("page_id") % 3 == 0, urls.resource_type(F.col("url"), F.col("mime"))).when(F.col("page_id") % 5 == 4, urls.resource_type(F.col("url"), F.col("mime"))).otherwise(F.lit("unknown")))
     return pages.select("page_id", urls.refusal(F.col("url")).alias("refusal"), "kind")
 
 
-@query("tool_name_kinds", "SELECT 'x' AS name, 'x' AS kind WHERE false UNION ALL SELECT * FROM (VALUES ('getUser', 'read'), ('list_files', 'read'), ('deleteRow', 'write'), ('get-and-update', 'write'), ('HTMLParser', 'unknown'))")
+NAMES = "CASE event_type WHEN 'click' THEN 'getUser' || user_id WHEN 'view' THEN 'list_files-' || user_id WHEN 'purchase' THEN 'deleteRow' || user_id WHEN 'signup' THEN 'get-and-update_' || user_id ELSE 'HTMLParser' || user_id END"
+
+
+@query("tool_name_kinds", f"SELECT event_id, {NAMES} AS name, CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'signup' THEN 'write' ELSE 'unknown' END AS kind FROM events")
 def tool_name_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.operators.access import tool_kind
 
-    return spark.createDataFrame([("getUser",), ("list_files",), ("deleteRow",), ("get-and-update",), ("HTMLParser",)], "name string").select("name", tool_kind(F.col("name")).alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", F.expr(NAMES).alias("name")).withColumn("kind", tool_kind(F.col("name")))
 
 
 @query("clamp_and_ticks", "SELECT p_partkey, least(greatest(coalesce(TRY_CAST(CASE WHEN p_size % 7 = 0 THEN 'many' ELSE p_size::VARCHAR END AS INT), 5), 1), 20) AS top_k, round(CASE WHEN s <= 1 THEN 1.0 WHEN s <= 2 THEN 2.0 WHEN s <= 5 THEN 5.0 ELSE 10.0 END * p, 9) AS step FROM (SELECT *, raw / p AS s FROM (SELECT *, pow(10.0, floor(log10(raw))) AS p FROM (SELECT *, p_retailprice / 5 AS raw FROM part)))")
