@@ -1,11 +1,13 @@
-"""Queries that run as streams over the given tables until all of them is taken."""
+"""Queries that run as streams over the given tables until all of them is taken, and walks over paged collections of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.operators.ranks import ranked
 from sheaf.plans.registry import query, table
+from sheaf.sources import paging
 from sheaf.streaming import ledger
 
 STALE_S = 14_400
@@ -30,3 +32,31 @@ def job_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = ledger.scratch(spark)
     ledger.follow(told, f"{folder}/changes", f"{folder}/checkpoint", stale_s=STALE_S)
     return ledger.ledger(spark, f"{folder}/changes").select("job_id", "status", "started_ms", "finished_ms", "done", "error")
+
+
+PAGES = """o AS (SELECT o_orderpriority || ' ' || year(o_orderdate) AS collection, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority || ' ' || year(o_orderdate) ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority || ' ' || year(o_orderdate)) AS total FROM orders),
+p AS (SELECT collection, (r - 1) // 20 + 1 AS page, count(*) AS n, any_value(total) AS total, min(o_orderkey) % 13 = 0 AS broken FROM o GROUP BY 1, 2),
+s AS (SELECT collection, min(page) FILTER (broken OR n < 20) AS stop, min(page) FILTER (broken) AS bad, max(page) AS last, any_value(total) AS total FROM p GROUP BY 1),
+e AS (SELECT *, bad IS NOT DISTINCT FROM stop AND stop IS NOT NULL AS failed FROM s)"""
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a priority and year as a collection of pages of 20; some pages broke off, and after the last comes a 400."""
+    o = table(spark, sf_dir, "orders").select(F.concat_ws(" ", "o_orderpriority", F.year("o_orderdate").cast("string")).alias("collection"), "o_orderkey")
+    placed = ranked(o, [F.col("o_orderkey")], groups=["collection"], name="r").withColumn("page", F.expr("cast((r - 1) div 20 + 1 as int)"))
+    pages = placed.groupBy("collection", "page").agg(F.to_json(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("id"))))).alias("body"), F.min("o_orderkey").alias("least"))
+    totals = o.groupBy("collection").agg(F.count("*").alias("total"))
+    good = pages.join(totals, "collection").select("collection", "page", F.when(F.col("least") % 13 == 0, 500).otherwise(200).alias("status"), "total", F.when(F.col("least") % 13 != 0, F.col("body")).alias("body"))
+    after = good.groupBy("collection").agg((F.max("page") + 1).alias("page")).select("collection", "page", F.lit(400).alias("status"), F.lit(None).cast("long").alias("total"), F.lit('{"code":"rest_post_invalid_page_number"}').alias("body"))
+    return good.unionByName(after).withColumn("error", F.lit(None).cast("string"))
+
+
+@query("walked_collections", f"WITH {PAGES} SELECT collection, CASE WHEN failed THEN stop - 1 WHEN stop IS NULL THEN last ELSE stop END AS pages, CASE WHEN failed THEN (stop - 1) * 20 ELSE total END::BIGINT AS items, total, CASE WHEN failed THEN 'error' WHEN stop IS NULL THEN 'past the end' ELSE 'short page' END AS ended, CASE WHEN failed THEN 'page ' || stop || ' status 500' END AS error FROM e")
+def walked_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.walk(stored(spark, sf_dir), per_page=20)[1]
+
+
+@query("collected_items", f"WITH {PAGES} SELECT o.collection, ((r - 1) // 20 + 1)::INT AS page, ((r - 1) % 20)::INT AS pos, o_orderkey AS id FROM o JOIN e USING (collection) WHERE stop IS NULL OR (r - 1) // 20 + 1 < stop OR ((r - 1) // 20 + 1 = stop AND NOT failed)")
+def collected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, _ = paging.walk(stored(spark, sf_dir), per_page=20)
+    return items.select("collection", "page", "pos", F.get_json_object("item", "$.id").cast("long").alias("id"))
