@@ -192,12 +192,12 @@ def delta_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fold_deltas(deltas, ["conv_id", "role"], "turn").select("conv_id", "role", "arguments", "id")
 
 
-@query("grant_refusals", f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN NULL WHEN n_nationkey % 3 <> 2 THEN 'Owner access to this department is required' WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN '{access.OWNER_CANNOT_SET_OWNER}' WHEN n_nationkey % 11 = 0 THEN '{access.OWNER_CANNOT_CHANGE_OWNER.replace(chr(39), chr(39) * 2)}' END AS refusal, CASE WHEN n_nationkey % 7 = 0 THEN 'owner' ELSE ['viewer', 'editor', 'owner'][n_nationkey % 3 + 1] END AS level FROM nation")
+@query("grant_refusals", f"SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN NULL WHEN n_nationkey % 3 <> 2 THEN 'Owner access to this department is required' WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 2 = 0 THEN '{access.MAKES_OWNER}' WHEN n_nationkey % 11 = 0 THEN '{access.TOUCHES_OWNER.replace(chr(39), chr(39) * 2)}' END AS refusal, CASE WHEN n_nationkey % 7 = 0 THEN 'owner' ELSE ['viewer', 'editor', 'owner'][n_nationkey % 3 + 1] END AS level FROM nation")
 def grant_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     own = F.element_at(F.array(*map(F.lit, access.LEVELS)), (k % 3 + 1).cast("int"))
-    refusal = access.grant_refusal(own, k % 7 == 0, F.when(k % 2 == 0, "owner").otherwise("editor"), F.when(k % 11 == 0, "owner"), k % 5 == 0)
-    return table(spark, sf_dir, "nation").select("n_nationkey", refusal.alias("refusal"), access.effective_level(own, k % 7 == 0).alias("level"))
+    refusal = access.refusal(access.MEMBERSHIP, caller=own, admin=k % 7 == 0, wanted=F.when(k % 2 == 0, "owner").otherwise("editor"), held=F.when(k % 11 == 0, "owner"), own=k % 5 == 0)
+    return table(spark, sf_dir, "nation").select("n_nationkey", refusal.alias("refusal"), access.standing(own, k % 7 == 0).alias("level"))
 
 
 @query("scoped_rows", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0)")
@@ -206,6 +206,15 @@ def scoped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.scoped(table(spark, sf_dir, "customer"), grants, 2, "editor", department="c_nationkey").select("c_custkey")
 
 
+@query("owned_rows", "SELECT o.o_orderkey, b.o_totalprice, b.o_orderkey IS NOT NULL AS found FROM (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 45) o LEFT JOIN (SELECT * FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)) b USING (o_orderkey)")
+def owned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    first = orders.agg(F.min("o_custkey").alias("least"))
+    mine = orders.join(F.broadcast(first), F.col("o_custkey") == F.col("least")).withColumn("user_id", F.lit(0))
+    wanted = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return access.owned(mine, wanted, 0, key="o_orderkey").select("o_orderkey", "o_totalprice", "found")
+
+
 DENSE = "SELECT vec_id AS id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS distance FROM embeddings"
 
 

@@ -50,12 +50,24 @@ def test_urls(spark):
 
 
 def test_access(spark):
-    refuse = lambda *a: one(spark, access.grant_refusal(*[F.lit(x) for x in a]))
+    names = ("caller", "admin", "wanted", "held", "own")
+    refuse = lambda *a: one(spark, access.refusal(access.MEMBERSHIP, **{k: F.lit(x) for k, x in zip(names, a, strict=True)}))
     assert refuse("viewer", True, "owner", "owner", False) is None
     assert refuse("editor", False, "viewer", None, False) == "Owner access to this department is required"
-    assert refuse("owner", False, "owner", None, False) == access.OWNER_CANNOT_SET_OWNER
-    assert refuse("owner", False, None, "owner", False) == access.OWNER_CANNOT_CHANGE_OWNER
+    assert refuse("owner", False, "owner", None, False) == access.MAKES_OWNER
+    assert refuse("owner", False, None, "owner", False) == access.TOUCHES_OWNER
     assert refuse("owner", False, None, "owner", True) is None
+    assert refuse(None, None, "viewer", None, None) == access.NEEDS_OWNER
+    close = lambda own, admin, n: one(spark, access.refusal(access.DEACTIVATION, own=F.lit(own), admin=F.lit(admin), admins=F.lit(n)))
+    assert [close(True, False, 3), close(False, True, 1), close(False, True, 2), close(False, False, 1)] == [access.OWN_ACCOUNT, access.LAST_ADMIN, None, None]
+    assert [one(spark, access.standing(F.lit(g), F.lit(a))) for g, a in (("viewer", True), ("editor", False), ("boss", False))] == ["owner", "editor", None]
+    assert not one(spark, access.reaches(F.lit("owner"), F.lit("boss"))) and not one(spark, access.reaches(F.lit(None), F.lit("viewer")))
+
+
+def test_another_users_row_is_as_absent_as_none(spark):
+    rows = spark.createDataFrame([(1, 7, "mine"), (2, 8, "other")], "id int, user_id int, text string")
+    out = {r["id"]: (r["found"], r["text"]) for r in access.owned(rows, spark.createDataFrame([(1,), (2,), (3,)], "id int"), 7, key="id").collect()}
+    assert out == {1: (True, "mine"), 2: (False, None), 3: (False, None)}
 
 
 def test_chunks():
