@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -82,9 +81,8 @@ class Words:
     """The words of some pieces in a row, each with two independent hashes."""
 
     def __init__(self, langs: list[str], pieces: list[str], times: list[int]):
-        split = [p.split(" ") for p in pieces]
-        sizes = np.array([len(w) for w in split], np.int64)
-        self.langs, self.words = langs, list(itertools.chain.from_iterable(split))
+        sizes = np.fromiter((p.count(" ") + 1 for p in pieces), np.int64, len(pieces))
+        self.langs, self.words = langs, "\n".join(pieces).encode().split()  # no other ASCII white space is left in a piece
         self.piece = np.repeat(np.arange(len(sizes)), sizes)
         self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.words))  # words from here to the piece's end
         self.times = np.array(times, np.int64)[self.piece]
@@ -109,13 +107,19 @@ class Words:
 
 
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """Batches of (lang, piece, n) in stretches of about STRETCH characters; a longer piece goes alone."""
+    """Pieces (lang, piece, n) of any number of batches in stretches of about STRETCH characters; a longer piece ends its stretch."""
+    held: tuple[list[str], list[str], list[int]] = ([], [], [])
+    size = 0
     for batch in batches:
-        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // STRETCH
-        for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(sizes)) + 1):
-            if len(part):
-                own = batch.slice(int(part[0]), len(part))
-                yield Words(*(c.to_pylist() for c in own.columns))
+        for lang, piece, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for values, value in zip(held, (lang, piece, n), strict=True):
+                values.append(value)
+            size += len(piece)
+            if size > STRETCH:
+                yield Words(*held)
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield Words(*held)
 
 
 class Sketch:
@@ -214,9 +218,9 @@ def counts(found: DataFrame, *, most: int, least: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
                 times = np.add.reduceat(words.times[starts], first) if len(first) else np.zeros(0, np.int64)
                 own = starts[first]
-                grams = [words.words[i] for i in own.tolist()] if size == 1 else [" ".join(words.words[i : i + size]) for i in own.tolist()]
+                grams = [words.words[i] for i in own.tolist()] if size == 1 else [b" ".join(words.words[i : i + size]) for i in own.tolist()]
                 langs = pa.DictionaryArray.from_arrays(pa.array(words.piece[own], pa.int32()), pa.array(words.langs, pa.string())).dictionary_decode()
-                yield pa.RecordBatch.from_arrays([pa.array((a[first] % np.uint64(buckets)).astype(np.int64), pa.int64()), langs, pa.array(grams, pa.string()), pa.array(times, pa.int64())], names=["bucket", "lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((a[first] % np.uint64(buckets)).astype(np.int64), pa.int64()), langs, pa.array(grams, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["bucket", "lang", "gram", "n"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of the task, packed by bucket: shuffled as blocks of columns, not as rows."""
