@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf import tools
-from sheaf.operators import reports
+from sheaf.operators import reports, routes
 from sheaf.plans.registry import query, table
 
 KEYS = [1, 7, 7, 32, 2, 1, 33, 64, 5, 99_999_999]
@@ -191,3 +191,23 @@ def tool_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("string") for c in columns], (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_ord"))
     request = {"metrics": [{"column": "l_linenumber", "op": "SUM"}, {"column": "l_partkey", "op": "max"}], "filters": [{"column": "L_LINENUMBER", "op": "gt", "value": 2}], "group_by": "l_returnflag"}
     return tools.call("aggregate", cells, request)
+
+
+ROUTED = """s AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages),
+rules AS (SELECT lang AS prefix, 1 AS least, 'site ' || lang AS section, 'front' AS kind, NULL AS deeper_kind, NULL::INT AS owner_at FROM (SELECT DISTINCT lang FROM documents) UNION ALL SELECT lang || '/*', 2, NULL, 'post', 'reply', 1 FROM (SELECT DISTINCT lang FROM documents) WHERE lang IN ('en', 'fr')
+  UNION ALL SELECT 'en/' || n_nationkey || n_regionkey, 2, 'nation ' || n_name, 'nation', NULL, NULL FROM nation UNION ALL SELECT '', 0, 'root', 'landing', 'below', NULL)"""
+
+
+@query("routed_urls", f"""WITH {ROUTED}, k AS (SELECT page_id, p, n, v, CASE WHEN n = 0 THEN '' WHEN v = 0 THEN array_to_string(p[1:n], '/') ELSE array_to_string(p[1:n - 1] || ['*'], '/') END AS prefix FROM s, (SELECT unnest(range(0, 12)) AS n), (SELECT unnest([0, 2]) AS v) WHERE n <= len(p) AND (n > 0 OR v = 0)),
+m AS (SELECT page_id, n, v, r.prefix, section, CASE WHEN len(p) > n AND deeper_kind IS NOT NULL THEN deeper_kind ELSE kind END AS kind, CASE WHEN owner_at IS NOT NULL THEN p[owner_at] END AS code FROM k JOIN rules r ON r.prefix = k.prefix AND len(p) >= least),
+b AS (SELECT * FROM m WHERE code IS NULL OR code = 'en' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, v, prefix) = 1)
+SELECT s.page_id, section, kind, code AS owner, CASE WHEN regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\\.html?/*$') THEN 'web' ELSE 'unknown' END AS resource_type, 'prefix ' || prefix AS evidence FROM s LEFT JOIN b USING (page_id)""")
+def routed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of the languages and nations; `en` alone is an owner, so posts of others fall back to their site."""
+    langs, nation = table(spark, sf_dir, "documents").select("lang").distinct(), table(spark, sf_dir, "nation")
+    null = lambda kind: F.lit(None).cast(kind)
+    rules = langs.select(F.col("lang").alias("prefix"), F.lit(1).alias("least"), F.concat(F.lit("site "), "lang").alias("section"), F.lit("front").alias("kind"), null("string").alias("deeper_kind"), null("int").alias("owner_at"))
+    posts = langs.where("lang in ('en', 'fr')").select(F.concat("lang", F.lit("/*")), F.lit(2), null("string"), F.lit("post"), F.lit("reply"), F.lit(1))
+    nations = nation.select(F.concat(F.lit("en/"), F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")), F.lit(2), F.concat(F.lit("nation "), "n_name"), F.lit("nation"), null("string"), null("int"))
+    root = spark.range(1).select(F.lit(""), F.lit(0), F.lit("root"), F.lit("landing"), F.lit("below"), null("int"))
+    return routes.classify(table(spark, sf_dir, "pages"), rules.union(posts).union(nations).union(root), langs.where("lang = 'en'").select(F.col("lang").alias("code")), key="page_id", url="url")
