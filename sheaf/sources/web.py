@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.operators.ranks import checkpointed
+
 #: Elements whose text isn't shown, elements that break a line.
 HIDDEN = {"script", "style", "head", "noscript", "svg"}
 BLOCKS = {"p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "header", "footer"}
@@ -98,18 +100,21 @@ def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def sitemap(documents: DataFrame, root: str, *, depth: int = 3, max_maps: int = 300, max_urls: int = 200_000) -> DataFrame:
     """(loc, lastmod) reachable from a root map, from maps given as (url, xml): breadth first, each map and page once, within
-    the limits on depth, maps and pages."""
+    the limits on depth, maps (nearest first, then by address) and pages. Each level is a join of the last one with the links, less what has been seen."""
     entry = "array<struct<loc:string,lastmod:string>>"
     parsed = documents.select(F.col("url").alias("map"), F.from_xml("xml", f"sitemap {entry}, url {entry}").alias("x")).select("map", "x.sitemap", "x.url")
-    front, seen = {root}, []
-    for _ in range(depth + 1):
-        front = set(sorted(front - set(seen))[: max_maps - len(seen)])
-        if not front:
+    edges = checkpointed(parsed.select("map", F.explode("sitemap.loc").alias("loc")).select("map", F.trim("loc").alias("loc")).distinct())
+    front = seen = documents.sparkSession.createDataFrame([(root,)], "map string")
+    room = max_maps - 1
+    for _ in range(depth):
+        below = edges.join(front, "map", "left_semi").select(F.col("loc").alias("map")).distinct().join(seen, "map", "left_anti")
+        front = checkpointed(below.orderBy("map").limit(max(0, room)))  # the frontier stays a table; its size alone is known here
+        found = front.count()
+        if not found:
             break
-        seen += sorted(front)
-        below = parsed.where(F.col("map").isin(sorted(front))).select(F.explode("sitemap.loc").alias("loc"))
-        front = {r["loc"] for r in below.select(F.trim("loc").alias("loc")).where(~F.col("loc").isin(seen)).distinct().orderBy("loc").limit(max_maps).collect()}
-    pages = parsed.where(F.col("map").isin(seen)).select(F.explode("url").alias("u")).select(F.trim("u.loc").alias("loc"), "u.lastmod")
+        room -= found
+        seen = checkpointed(seen.unionByName(front))
+    pages = parsed.join(seen, "map", "left_semi").select(F.explode("url").alias("u")).select(F.trim("u.loc").alias("loc"), "u.lastmod")
     return pages.groupBy("loc").agg(F.max("lastmod").alias("lastmod")).orderBy("loc").limit(max_urls)
 
 

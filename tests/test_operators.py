@@ -194,6 +194,16 @@ def test_sitemap(spark):
     assert [r["loc"] for r in web.sitemap(maps, "r").collect()] == ["u1", "u2"]
 
 
+def test_sitemap_cycles_depth_and_limits(spark):
+    index = lambda *to: "<sitemapindex>" + "".join(f"<sitemap><loc> {t} </loc></sitemap>" for t in to) + "</sitemapindex>"
+    leaf = lambda *to: "<urlset>" + "".join(f"<url><loc>{t}</loc></url>" for t in to) + "</urlset>"
+    maps = spark.createDataFrame([("r", index("a", "b", "r")), ("a", index("c", "r")), ("b", leaf("p1")), ("c", index("d")), ("d", index("e")), ("e", leaf("deep")), ("x", leaf("apart"))], "url string, xml string")
+    found = lambda **o: [r["loc"] for r in web.sitemap(maps, "r", **o).collect()]
+    assert found() == ["p1"] and found(depth=4) == ["deep", "p1"]
+    assert found(depth=4, max_maps=2) == [] and found(depth=4, max_maps=3) == ["p1"] and found(depth=4, max_urls=1) == ["deep"]
+    assert found(depth=0) == []
+
+
 def test_forex(spark):
     day = '{"date":"2024-01-01","rates":[{"currency":{"iso3":"USD","unit":1},"buy":"132.5","sell":"133.1"},{"currency":{"iso3":"XXX","unit":1},"buy":null,"sell":null},{"currency":{"iso3":"YYY","unit":1},"buy":"oops","sell":"1"}]}'
     good, bad = web.forex(spark.createDataFrame([(0, day), (1, day.replace("132.5", "999")), (2, "nonsense")], "ord int, json string"))
