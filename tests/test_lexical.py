@@ -50,3 +50,15 @@ def test_no_job_while_the_plan_is_built(spark):
     retrieval.lexical(docs, "Red, the FOX", 5, id_col="doc_id", text="text")
     assert not tracker.getJobIdsForGroup(group)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_index_without_shuffle_and_rows_of_one_document(spark, monkeypatch):
+    """An index is made where the texts lie; rows that share an id are one document; queries of the same words have the same answer, however cut."""
+    docs = spark.createDataFrame([(1, "red fox"), (2, "fox hens red"), (2, "hen red"), (None, "red fox"), (3, "fox")], "doc_id long, text string")
+    index = lexical.postings(docs, id_col="doc_id", text="text")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    queries = spark.createDataFrame([(i, ["red fox", "Fox, the red"][i % 2]) for i in range(50)] + [(99, "hen")], "query_id long, text string")
+    monkeypatch.setattr(lexical, "BLOCKS", 3)
+    found = [(r["query_id"], r["id"], r["lexical_score"]) for r in lexical.search(index, queries, 5).collect()]
+    assert {q: sorted((str(i), s) for p, i, s in found if p == q) for q in (0, 1, 49)} == dict.fromkeys((0, 1, 49), [("1", 0.1), ("2", 0.1), ("None", 0.1)])
+    assert [(i, s) for q, i, s in found if q == 99] == [(2, 0.2)]
