@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.numbers import strip
+from sheaf.functions.numbers import let, strip
 
 ELLIPSIS = "…"
 
@@ -65,4 +65,4 @@ def split_lines(c: Column) -> Column:
     """Lines as text editors count them: also at vertical tabs, form feeds, separators 1C to 1E, NEL, LS and PS; no line
     after a final break."""
     parts = F.split(F.regexp_replace(c, "\r\n", "\n"), "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))

@@ -23,9 +23,11 @@ _WORD = r"\p{L}\p{N}\p{Mn}\p{Mc}"
 #: Patterns that match whole tokens of a kind in a spaced text (see spaced()), each in one pass, without looking back.
 ALPHA, VOWELLESS = " [A-Za-z]{3,}(?= )", " [B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]{3,}(?= )"
 SWITCHED = f" [^ ]*?{_SWITCH}[^ ]*"
-STOPWORD = f" (?:{'|'.join(STOPWORDS)})(?= )"
+STOPWORD = f"(?i) (?:{'|'.join(c + '(?:' + '|'.join(w[1:] for w in STOPWORDS if w[0] == c) + ')' for c in sorted({w[0] for w in STOPWORDS}))})(?= )"
 #: The first sign after the first letter that isn't outer punctuation, with something else behind it.
 SYMBOLIC = f" [{_EDGES}]*+[^ {_EDGES}][{_WORD}]*+[^ {_WORD}][^ ]*[^ {_EDGES}][^ ]*"
+#: Tokens that are none of VOWELLESS, SWITCHED and SYMBOLIC, which are most: one capital at most, lower case with a vowel, ASCII punctuation behind.
+PLAIN = r" (?=[B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z]*+[AEIOUaeiou])[A-Z]?[a-z]*+[.,;:!?]*+(?= )"
 
 
 def spaced(c: Column) -> Column:
@@ -33,6 +35,16 @@ def spaced(c: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), f"[{_SPACE}]+", " ")
 
 
+def unusual(x: Column) -> Column:
+    """A spaced text without its plain tokens: the short rest that the patterns of odd tokens have to be tried on."""
+    return F.regexp_replace(x, PLAIN, "")
+
+
+def share_of(n: Column, d: Column, places: int = 4) -> Column:
+    """ratio() that counts the whole only where the part isn't 0."""
+    return let(n, lambda part: F.when(part > 0, let(d, lambda whole: ratio(part, whole, places))).otherwise(F.lit(0.0)))
+
+
 def blanks(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -42,16 +54,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[^{_SPACE}]+"), F.lit(0))
 
 
-def has_inner_symbol(token: Column) -> Column:
-    """Whether a character that belongs to no word stands inside the token, its outer punctuation aside."""
-    # plain words, which are most, are told by one test
-    return ~token.rlike(r"^[\p{L}\p{N}\p{Mn}\p{Mc}]*$") & F.regexp_replace(token, rf"^[{_EDGES}]+|[{_EDGES}]+$", "").rlike(r"(?s)^.+[^\p{L}\p{N}\p{Mn}\p{Mc}].+$")
-
-
-def alphabetic(words: Column) -> Column:
-    return F.filter(words, lambda t: t.rlike("^[A-Za-z]{3,}$"))
-
-
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -65,32 +67,35 @@ def glyph_mapped(line: Column) -> Column:
     """Whether a line looks like glyphs typed as Latin letters; null if it is too short to tell."""
 
     def judge(n: Column) -> Column:
-        x, tokens_, total = n["x"], n["blanks"] - 1, F.length(n["x"]) - n["blanks"]
-        shape = (ratio(count(x, VOWELLESS), count(x, ALPHA), 9) > MIN_VOWELLESS) | (ratio(count(x, SYMBOLIC), tokens_, 9) > MIN_SYMBOL) | (ratio(count(x, SWITCHED), tokens_, 9) > MIN_CASE_SWITCH)
+        x, z, tokens_, total = n["x"], n["z"], n["blanks"] - 1, F.length(n["x"]) - n["blanks"]
+        shape = (share_of(count(z, VOWELLESS), count(x, ALPHA), 9) > MIN_VOWELLESS) | (share_of(count(z, SYMBOLIC), tokens_, 9) > MIN_SYMBOL) | (share_of(count(z, SWITCHED), tokens_, 9) > MIN_CASE_SWITCH)
         foreign = (chars(x, _DEVANAGARI) > MAX_DEVANAGARI * total) | (chars(x, "[A-Za-z]") < MIN_LATIN * total)
-        return F.when(tokens_ < LINE_MIN_TOKENS, None).otherwise(~foreign & shape)
+        odd = F.length(z) > 1  # a line of plain tokens has no shape to judge
+        return F.when(tokens_ < LINE_MIN_TOKENS, None).otherwise(odd & shape & ~foreign)
 
-    return let(let(spaced(line), lambda x: F.struct(x.alias("x"), blanks(x).alias("blanks"))), judge)
+    return let(let(spaced(line), lambda x: F.struct(x.alias("x"), unusual(x).alias("z"), blanks(x).alias("blanks"))), judge)
 
 
 def text_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the struct `metrics` of twenty measurements; everything stays in the JVM, a pattern at a time over the whole text."""
     base = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_lines", split_lines(F.col("_t")))
-    base = base.withColumn("_x", spaced(F.col("_t")))
-    t, x = F.col("_t"), F.col("_x")
-    base = base.withColumn("_tokens", blanks(x) - 1).withColumn("_alpha", count(x, ALPHA)).withColumn("_judged", F.filter(F.transform("_lines", glyph_mapped), lambda v: v.isNotNull()))
-    tokens_, alpha = F.col("_tokens"), F.col("_alpha")
+    base = base.withColumn("_x", spaced(F.col("_t"))).withColumn("_z", unusual(F.col("_x"))).withColumn("_rest", F.regexp_replace("_t", "[a-z ]+", ""))
+    # _rest, without small letters and blanks, is short; the classes of characters are counted on it
+    t, x, z, rest = F.col("_t"), F.col("_x"), F.col("_z"), F.col("_rest")
+    base = base.withColumn("_tokens", blanks(x) - 1).withColumn("_judged", F.filter(F.transform("_lines", glyph_mapped), lambda v: v.isNotNull()))
+    tokens_ = F.col("_tokens")
     total = F.length(x) - tokens_ - 1
+    small = F.length(t) - blanks(t) - F.length(rest)
     legacy = F.size(F.filter("_judged", lambda x: x))
-    share = lambda kind: ratio(chars(x, kind), total)
+    share = lambda kind: ratio(chars(rest, kind), total)
     fields = {
         "char_count": F.length(t), "non_whitespace_chars": total, "token_count": tokens_, "line_count": F.when(t == "", 0).otherwise(F.size("_lines")), "non_empty_lines": F.size(F.filter("_lines", lambda x: x.rlike(f"[^{_SPACE}]"))),
-        "printable_ratio": ratio(total - chars(x, rf"[\p{{C}}&&[^{_SPACE}]]"), total), "control_char_ratio": ratio(chars(t, r"[\x00-\x08\x0e-\x1f]"), total), "replacement_char_count": chars(x, "�"), "replacement_char_ratio": share("�"),
-        "devanagari_ratio": share(_DEVANAGARI), "latin_letter_ratio": share("[A-Za-z]"), "digit_ratio": share(r"\p{Nd}"), "punctuation_ratio": share(r"\p{P}"),
-        "stopword_rate": ratio(count(F.lower(x), STOPWORD), tokens_), "vowelless_token_ratio": ratio(count(x, VOWELLESS), alpha), "intraword_symbol_ratio": ratio(count(x, SYMBOLIC), tokens_), "intraword_case_switch_ratio": ratio(count(x, SWITCHED), tokens_),
+        "printable_ratio": ratio(total - chars(rest, rf"[\p{{C}}&&[^{_SPACE}]]"), total), "control_char_ratio": ratio(chars(rest, r"[\x00-\x08\x0e-\x1f]"), total), "replacement_char_count": chars(rest, "�"), "replacement_char_ratio": share("�"),
+        "devanagari_ratio": share(_DEVANAGARI), "latin_letter_ratio": ratio(small + chars(rest, "[A-Z]"), total), "digit_ratio": share(r"\p{Nd}"), "punctuation_ratio": share(r"\p{P}"),
+        "stopword_rate": ratio(count(x, STOPWORD), tokens_), "vowelless_token_ratio": share_of(count(z, VOWELLESS), count(x, ALPHA)), "intraword_symbol_ratio": ratio(count(z, SYMBOLIC), tokens_), "intraword_case_switch_ratio": ratio(count(z, SWITCHED), tokens_),
         "legacy_line_ratio": ratio(legacy, F.size("_judged")), "legacy_lines": legacy, "judged_lines": F.size("_judged"),
     }
-    return base.withColumn("metrics", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("_t", "_x", "_lines", "_tokens", "_alpha", "_judged")
+    return base.withColumn("metrics", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("_t", "_x", "_z", "_rest", "_lines", "_tokens", "_judged")
 
 
 def classify(df: DataFrame, *, family: Column, error: Column, parsed: Column, cells: Column, coverage: Column, page_chars: Column) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions.numbers import let, ratio
 from sheaf.operators import quality as q
-from sheaf.operators.profile import longest_runs
 
 #: Thresholds of the unit rules and of the document rules over units.
 ENGLISH_MIN_WORDS, ENGLISH_MAX_VOWELLESS, NUMERIC_MIN_DIGITS, NUMERIC_MAX_WORDS = 3, 0.10, 0.30, 2
@@ -17,22 +16,26 @@ CONVERSION_GATE, MIN_PAGE_TEXT = 0.20, 50
 VOWELS, CONSONANTS, SIGNS, VIRAMA, NUKTA, DIGITS, DANDA = r"ऄ-औॠॡॲ-ॷ", r"क-हक़-य़ॸ-ॿ", r"ऺऻा-ौॎॏॕ-ॗॢॣ", r"्", r"़", r"०-९", r"।॥"
 
 
-def is_compound(token: Column) -> Column:
-    """A symbol that joins real words: two or more runs of letters, each with a vowel, an acronym or a single capital."""
-    runs = F.regexp_extract_all(token, F.lit("[A-Za-z]+"), F.lit(0))
-    return (F.size(runs) >= 2) & F.forall(runs, lambda r: r.rlike("[aeiouAEIOU]") | r.rlike("^[A-Z]+$"))
+#: Patterns of whole tokens in a spaced text (as in quality.py): three letters and more with a small one, and those without a vowel; tokens with a Latin letter, and those with a
+#: symbol inside that doesn't merely join real words (two or more runs of letters, each with a vowel, an acronym or a single capital), or with a change to a capital.
+_CONSONANTS = "B-DF-HJ-NP-TV-Zb-df-hj-np-tv-z"
+_RUN = f"(?:[A-Z]++(?![a-z])|[{_CONSONANTS}]*+[AEIOUaeiou][A-Za-z]*+)"
+_COMPOUND = f"[^ A-Za-z]*+{_RUN}(?:[^ A-Za-z]++{_RUN})++[^ A-Za-z]*+(?= )"
+JUDGED, JUDGED_VOWELLESS = " (?=[A-Z]*+[a-z])[A-Za-z]{3,}(?= )", f" (?=[A-Z]*+[a-z])[{_CONSONANTS}]{{3,}}(?= )"
+WORDISH = " [^ A-Za-z]*+[A-Za-z][^ ]*+"
+WORDISH_SYMBOLIC, WORDISH_SWITCHED = f" (?=[^ A-Za-z]*+[A-Za-z])(?!{_COMPOUND}){q.SYMBOLIC[1:]}", f" (?=[^ A-Za-z]*+[A-Za-z]){q.SWITCHED[1:]}"
 
 
 def assess(text: Column) -> Column:
     """Struct of state (legacy, trusted, unjudged), kind and shares of one unit; rules in order."""
 
     def measured(w: Column) -> Column:
-        words, total = w["words"], w["total"]
-        judged = F.filter(w["alpha"], lambda t: t != F.upper(t))
+        x, z, rest, total = w["x"], w["z"], w["rest"], w["total"]
+        small = F.length(x) - w["blanks"] - F.length(rest)
         return F.struct(
-            total.alias("total"), F.size(words).alias("tokens"), F.size(w["alpha"]).alias("alpha_tokens"), ratio(F.size(F.filter(judged, lambda t: ~t.rlike("[aeiouAEIOU]"))), F.size(judged)).alias("vowelless_ratio"),
-            ratio(F.size(F.filter(w["wordish"], lambda t: q.has_inner_symbol(t) & ~is_compound(t))), F.size(w["wordish"])).alias("symbol_ratio"), ratio(F.size(F.filter(w["wordish"], lambda t: t.rlike(q._SWITCH))), F.size(w["wordish"])).alias("case_switch_ratio"),
-            ratio(q.count(text, q._DEVANAGARI), total).alias("devanagari_ratio"), ratio(q.count(text, "[A-Za-z]"), total).alias("latin_ratio"), ratio(q.count(text, r"\p{Nd}"), total).alias("digit_ratio"),
+            total.alias("total"), (w["blanks"] - 1).alias("tokens"), q.count(x, q.ALPHA).alias("alpha_tokens"), q.share_of(q.count(z, JUDGED_VOWELLESS), q.count(x, JUDGED)).alias("vowelless_ratio"),
+            q.share_of(q.count(z, WORDISH_SYMBOLIC), q.count(x, WORDISH)).alias("symbol_ratio"), q.share_of(q.count(z, WORDISH_SWITCHED), q.count(x, WORDISH)).alias("case_switch_ratio"),
+            ratio(q.chars(rest, q._DEVANAGARI), total).alias("devanagari_ratio"), ratio(small + q.chars(rest, "[A-Z]"), total).alias("latin_ratio"), ratio(q.chars(rest, r"\p{Nd}"), total).alias("digit_ratio"),
         )
 
     def kind(m: Column) -> Column:
@@ -48,18 +51,22 @@ def assess(text: Column) -> Column:
         names = ("tokens", "alpha_tokens", "vowelless_ratio", "symbol_ratio", "case_switch_ratio", "devanagari_ratio", "latin_ratio", "digit_ratio")
         return F.struct(state.alias("state"), k.alias("kind"), *[m[n].alias(n) for n in names])
 
-    split = let(q.tokens(text), lambda words: F.struct(words.alias("words"), q.alphabetic(words).alias("alpha"), F.filter(words, lambda t: t.rlike("[A-Za-z]")).alias("wordish"), q.count(text, f"[^{q._SPACE}]").alias("total")))
-    return let(let(split, measured), lambda m: let(kind(m), lambda k: made(m, k)))
+    def split(x: Column) -> Column:
+        blanks = q.blanks(x)
+        return F.struct(x.alias("x"), q.unusual(x).alias("z"), F.regexp_replace(x, "[a-z ]+", "").alias("rest"), blanks.alias("blanks"), (F.length(x) - blanks).alias("total"))
+
+    return let(let(let(q.spaced(text), split), measured), lambda m: let(kind(m), lambda k: made(m, k)))
 
 
 def profile(units: DataFrame, doc: str = "doc_id", order: str = "unit_ord", text: str = "text") -> DataFrame:
     """Counts, shares and the longest legacy run of each document's units."""
     seen = units.select(doc, order, assess(F.col(text)).alias("a")).select(doc, order, "a.state", "a.kind")
-    n = lambda c: F.count_if(c)
-    counts = seen.groupBy(doc).agg(F.count("*").alias("units"), n(F.col("state") != "unjudged").alias("judged"), n(F.col("state") == "legacy").alias("legacy"), n(F.col("state") == "trusted").alias("trusted"), n(F.col("kind") == "clean_latin").alias("clean"), n(F.col("kind") == "english_like").alias("english"), n(F.col("kind") == "numeric_table_like").alias("numeric"))
-    runs = longest_runs(seen, [doc], order, "state")
-    out = counts.join(runs, doc, "left")
-    return out.select("*", ratio(F.col("legacy"), F.col("judged")).alias("legacy_unit_ratio"), ratio(F.col("legacy"), F.col("legacy") + F.col("clean")).alias("contested_ratio")).withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))
+    # a run goes on until a trusted unit; every group is within its document, so one shuffle by document serves all of it, and units are assessed once
+    island = F.sum(F.when(F.col("state") == "trusted", 1).otherwise(0)).over(Window.partitionBy(doc).orderBy(order))
+    tests = {"judged": F.col("state") != "unjudged", "legacy": F.col("state") == "legacy", "trusted": F.col("state") == "trusted", "clean": F.col("kind") == "clean_latin", "english": F.col("kind") == "english_like", "numeric": F.col("kind") == "numeric_table_like"}
+    runs = seen.withColumn("_i", island).groupBy(doc, "_i").agg(F.count("*").alias("units"), *[F.count_if(c).alias(name) for name, c in tests.items()])
+    out = runs.groupBy(doc).agg(F.sum("units").alias("units"), *[F.sum(name).alias(name) for name in tests], F.max("legacy").alias("longest_run"))
+    return out.select("*", ratio(F.col("legacy"), F.col("judged")).alias("legacy_unit_ratio"), ratio(F.col("legacy"), F.col("legacy") + F.col("clean")).alias("contested_ratio"))
 
 
 def region(p: str = "") -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from sheaf.functions import numbers
 from sheaf.functions.text import split_lines
 from sheaf.operators import catalog, records, units
-from sheaf.plans.registry import query, table
+from sheaf.plans.registry import query, spread, table
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("unit_ord", "text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("unit_ord", "text"))
 
 
 @query("unit_kinds")

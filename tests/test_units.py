@@ -66,3 +66,18 @@ def test_deep_chains_and_cycles(spark):
     assert out[39] == [f"n{i}" for i in range(39, -1, -1)] and out[0] == ["n0"]
     assert (out[100], out[102], out[103], out[200], out[300]) == (["a", "b", "c"], ["c", "a", "b"], ["d", "a", "b", "c"], ["self"], ["orphan"])
     assert catalog.chains(rows.where("false"), "id", "up", "name").count() == 0
+
+
+def test_documents_are_assessed_once(spark):
+    """The assessment stands once in the plan of a profile, and one shuffle serves counts and runs; runs of a document without an id count too."""
+    lines = ["ljQLo k|fKt q_fie( g]kfn xfd|f]"] * 2 + ["the bank has issued a notice"] + ["ljQLo k|fKt q_fie( g]kfn xfd|f]"] * 3 + [""] + ["ljQLo k|fKt q_fie( g]kfn xfd|f]"]
+    given = spark.createDataFrame([(d, i, t) for d in (7, None) for i, t in enumerate(lines)], "doc_id long, unit_ord int, text string")
+    found = units.profile(given)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("too_short") == 1
+    assert [(r["units"], r["legacy"], r["longest_run"]) for r in found.collect()] == [(8, 6, 4)] * 2
+
+
+@pytest.mark.parametrize(("text", "symbols", "switches"), [("AML/CFT and a/b x", 0.25, 0.0), ("FIU-Nepal bcd-fgh iPhone one", 0.25, 0.25), ("(word), plain. Text! x", 0.0, 0.0), ("12-34 ab-cd 中a中 é|é", 0.0, 0.0)])
+def test_shares_of_odd_tokens(spark, text, symbols, switches):
+    row = spark.createDataFrame([(text,)], "t string").select(units.assess(F.col("t")).alias("a")).first()["a"]
+    assert (row["symbol_ratio"], row["case_switch_ratio"]) == (symbols, switches)
