@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.operators.batches import bounded
 from sheaf.operators.ranks import checkpointed
 
 #: Elements whose text isn't shown, elements that break a line.
@@ -83,7 +84,8 @@ PAGE = "text string, title string, canonical string, description string, links a
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Adds the struct `page`: text, title, canonical, description and links."""
+    """Adds the struct `page`: text, title, canonical, description and links. Pages go to Python in batches bounded by bytes, so its memory doesn't grow with the table."""
+    bounded(pages.sparkSession)
 
     @F.pandas_udf(PAGE)
     def parse(h: pd.Series, u: pd.Series) -> pd.DataFrame:
