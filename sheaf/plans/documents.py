@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.operators import chunking, quality, recovered, vocabulary
+from sheaf.operators.ranks import checkpointed
 from sheaf.plans.registry import query, spread, table
 from sheaf.sources import web
 
@@ -104,7 +105,8 @@ SELECT doc_id, count(*) AS lines, sum(len(r))::BIGINT AS runs, sum(coalesce(h, 0
 def english_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     units = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    found = vocabulary.word_rates(units, vocabulary.english(spread(docs.where("lang = 'en'"))), ["doc_id", "n"])
+    known = checkpointed(vocabulary.english(spread(docs.where("lang = 'en'"))))  # the bitmap and the join both need it
+    found = vocabulary.word_rates(units, known, ["doc_id", "n"])
     return found.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("runs").alias("runs"), F.sum("hits").alias("hits"), F.count_if(F.col("rate") >= 0.5).alias("half"), F.count_if("confident").alias("confident"))
 
 

@@ -58,3 +58,9 @@ def test_fingerprint_is_of_the_set(spark):
 
     assert of(["a", "b", "c"]) == of(["c", "a", "b", "a"]) and of(["a", "b", "c"])["words"] == 3
     assert len({of(["a", "b"])["fingerprint"], of(["a", "c"])["fingerprint"], of(["a", "b"], "2")["fingerprint"], of(["ab"])["fingerprint"]}) == 4
+
+
+def test_vocabulary_is_made_once(spark, sf):
+    from sheaf.plans import documents
+
+    assert "capitals" not in documents.english_lines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
