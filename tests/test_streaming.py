@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
+
 from sheaf.streaming import jobs, ledger
 
 
@@ -73,3 +75,61 @@ def test_ledger_in_one_run_and_over_restarts(spark, tmp_path):
     ledger.follow(spark.readStream.schema(EVENT).parquet(str(tmp_path / "parts-in")), parts, str(tmp_path / "parts-checkpoint"), stale_s=100)  # nothing new
     assert spark.read.parquet(parts).count() == before and ledger_of(spark, parts) == EXPECTED
     assert ledger.ledger(spark, parts).where("job_id = 'e'").first()["done"] == 3
+
+
+def test_ledger_of_jobs_that_share_a_bucket(spark, tmp_path):
+    """One bucket for all jobs, over restarts: its timer sweeps each job that fell silent in time, to the millisecond, and large numbers stay exact."""
+    base = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    folder, out, most = str(tmp_path / "in"), str(tmp_path / "out"), 2**53 + 1
+    edge = [("g", 500_500, "running", None), (None, 500_501, "running", None), ("big", 500_501, "running", most), ("h", 600_501, "queued", None)]
+    spark.createDataFrame([(j, base + datetime.timedelta(milliseconds=t), t, kind, done, None, None) for j, t, kind, done in edge], EVENT).coalesce(1).write.parquet(str(tmp_path / "edge"))
+    for rows in ([r for r in FOLDS if r[1] < 100], [r for r in FOLDS if r[1] >= 100], None):
+        job_events(spark, folder, rows) if rows else spark.read.parquet(str(tmp_path / "edge")).write.mode("append").parquet(folder)
+        ledger.follow(spark.readStream.schema(EVENT).parquet(folder), out, str(tmp_path / "checkpoint"), stale_s=100, buckets=1)
+    found = ledger_of(spark, out)
+    assert {k: found[k] for k in "abcef"} == {k: EXPECTED[k] for k in "abcef"} and found["d"] == ("failed", 580, ledger.SWEPT, "queued>running>failed")
+    assert found["g"] == ("failed", 600.5, ledger.SWEPT, "queued>running>failed") and found[None] == found["big"] == ("running", None, None, "queued>running")
+    assert ledger.ledger(spark, out).where("job_id = 'big'").first()["done"] == most
+
+
+def test_calls_to_the_state_store_do_not_follow_the_jobs():
+    calls, kept = [], {"open": [], "final": []}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return iter(kept[self.name])
+
+        def put(self, rows):
+            calls.append("put")
+            kept[self.name] = rows
+
+        def appendList(self, rows):
+            calls.append("append")
+            kept[self.name] += rows
+
+        def clear(self):
+            self.put([])
+
+    class Handle:
+        timers: list = []
+
+        def getListState(self, name, schema):
+            return State(name)
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    jobs = ledger.Ledger(1000)
+    jobs.init(Handle())
+    for n, step in ((10, 0), (5000, 1)):
+        calls.clear()
+        rows = pd.DataFrame([(f"{step}-{k // 2}", k % 2, k, ("running", "succeeded")[k % 4 == 3], None, None, None) for k in range(n)], columns=["job_id", "at_ms", "seq", "kind", "done", "total", "error"])
+        out = pd.concat(jobs.handleInputRows((0,), iter([rows]), None))
+        assert len(out) == n / 2 and len(calls) <= 6
