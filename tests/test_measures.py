@@ -63,3 +63,13 @@ def test_a_text_is_read_once(spark):
     assert out.columns == ["k", "text", "more", "metrics"]
     got = sorted((r["k"], r["text"], r["more"], r["metrics"]["token_count"], r["metrics"]["line_count"], r["metrics"]["intraword_case_switch_ratio"]) for r in out.collect())
     assert got == [(1, None, [1.5], 0, 0, 0.0), (2, "the aBc\r\nx", None, 3, 2, 0.3333), (2, "the aBc\r\nx", None, 3, 2, 0.3333)]
+
+
+def test_verdicts_read_a_text_once(spark, sf):
+    """The verdicts' plan has no pattern over whole texts, and every row of the table its verdict."""
+    from sheaf.plans import documents
+
+    out = documents.text_verdicts(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("mapinarrow") == 1 and "regexp" not in plan
+    assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
