@@ -17,9 +17,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sheaf.llm.common import arrow_limits, built, checkpointed, give_back, slices, token, whole_row, with_fields
-from sheaf.llm.suffix import LEAST_BITS, MOST_BITS, _powers, empty_map, in_slot_map, signed, slot_maps, votes
+from sheaf.llm.suffix import LEAST_BITS, MOST_BITS, SlotMaps, _powers, empty_map, slot_maps, votes
 
 #: Texts are split into words in pieces of about this size, and windows are hashed in blocks of this many starts.
 PIECE_BYTES, BLOCK = 1 << 20, 1 << 17
@@ -93,8 +92,31 @@ def blocks(hashes: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield start, hashes[start : start + BLOCK + length - 1]
 
 
-def anchors(own: np.ndarray, length: int) -> tuple[Sums, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block: sums, anchor places, first and last window starts that each serves, hashes of the anchors."""
+def together(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[bytes]]]:
+    """The word hashes of runs of texts, the bounds of each text among them, the number of the first, and the texts. A run is one block, unless it is one
+    text of more words: so the blocks of a text, and its segments, are the same beside whatever others it comes."""
+    own: list[np.ndarray] = []
+    run: list[bytes] = []
+    begin = held = 0
+    for i, text in enumerate(texts):
+        h = word_hashes(text)
+        if own and held + len(h) > BLOCK:
+            yield np.concatenate(own), np.cumsum([0, *map(len, own)]), begin, run
+            own, run, begin, held = [], [], i, 0
+        own.append(h)
+        run.append(text)
+        held += len(h)
+    if own:
+        yield np.concatenate(own), np.cumsum([0, *map(len, own)]), begin, run
+
+
+def within(bounds: np.ndarray, length: int) -> np.ndarray:
+    """At which words a window starts that lies within one text."""
+    return np.repeat(bounds[1:], np.diff(bounds)) - np.arange(bounds[-1]) >= length
+
+
+def anchors(own: np.ndarray, length: int, inside: np.ndarray | None = None) -> tuple[Sums, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: sums, anchor places, first and last window starts that each serves (of those `inside`), hashes of the anchors."""
     gram = -(-length // 4)
     sums, width, n = Sums(own), length - gram + 1, len(own) - length + 1
     h = sums.run(0, np.arange(len(own) - gram + 1), gram)
@@ -105,18 +127,21 @@ def anchors(own: np.ndarray, length: int) -> tuple[Sums, np.ndarray, np.ndarray,
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & _PLACE).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return sums, at[first], first, np.append(first[1:], n) - 1, h[at[first]].view(np.int64)
+    mine = np.arange(n) if inside is None else np.flatnonzero(inside[:n])
+    at = at[mine]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
+    last = np.append(first, len(at))[1:] - 1
+    return sums, at[first], mine[first], mine[last], h[at[first]].view(np.int64)
 
 
-def segments(hashes: np.ndarray, length: int, known) -> Segments:
-    """The segments whose anchors pass `known` (a test of an array of hashes)."""
+def segments(hashes: np.ndarray, length: int, known, inside: np.ndarray | None = None) -> Segments:
+    """The segments whose anchors pass `known` (a test of an array of hashes), of windows that start `inside`."""
     gram = -(-length // 4)
     near = (length - gram) // 2
     double = min(2 * gram, length - near)
     out: list[list[np.ndarray]] = []
     for start, own in blocks(hashes, length):
-        sums, at, first, last, g = anchors(own, length)
+        sums, at, first, last, g = anchors(own, length, None if inside is None else inside[start : start + len(own)])
         mine = np.flatnonzero(known(g))
         at, first, last, g = at[mine], first[mine], last[mine], g[mine]
         for side in (0, 1):
@@ -144,23 +169,17 @@ def windows(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, length: int
     return a, b, starts
 
 
-class Levels:
-    """Bitmaps of what survived: anchors that occur again; segments alone; half-length windows that occur again; those with different
+class Levels(SlotMaps):
+    """Anchors that occur again; segments alone; half-length windows that occur again; those with different
     segments of which some are alone; documents elected to send segments that aren't alone."""
 
     NAMES = ("anchors", "alone", "again", "mixed", "elected")
 
-    def __init__(self, packed: dict[str, bytes], bits: int):
-        self.bits = bits
-        self.maps = {name: np.frombuffer(zlib.decompress(packed[name]), np.uint8) for name in packed}
-
-    def has(self, name: str, values: np.ndarray) -> np.ndarray:
-        return in_slot_map(self.maps[name], values, self.bits) if len(values) else np.zeros(0, bool)
-
-    def segments(self, hashes: np.ndarray, length: int) -> tuple[Segments, np.ndarray]:
-        """Segments that survive level 1; of each, whether it may be alone."""
-        found = segments(hashes, length, lambda g: self.has("anchors", g))
-        return found, self.has("alone", found.digest) if "alone" in self.maps else np.ones(len(found.digest), bool)
+    def segments(self, hashes: np.ndarray, bounds: np.ndarray, length: int) -> tuple[Segments, np.ndarray, np.ndarray]:
+        """Segments that survive level 1; of each, whether it may be alone and which of the texts it lies in."""
+        found = segments(hashes, length, lambda g: self.has("anchors", g), within(bounds, length))
+        alone = self.has("alone", found.digest) if "alone" in self.packed else np.ones(len(found.digest), bool)
+        return found, alone, np.searchsorted(bounds, found.first, "right") - 1
 
 
 def survey(docs: DataFrame, length: int) -> tuple[dict[str, bytes], int]:
@@ -170,7 +189,7 @@ def survey(docs: DataFrame, length: int) -> tuple[dict[str, bytes], int]:
 
     def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
-            found = [anchors(own, length)[4] for t in texts for _, own in blocks(word_hashes(t), length)]
+            found = [anchors(own, length, within(bounds, length)[start : start + len(own)])[4] for hashes, bounds, *_ in together(texts) for start, own in blocks(hashes, length)]
             if found:
                 value, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["value", "n"])
@@ -183,10 +202,10 @@ def survey(docs: DataFrame, length: int) -> tuple[dict[str, bytes], int]:
     def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels: Levels = built(key, lambda: Levels(shared.value, bits))  # type: ignore[assignment]
         for batch, texts in slices(batches):
-            rows = []
-            for k1, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                s = levels.segments(word_hashes(text), length)[0]
-                rows.append(np.stack([s.key, s.digest, np.full(len(s.key), k1 >> 32, np.int64)]))
+            rows, k1 = [], batch.column(0).to_numpy()
+            for hashes, bounds, begin, _ in together(texts):
+                s, _, doc = levels.segments(hashes, bounds, length)
+                rows.append(np.stack([s.key, s.digest, k1[begin + doc] >> 32]))
             table = np.concatenate(rows, axis=1)
             if table.shape[1]:
                 table = table[:, np.lexsort((table[2], table[1], table[0]))]
@@ -207,19 +226,20 @@ def repeated_starts(docs: DataFrame, known, key: str, bits: int, length: int) ->
     def level3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels: Levels = built(key, lambda: Levels(known.value, bits))  # type: ignore[assignment]
         for batch, texts in slices(batches):
-            parts = []
-            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-                hashes = word_hashes(text)
-                found, alone = levels.segments(hashes, length)
+            parts, k1, k2 = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for hashes, bounds, begin, _ in together(texts):
+                found, alone, doc = levels.segments(hashes, bounds, length)
                 send = np.where(alone, levels.has("again", found.key), levels.has("mixed", found.key))
                 several = np.flatnonzero(send & ~alone)
                 if len(several):
-                    send[several] = levels.has("elected", votes(found.digest[several].view(np.uint64).tolist(), k1 >> 32))
+                    send[several] = levels.has("elected", votes(found.digest[several].view(np.uint64).tolist(), (k1[begin + doc[several]] >> 32).tolist()))
                 for single in (True, False):
-                    mine = found.take(np.flatnonzero(send & (alone == single)))
-                    if len(mine.first):
+                    rows = np.flatnonzero(send & (alone == single))
+                    if len(rows):
+                        mine = found.take(rows)
                         a, b, starts = windows(hashes, mine.first, mine.last, length)
-                        parts.append((a, b, np.full(len(a), 1 if single else 2), np.full(len(a), k1), np.full(len(a), k2), starts if single else np.full(len(a), -1)))
+                        own = np.repeat(doc[rows], mine.last - mine.first + 1)
+                        parts.append((a, b, np.full(len(a), 1 if single else 2), k1[begin + own], k2[begin + own], starts - bounds[own] if single else np.full(len(a), -1)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)], names=["a", "b", "n", "k1", "k2", "start"])
 
@@ -228,14 +248,11 @@ def repeated_starts(docs: DataFrame, known, key: str, bits: int, length: int) ->
     return sent.where("start >= 0").join(again, ["a", "b"], "left_semi").select("k1", "k2", "start")
 
 
-def covered(starts: np.ndarray, spans: list[tuple[int, int]], length: int, n: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of `starts` or in one of `spans` (first and last start)."""
+def covered(first: np.ndarray, last: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n words lie in a window that starts between one of `first` and its `last`."""
     edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + length, -1)
-    for a, b in spans:
-        edges[a] += 1
-        edges[b + length] -= 1
+    np.add.at(edges, first, 1)
+    np.add.at(edges, last + length, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -247,7 +264,7 @@ def dedup(docs: DataFrame, *, length: int = 35, id_col: str = "doc_id", text_col
     Words are runs of anything but ASCII white space, compared as they are; windows are judged on the input, never cross documents and may
     overlap. A null text has no words; a text of fewer than `length` words loses nothing; repeated rows are copies of each other;
     a null id stays null; an empty table gives no rows; other columns are ignored, or come along as the struct `row` if `carry`. Copies
-    of any number cost one row each task in every count; a task holds one slice of texts and, of one text, 16 bytes a word.
+    of any number cost one row each task in every count; a task holds one slice of texts and, of one text or some short ones, 16 bytes a word.
     """
     if length < 1:
         raise ValueError("a window has at least one word")
@@ -262,10 +279,11 @@ def dedup(docs: DataFrame, *, length: int = 35, id_col: str = "doc_id", text_col
     starts = checkpointed(repeated_starts(given, known, known_key, bits, length))
     by_doc = starts.groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))  # a set: a document's own words bound it however often its row is repeated
     joined, _ = slot_maps(starts.select(F.lit("docs").alias("name"), F.col("k1").alias("value"), F.lit(0).cast("long").alias("sent")), bits)
-    shared, key = context.broadcast({"docs": empty_map(bits)} | joined), token()
+    # keys of their own: what repeated_starts() has unpacked goes
+    shared, key, cut_key = context.broadcast({"docs": empty_map(bits)} | joined), token(), token()
 
     def kept_back(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
-        levels: Levels = built(key, lambda: Levels(shared.value, bits), 2)  # type: ignore[assignment]
+        levels: SlotMaps = built(key, lambda: SlotMaps(shared.value, bits), 1 if wanted else 2)  # type: ignore[assignment]
         for batch in batches:
             yield batch.filter(pa.array(levels.has("docs", batch.column(1).to_numpy()) == wanted))
 
@@ -281,22 +299,27 @@ def dedup(docs: DataFrame, *, length: int = 35, id_col: str = "doc_id", text_col
 
     def cut(packed: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            levels: Levels = built(known_key, lambda: Levels(known.value, bits), 2)  # type: ignore[assignment]
+            levels: Levels = built(cut_key, lambda: Levels(known.value, bits), 1 if packed else 2)  # type: ignore[assignment]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             for batch, texts in slices(batches if packed else unshuffled(batches)):
                 out: list[tuple[int, int, list[dict[str, int]], str]] = []
-                for t, own in zip(texts, batch.column(2).to_pylist(), strict=True):
-                    t = zstandard.decompress(t) if packed else t
-                    hashes = word_hashes(t)
-                    found, alone = levels.segments(hashes, length)
-                    whole = np.flatnonzero(~alone)
-                    gone = covered(np.array(own or [], np.int64), list(zip(found.first[whole].tolist(), found.last[whole].tolist(), strict=True)), length, len(hashes))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    words, at = [], 0
-                    for piece in word_pieces(t):
-                        words.append(b" ".join([piece[i] for i in np.flatnonzero(~gone[at : at + len(piece)]).tolist()]))
-                        at += len(piece)
-                    out.append((len(hashes), int(gone.sum()), [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()], b" ".join(filter(None, words)).decode()))
+                known_starts = batch.column(2).to_pylist()
+                for hashes, bounds, begin, run_texts in together(map(zstandard.decompress, texts) if packed else texts):
+                    found, alone, _ = levels.segments(hashes, bounds, length)
+                    whole = found.take(np.flatnonzero(~alone))
+                    single = np.concatenate([np.zeros(0, np.int64), *[np.array(known_starts[begin + i], np.int64) + bounds[i] for i in range(len(bounds) - 1) if known_starts[begin + i]]])
+                    every = covered(np.append(whole.first, single), np.append(whole.last, single), length, len(hashes))
+                    for t, a, b in zip(run_texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                        gone = every[a:b]
+                        if not gone.any():
+                            out.append((b - a, 0, [], b" ".join(b" ".join(piece) for piece in word_pieces(t) if piece).decode()))
+                            continue
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                        words, at = [], 0
+                        for piece in word_pieces(t):
+                            words.append(b" ".join([piece[j] for j in np.flatnonzero(~gone[at : at + len(piece)]).tolist()]))
+                            at += len(piece)
+                        out.append((b - a, int(gone.sum()), [{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()], b" ".join(filter(None, words)).decode()))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(map(len, columns[2]), pa.int64()), pa.array(columns[2], kind), pa.array(columns[3], pa.string()), *batch.columns[3:]],

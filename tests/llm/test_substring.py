@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sheaf.llm import substring
+from sheaf.llm import substring, suffix
 
 
 def frame(spark, rows):
@@ -80,3 +80,32 @@ def test_repeated_rows_null_ids_and_carried_columns(spark):
     assert substring.dedup(docs.where("false")).count() == 0
     with pytest.raises(ValueError):
         substring.dedup(docs, length=0)
+
+
+def test_a_worker_unpacks_the_bitmaps_it_asks_for():
+    """The last step of a job needs two of the five bitmaps, of up to 32 MB each, and the workers of an executor hold theirs at once."""
+    levels = substring.Levels({name: suffix.empty_map(20) for name in substring.Levels.NAMES}, 20)
+    assert not levels.maps
+    hashes = substring.word_hashes(b" ".join(b"w%d" % (i % 50) for i in range(200)))
+    levels.segments(hashes, substring.np.array([0, 200]), 35)
+    assert set(levels.maps) <= {"anchors", "alone"}
+    maps = suffix.Maps({name: suffix.empty_map(20) for name in suffix.Maps.NAMES}, 20)
+    maps.halves(b"0123456789" * 100, 400, 48)
+    assert set(maps.maps) <= {"grams", "alone"}
+
+
+def test_texts_beside_others_have_the_segments_they_have_alone(monkeypatch):
+    """Whatever texts share a pass of numpy: longer ones than a block, empty ones, and copies."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefghij", k=n)).encode() for n in (400, 0, 11, 12, 13, 30, 99, 100, 101, 1, 0, 250, 60, 40)]
+    texts += [texts[0], b"", texts[5]]
+    monkeypatch.setattr(substring, "BLOCK", 100)
+    every = lambda g: substring.np.ones(len(g), bool)
+    for order in (texts, texts[::-1], texts[3:]):
+        found = []
+        for hashes, bounds, begin, _ in substring.together(order):
+            s = substring.segments(hashes, 12, every, substring.within(bounds, 12))
+            doc = substring.np.searchsorted(bounds, s.first, "right") - 1
+            found += zip((begin + doc).tolist(), s.key.tolist(), s.digest.tolist(), (s.first - bounds[doc]).tolist(), (s.last - bounds[doc]).tolist(), strict=True)
+        alone = [(i, *row) for i, t in enumerate(order) for s in [substring.segments(substring.word_hashes(t), 12, every)] for row in zip(s.key.tolist(), s.digest.tolist(), s.first.tolist(), s.last.tolist(), strict=True)]
+        assert sorted(found) == sorted(alone) and len(found) > 20
